@@ -28,8 +28,8 @@ from pyspark.sql import functions as F
 
 from keepwell.llm.cluster import python_ready
 
-#: Pieces kept with their ids in each worker, and the longest that is kept: about 60 MB.
-CACHE_PIECES, CACHE_CHARS = 200_000, 32
+#: Pieces kept with their ids in each worker, and the longest that is kept: about 100 MB.
+CACHE_PIECES, CACHE_CHARS = 400_000, 32
 KEEP_FIRST = 60_000
 CACHE_PAIRS = 500_000
 # Fixed value: how the tokenizer cuts texts (its ByteLevel step).
@@ -125,32 +125,34 @@ class Bpe:
         n = len(word)
         if n == 1:
             return (self.words.get(word),)
-        longest: list[int] = [-1] * n
         sizes = self.lengths  # a letter stands for a byte
-        for end, token in self.words.iter(word):
-            start = end - sizes[token] + 1
-            if longest[start] < 0 or sizes[longest[start]] < sizes[token]:
-                longest[start] = token
+        longest: list[int] = [-1] * (n + 1)  # by the place before the token's first letter, -1 for the first of all
+        for end, token in self.words.iter(word):  # of those that begin together, the longer end later
+            longest[end - sizes[token]] = token
         open_ = bytearray(b"\x01") * (n + 1)  # places from which the rest has not failed
         out: list[int] = []
-        at, token = 0, longest[0]
+        at, last, token = 0, None, longest[-1]
+        pairs, shorter = self.pairs, self.shorter
         while True:
-            last = out[-1] if out else None
             while token is not None:
-                end = at + sizes[token]
-                if open_[end] and (last is None or self.compatible(last, token)):
-                    break
-                token = self.shorter[token]
-            if token is None:
+                if open_[at + sizes[token]]:
+                    fits = True if last is None else pairs.get((last, token))
+                    if fits is None:
+                        fits = self.compatible(last, token)
+                    if fits:
+                        break
+                token = shorter[token]
+            if token is None:  # step back: the rest cannot begin here
                 open_[at] = 0
                 token = out.pop()
                 at -= sizes[token]
+                last = out[-1] if out else None
                 continue
             out.append(token)
             at += sizes[token]
             if at == n:
                 return tuple(out)
-            token = longest[at]
+            last, token = token, longest[at - 1]
 
     def _kept(self, piece: str) -> tuple[int, ...]:
         """The ids of a piece, put into the cache; of a full cache half goes, but for the KEEP_FIRST oldest, among which are the common ones."""
