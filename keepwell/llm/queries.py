@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from keepwell.llm import bpe, chat, exact_dedup, mixing, pii, url_rules
+from keepwell.llm import bpe, chat, exact_dedup, mixing, pii, ppm, quality_classifier, quality_rules, url_rules
 
 QUERIES = {
     "op1_pii": pii.query,
+    "op2_quality_rules": quality_rules.query,
+    "op3_lm_scoring": ppm.query,
+    "op5_quality_classifier": quality_classifier.query,
     "op6_url_filters": url_rules.query,
     "op7_mixing": mixing.query,
     "op8_chat": chat.query,
