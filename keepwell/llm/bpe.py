@@ -211,6 +211,16 @@ def digests(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str =
     return _mapped(docs, path, id_col, text_col, "n_tokens long, ids_sha256 string, decoded_sha256 string", told, [pa.int64(), pa.string(), pa.string()])
 
 
+def encode_checked(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per document: doc_id, n_tokens, ids, round_trip (whether decoding the ids gives the text)."""
+
+    def told(bpe: Bpe, text: str) -> tuple:
+        ids = np.array(bpe.encode(text), np.int32)
+        return len(ids), ids, bpe.decode(ids) == text
+
+    return _mapped(docs, path, id_col, text_col, "n_tokens long, ids array<int>, round_trip boolean", told, [pa.int64(), pa.list_(pa.int32()), pa.bool_()])
+
+
 def decode(encoded: DataFrame, path: str, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
     """One row per input row: doc_id, text."""
     return _mapped(encoded, path, id_col, ids_col, "text string", lambda bpe, ids: (bpe.decode(np.array(ids, np.int64)),), [pa.string()], [])

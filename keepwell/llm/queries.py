@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from keepwell.llm import bpe, chat, exact_dedup, mixing, pii, ppm, quality_classifier, quality_rules, url_rules
+from keepwell.llm import bpe, chat, exact_dedup, jaccard, mixing, pii, ppm, quality_classifier, quality_rules, url_rules
 
 QUERIES = {
     "op1_pii": pii.query,
     "op2_quality_rules": quality_rules.query,
     "op3_lm_scoring": ppm.query,
+    "op4_ngram_jaccard": jaccard.query,
     "op5_quality_classifier": quality_classifier.query,
     "op6_url_filters": url_rules.query,
     "op7_mixing": mixing.query,
@@ -22,7 +23,3 @@ ORACLE_SQL = {
     "op8_chat": chat.SQL,
     "op9_exact_dedup": exact_dedup.SQL,
 }
-
-
-def all_queries() -> dict:
-    return dict(QUERIES)
