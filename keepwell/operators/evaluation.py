@@ -109,6 +109,13 @@ def roc_auc(scored: DataFrame, places: int | None = None) -> DataFrame:
     return row.select(F.when((F.col("p") > 0) & (F.col("n") > 0), F.col("won") / (F.col("p") * F.col("n"))).alias("auc"))
 
 
+def metrics(scored: DataFrame, threshold: float = 0.5, places: int | None = None) -> DataFrame:
+    """metric, value: the confusion counts and the AUC in one long table."""
+    counts = confusion(scored, threshold).unpivot([], ["tn", "fp", "fn", "tp"], "metric", "value")
+    area = roc_auc(scored, places).select(F.lit("auc").alias("metric"), F.col("auc").alias("value"))
+    return counts.select("metric", F.col("value").cast("double").alias("value")).unionByName(area)
+
+
 def class_weight(rows: DataFrame) -> DataFrame:
     """One row: neg, pos and their ratio."""
     row = rows.agg(F.count_if(F.col("churned") == 0).alias("neg"), F.count_if(F.col("churned") == 1).alias("pos"))

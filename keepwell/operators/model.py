@@ -8,6 +8,7 @@ from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier
 from pyspark.ml.feature import Imputer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -48,7 +49,9 @@ def train(training: DataFrame, trees: int = 200, depth: int = 3, rate: float = 0
     stages = [VectorAssembler(inputCols=assembled_names(features), outputCol="features"), GBTClassifier(labelCol="churned", featuresCol="features", weightCol="weight", maxIter=trees, maxDepth=depth, stepSize=rate, subsamplingRate=rows_share, featureSubsetStrategy=str(features_share), seed=seed)]
     if nullable:
         stages.insert(0, Imputer(strategy="median", inputCols=nullable, outputCols=[f"{c}_filled" for c in nullable]))
-    ready = weighted(with_indicators(training)).persist()
+    # subsampling draws row by row: with rows always in the same partitions and order, a refit gives the same trees
+    parts = int(training.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ready = weighted(with_indicators(training)).repartition(parts, "user_id").sortWithinPartitions("user_id").persist(StorageLevel.MEMORY_AND_DISK)
     try:
         return Pipeline(stages=stages).fit(ready)
     finally:

@@ -510,3 +510,108 @@ def v6_dossiers(v):
 
 def as_query(f: Callable[[Views], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
     return lambda spark, sf_dir: f(Views(spark, sf_dir))
+
+
+# -- model, explanation and streams: no SQL twin -----------------------------------------------------------------------
+
+#: Trees of the registered models; a production run takes model.train's own default.
+TREES = 10
+
+
+def fitted(v: Views):
+    from keepwell.operators import model
+
+    rows = model.split(feature_table(v))
+    return model.train(rows.where(~F.col("is_test")), trees=TREES), rows
+
+
+@job
+def l3_model_scores(v):
+    from keepwell.operators import model
+
+    m, rows = fitted(v)
+    return model.score(m, rows).select("user_id", "is_test", "churn_probability")
+
+
+@job
+def l4_held_out_metrics(v):
+    from keepwell.operators import model
+
+    m, rows = fitted(v)
+    return evaluation.metrics(model.score(m, rows.where("is_test")), places=4)
+
+
+@job
+def l5_importances(v):
+    from keepwell.operators import model
+
+    return model.importances(fitted(v)[0])
+
+
+@job
+def l6_attribution(v):
+    from keepwell.operators import explain, model
+
+    m, rows = fitted(v)
+    return explain.attribute(m, model.score(m, rows))
+
+
+@job
+def l7_top_factor(v):
+    from keepwell.operators import explain
+
+    return explain.top_factor(l6_attribution(v))
+
+
+@job
+def l8_global_importance(v):
+    from keepwell.operators import explain
+
+    return explain.global_importance(l6_attribution(v))
+
+
+@job
+def w3_strongest_factors(v):
+    from keepwell.operators import explain
+
+    return explain.strongest(l6_attribution(v), 4)
+
+
+def _stream_of(v: Views, table: DataFrame, day: str, name: str) -> tuple[DataFrame, str]:
+    """A table written as one file a day, in order of time, and read back as a stream; and a folder for the results."""
+    import uuid
+
+    from keepwell.sources.shared import shared_dir
+    from keepwell.streaming.jobs import read_stream
+
+    root = f"{shared_dir(v.spark)}/{name}-{uuid.uuid4().hex}"
+    table.repartitionByRange(8, day).sortWithinPartitions(day).write.parquet(f"{root}/in")
+    schema = ", ".join(f"{n} {t}" for n, t in table.dtypes)
+    return read_stream(v.spark, f"{root}/in", schema, 1000), root
+
+
+@job
+def r1_daily_logins(v):
+    from keepwell.streaming import jobs as streams
+
+    stream, root = _stream_of(v, v.log, "event_timestamp", "logins")
+    streams.run_available(streams.daily_logins(stream), f"{root}/out", f"{root}/state")
+    return v.spark.read.schema("user_id long, day timestamp_ntz, logins long").parquet(f"{root}/out")
+
+
+@job
+def r2_running_orders(v):
+    from keepwell.streaming import jobs as streams
+
+    stream, root = _stream_of(v, v.orders, "placed_at", "orders")
+    streams.run_upserts(streams.running_orders(stream), f"{root}/out", f"{root}/state")
+    return streams.latest(v.spark, f"{root}/out", "user_id")
+
+
+@job
+def r3_first_reviews(v):
+    from keepwell.streaming import jobs as streams
+
+    stream, root = _stream_of(v, v.reviews.select("user_id", "product_id", "order_id", "rating", "created_at"), "created_at", "reviews")
+    streams.run_available(streams.first_reviews(stream, "4000 days"), f"{root}/out", f"{root}/state")
+    return v.spark.read.parquet(f"{root}/out").select("user_id", "product_id", "order_id").distinct()
