@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from keepwell.functions.columns import days_before, is_customer
+from keepwell.sources.shared import settle
 
 
 def login_trend(log: DataFrame, as_of: datetime, earlier: int = 60, recent: int = 30) -> DataFrame:
@@ -46,7 +47,7 @@ def without_recent_order(users: DataFrame, orders: DataFrame, as_of: datetime, d
 
 def quietest(users: DataFrame, orders: DataFrame, log: DataFrame, as_of: datetime, log_as_of: datetime, days: int = 14, top_n: int = 10, earlier: int = 60, recent: int = 30) -> DataFrame:
     """The dormant customers that have been quiet longest, those without orders first, with their login trend."""
-    first = dormant(users, orders, as_of, days).orderBy(F.asc_nulls_first("last_order"), "user_id").limit(top_n)
+    first = settle(dormant(users, orders, as_of, days).orderBy(F.asc_nulls_first("last_order"), "user_id").limit(top_n), "quietest")
     return with_trend(first, log, log_as_of, earlier, recent)
 
 

@@ -44,7 +44,7 @@ def write_predictions(predictions: DataFrame, path: str) -> None:
 def read_contacts(spark: SparkSession, path: str) -> DataFrame:
     """The contact log; none written yet is an empty one."""
     try:
-        return spark.read.schema(CONTACTS).parquet(path)
+        return spark.read.schema(CONTACTS).parquet(path).select("user_id", "contacted_on")
     except Exception as e:
         if "PATH_NOT_FOUND" not in str(e):
             raise

@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -16,3 +17,10 @@ def shared_dir(spark: SparkSession) -> str:
         found = Path(tempfile.mkdtemp(prefix="keepwell-")).as_uri()
         sc.setCheckpointDir(found)
     return found.rstrip("/")
+
+
+def settle(df: DataFrame, name: str) -> DataFrame:
+    """Write df to the shared folder and read it back: what is used twice is worked out once, and survives lost executors."""
+    path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
