@@ -1,17 +1,21 @@
 """Similarity join on word shingles with a token-group matrix.
 
 1. A document's set is its distinct shingles as 64-bit hashes. Documents of equal sets form a class, of which one goes on.
-2. Sets that may be similar are partitioned into groups. Two sets that reach the threshold differ in at most D tokens, a
-   number that follows from their sizes; when the hash range is cut into more than D segments, they agree in the whole of
-   one segment at least. Sets that share a segment's signature, directly or through others, are a group. Nothing is lost,
-   and a word, line or passage that many documents share does not bring them together unless it fills a segment.
-3. In a group, sets in order of their least tokens are packed into bundles, and the token-group matrix holds which token
+2. Two sets that reach the threshold differ in at most D tokens, a number that follows from their sizes; when the hash
+   range is cut into more than D segments, they agree in the whole of one segment at least. Sets that share a segment's
+   signature are a neighbourhood, named after its least id. Nothing is lost, and a word, line or passage that many
+   documents share does not bring them together unless it fills a segment.
+3. Neighbourhoods are cut into groups of similar sets by a bound: each set has a bit array in which every token flips one
+   bit, so two sets differ in at least as many tokens as their arrays in bits. Pairs that this rules out are no link, and
+   what the others join are the groups.
+4. In a group, sets in order of their least tokens are packed into bundles, and the token-group matrix holds which token
    is in the union of which bundle. A set's overlap with a union bounds its overlap with each member, so only bundles
    whose bound reaches the threshold are opened, and their members compared exactly. Links found once are followed: a set
    whose component is known is not compared again, so a task returns a spanning forest and never all pairs.
-4. Components of those links, from the least id.
+5. Components of those links, from the least id.
 
-Groups larger than ``BLOCK_TOKENS`` are dealt out in blocks, and each pair of blocks is a task of its own.
+Neighbourhoods larger than ``BLOCK_SETS`` and groups larger than ``BLOCK_TOKENS`` are dealt out in blocks, and each pair of
+blocks is a task of its own.
 
 Rows without id and documents without words link with nothing. Rows that share an id are one document with the links of
 each of its texts. An empty table gives an empty result. Only id and text are read, so other columns cannot clash.
@@ -20,18 +24,20 @@ each of its texts. An empty table gives an empty result. Only id and text are re
 from __future__ import annotations
 
 from bisect import bisect_right
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from keepwell.llm.cluster import materialize, python_ready
 from keepwell.llm.components import components
 
+#: Sets of a block of a neighbourhood.
+BLOCK_SETS = 10_000
 #: Tokens of a block of a group: 32 MB of hashes.
 BLOCK_TOKENS = 4_000_000
 #: Ids that are broadcast at most (about 24 MB); beyond that the texts meet them in a shuffle.
@@ -80,7 +86,7 @@ def bands(num: int, den: int, up_to: int = 1 << 32) -> tuple[tuple[int, ...], tu
         e = edges[-1]
         edges.append(max(e + 1, int(e * BAND), (e - 1) * den // num + 1))
         top = 2 * (edges[-1] - 1)
-        differ = max(t - 2 * -(-num * t // (num + den)) for t in range(max(2, top - 4 * den), top + 1))
+        differ = max(most_different(t, 0, num, den) for t in range(max(2, top - 4 * den), top + 1))
         m = differ + 1 if differ else 0
         empty = m * np.exp(-e / m) if m else 0.0
         slack.append(int(empty + 3 * empty**0.5) if m else 0)
@@ -114,6 +120,64 @@ def segment_keys(tokens: np.ndarray, num: int, den: int) -> np.ndarray:
     return np.unique(np.concatenate(out)) if out else np.zeros(0, np.uint64)
 
 
+# -- bit arrays --------------------------------------------------------------------------------------------------------
+
+
+def parity_bits(tokens: np.ndarray) -> bytes:
+    """A bit array, in width the power of two from twice the set's size on, 64 at least, in which each token flips a bit."""
+    width = max(64, 1 << (2 * len(tokens) - 1).bit_length())
+    at = (mix(tokens + np.uint64(ODD[1])) & np.uint64(width - 1)).astype(np.int64)
+    return np.packbits((np.bincount(at, minlength=width) & 1).astype(np.uint8), bitorder="little").tobytes()
+
+
+def folded(bits: np.ndarray, size: int) -> np.ndarray:
+    """The bit array as it would be in ``size`` bytes: which bit a token flips depends on the low bits of its hash."""
+    while len(bits) > size:
+        bits = bits[: len(bits) // 2] ^ bits[len(bits) // 2 :]
+    return bits
+
+
+def most_different(a: np.ndarray | int, b: np.ndarray | int, num: int, den: int) -> np.ndarray | int:
+    """Tokens in which similar sets of these sizes may differ."""
+    return a + b - 2 * -(-num * (a + b) // (num + den))
+
+
+def bounded_forest(sizes: np.ndarray, arrays: list[bytes], num: int, den: int) -> Iterator[tuple[int, int]]:
+    """A spanning forest of the pairs whose sizes and bit arrays do not rule them out."""
+    order = np.argsort(sizes, kind="stable")
+    byte_sizes = np.array([len(a) for a in arrays])
+    # arrays of one width in one matrix, and the same folded to half, as a similar set may be of the next width down
+    rows, whole, half = np.zeros(len(sizes), np.int64), {}, {}
+    for width in np.unique(byte_sizes):
+        own = np.flatnonzero(byte_sizes == width)
+        rows[own] = np.arange(len(own))
+        whole[width] = np.frombuffer(b"".join(arrays[i] for i in own), np.uint8).reshape(len(own), width)
+        half[width] = whole[width][:, : width // 2] ^ whole[width][:, width // 2 :]
+    sorted_sizes = sizes[order]
+    waiting = np.ones(len(sizes), bool)
+    for root in range(len(sizes)):
+        if not waiting[root]:
+            continue
+        waiting[root] = False
+        todo = [root]
+        while todo:
+            i = todo.pop()
+            n, width = int(sizes[i]), int(byte_sizes[i])
+            near = order[np.searchsorted(sorted_sizes, -(-num * n // den)) : np.searchsorted(sorted_sizes, n * den // num, side="right")]
+            near = near[waiting[near]]
+            for other in (width // 2, width, 2 * width):
+                js = near[byte_sizes[near] == other]
+                if len(js) == 0:
+                    continue
+                mine = half[width][rows[i]] if other < width else whole[width][rows[i]]
+                theirs = (half[other] if other > width else whole[other])[rows[js]]
+                differ = np.bitwise_count(np.bitwise_xor(theirs, mine)).sum(axis=1, dtype=np.int64)
+                for j in js[differ <= most_different(n, sizes[js], num, den)].tolist():
+                    waiting[j] = False
+                    todo.append(j)
+                    yield i, j
+
+
 # -- groups ------------------------------------------------------------------------------------------------------------
 
 
@@ -173,90 +237,134 @@ class TokenGroupMatrix:
 # -- the join ----------------------------------------------------------------------------------------------------------
 
 
-def _sets(rows: DataFrame, words: int, num: int, den: int) -> DataFrame:
-    """doc_id, n_shingles, set_hash (null for an empty set), keys from doc_id, text."""
+def _sets(rows: DataFrame, words: int) -> DataFrame:
+    """doc_id, n_shingles, set_hash (null for an empty set), bits from doc_id, text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            n, name, keys = [], [], []
-            for text in batch.column(1).cast(pa.binary()).to_pylist():
-                tokens = shingle_set(text or b"", words)
-                n.append(len(tokens))
-                name.append(xxhash.xxh3_128_hexdigest(tokens.tobytes()) if len(tokens) else None)
-                keys.append(segment_keys(tokens, num, den).view(np.int64))
-            ends = np.cumsum([0, *map(len, keys)])
-            lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(keys) if keys else np.zeros(0, np.int64)))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(name, pa.string()), lists], names=["doc_id", "n_shingles", "set_hash", "keys"])
+            sets = [shingle_set(t or b"", words) for t in batch.column(1).cast(pa.binary()).to_pylist()]
+            names = [xxhash.xxh3_128_hexdigest(s.tobytes()) if len(s) else None for s in sets]
+            bits = [parity_bits(s) if len(s) else None for s in sets]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(names, pa.string()), pa.array(bits, pa.binary())], names=["doc_id", "n_shingles", "set_hash", "bits"])
+
+    return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, n_shingles long, set_hash string, bits binary")
+
 
-    return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, n_shingles long, set_hash string, keys array<long>")
+def key_bits(tokens: int) -> int:
+    """Bits of a signature: as many as leave one in 2^14 signatures with a stranger of the same value, which the bit arrays
+    then tell apart. Shorter signatures make a smaller shuffle."""
+    return min(64, max(1, tokens).bit_length() + 14)
+
+
+def _postings(rows: DataFrame, words: int, num: int, den: int, bits: int) -> DataFrame:
+    """a, key: a row for each segment signature of doc_id, text. Made from the texts where it is needed, as the
+    signatures take more room than the texts they come from."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys = [segment_keys(shingle_set(t or b"", words), num, den) for t in batch.column(1).cast(pa.binary()).to_pylist()]
+            if keys:
+                owners = batch.column(0).take(pa.array(np.repeat(np.arange(len(keys)), list(map(len, keys)))))
+                yield pa.RecordBatch.from_arrays([owners, pa.array((np.concatenate(keys) >> np.uint64(64 - bits)).view(np.int64))], names=["a", "key"])
+
+    return rows.mapInArrow(run, f"a {rows.schema['doc_id'].dataType.simpleString()}, key long")
+
+
+def _in_blocks(members: DataFrame, blocks: Column) -> DataFrame:
+    """Members of a group with the pairs of blocks (one, other) that they are in: the blocks of a group are a triangle of
+    tasks, and a member of block i goes to each pair with i in it. Rows come in the order of their tasks."""
+    block = F.pmod(F.xxhash64("doc_id"), blocks).cast("int")
+    pairs = F.transform(F.sequence(F.lit(0), blocks - 1), lambda j: F.struct(F.least(block, j).alias("one"), F.greatest(block, j).alias("other")))
+    columns = [c for c in members.columns if c not in ("group", "blocks")]
+    dealt = members.select("group", *columns, F.explode(pairs).alias("p")).select("group", "p.one", "p.other", *columns)
+    return dealt.repartition("group", "one", "other").sortWithinPartitions("group", "one", "other", "doc_id")
+
+
+def _by_task(batches: Iterator[pa.RecordBatch], columns: tuple[str, ...], forest: Callable[..., Iterator[tuple[int, int]]]) -> Iterator[pa.RecordBatch]:
+    """a, b: the links that forest finds among the rows of each task, which stand together."""
+    task, ids, values, kind = None, [], [], None
+
+    def linked() -> pa.RecordBatch | None:
+        found = list(forest(*zip(*values, strict=True))) if len(ids) > 1 else []
+        return pa.RecordBatch.from_arrays([pa.array([ids[i] for i, _ in found], kind), pa.array([ids[j] for _, j in found], kind)], names=["a", "b"]) if found else None
+
+    for batch in batches:
+        kind = batch.column("doc_id").type
+        names = zip(*(batch.column(c).to_pylist() for c in ("group", "one", "other")), strict=True)
+        cells = zip(*(batch.column(c).to_numpy(zero_copy_only=False) for c in columns), strict=True)
+        for name, doc_id, cell in zip(names, batch.column("doc_id").to_pylist(), cells, strict=True):
+            if name != task:
+                if (out := linked()) is not None:
+                    yield out
+                task, ids, values = name, [], []
+            ids.append(doc_id)
+            values.append(cell)
+    if (out := linked()) is not None:
+        yield out
+
+
+def _groups(neighbours: DataFrame, num: int, den: int) -> DataFrame:
+    """a, b: pairs that may be links, which join the members of each group, from group, blocks, doc_id, n_shingles, bits."""
+    kind = neighbours.schema["doc_id"].dataType.simpleString()
+
+    def forest(sizes: tuple, arrays: tuple) -> Iterator[tuple[int, int]]:
+        return bounded_forest(np.array(sizes), list(arrays), num, den)
+
+    return _in_blocks(neighbours, F.col("blocks")).mapInArrow(lambda batches: _by_task(batches, ("n_shingles", "bits"), forest), f"a {kind}, b {kind}")
+
+
+def _without(rows: DataFrame, ids: DataFrame, id_col: str) -> DataFrame:
+    """The rows whose id is not in ids(__gone), which is broadcast only up to a size."""
+    if ids.count() <= MOST_BROADCAST:
+        ids = F.broadcast(ids)
+    return rows.join(ids, rows[id_col] == F.col("__gone"), "left_anti")
 
 
 def _links(members: DataFrame, words: int, num: int, den: int) -> DataFrame:
-    """a, b from task (the group's and blocks' name), doc_id, text in the order of task."""
+    """a, b: links from group, blocks, doc_id, text."""
+    kind = members.schema["doc_id"].dataType.simpleString()
 
     def tokens_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sets = [shingle_set(t or b"", words).view(np.int64) for t in batch.column("text").cast(pa.binary()).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("group"), batch.column("blocks"), batch.column("doc_id"), pa.array(sets, pa.list_(pa.int64()))], names=["group", "blocks", "doc_id", "tokens"])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        task, ids, sets = None, [], []
-
-        def linked() -> list[tuple]:
-            if len(ids) < 2:
-                return []
-            return [(ids[i], ids[j]) for i, j in TokenGroupMatrix(sets, num, den).forest()]
+    def forest(sets: tuple) -> Iterator[tuple[int, int]]:
+        return TokenGroupMatrix([np.asarray(s).view(np.uint64) for s in sets], num, den).forest()
 
-        for batch in batches:
-            found = []
-            names = list(zip(batch.column("group").to_pylist(), batch.column("one").to_pylist(), batch.column("other").to_pylist(), strict=True))
-            tokens = batch.column("tokens")
-            for row, (name, doc_id) in enumerate(zip(names, batch.column("doc_id").to_pylist(), strict=True)):
-                if name != task:
-                    found += linked()
-                    task, ids, sets = name, [], []
-                ids.append(doc_id)
-                sets.append(tokens[row].values.to_numpy().view(np.uint64))
-            if found:
-                yield pa.RecordBatch.from_pydict({"a": [a for a, _ in found], "b": [b for _, b in found]}, pa.schema([("a", batch.schema.field("doc_id").type), ("b", batch.schema.field("doc_id").type)]))
-        if found := linked():
-            yield pa.RecordBatch.from_pydict({"a": [a for a, _ in found], "b": [b for _, b in found]}, pa.schema([("a", pa_type), ("b", pa_type)]))
-
-    from pyspark.sql.pandas.types import to_arrow_type
-
-    kind = members.schema["doc_id"].dataType
-    pa_type = to_arrow_type(kind)
-    with_tokens = members.mapInArrow(tokens_of, f"group {kind.simpleString()}, blocks int, doc_id {kind.simpleString()}, tokens array<long>")
-    # the blocks of a group are a triangle of tasks: a member of block i goes to each pair of blocks with i in it
-    block = F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int")
-    pairs = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda j: F.struct(F.least(block, j).alias("one"), F.greatest(block, j).alias("other")))
-    tasks = with_tokens.select("group", "doc_id", "tokens", F.explode(pairs).alias("p")).select("group", "p.one", "p.other", "doc_id", "tokens")
-    dealt = tasks.repartition("group", "one", "other").sortWithinPartitions("group", "one", "other", "doc_id")
-    return dealt.mapInArrow(run, f"a {kind.simpleString()}, b {kind.simpleString()}")
+    with_tokens = members.mapInArrow(tokens_of, f"group {kind}, blocks int, doc_id {kind}, tokens array<long>")
+    return _in_blocks(with_tokens, F.col("blocks")).mapInArrow(lambda batches: _by_task(batches, ("tokens",), forest), f"a {kind}, b {kind}")
 
 
 def near_copies(docs: DataFrame, words: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: doc_id, n_shingles, component_id (the least id that links of similarity num / den reach)."""
     python_ready(docs.sparkSession)
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    sets = materialize(_sets(rows, words, num, den), "sets")
+    sets = materialize(_sets(rows, words), "sets")
     named = sets.where(F.col("set_hash").isNotNull() & F.col("doc_id").isNotNull())
-    one = named.groupBy("set_hash").agg(F.min(F.struct("doc_id", "n_shingles", "keys")).alias("r"))
-    classes = materialize(one.select("set_hash", "r.*"), "classes")
+    classes = materialize(named.groupBy("set_hash").agg(F.min("doc_id").alias("least"), F.first("n_shingles").alias("n_shingles")), "classes")
+    several = named.groupBy("doc_id").agg(F.min("set_hash").alias("x"), F.max("set_hash").alias("y")).where("x <> y").select("doc_id")
+    further = named.join(classes.select("set_hash", "least"), "set_hash").where("doc_id > least").select("doc_id").distinct().join(several, "doc_id", "left_anti")
+    further = materialize(further.select(F.col("doc_id").alias("__gone")), "further")
 
-    postings = classes.select(F.col("doc_id").alias("a"), F.explode("keys").alias("key"))
+    n_tokens = classes.agg(F.coalesce(F.sum("n_shingles"), F.lit(0))).first()[0]
+    postings = _postings(_without(rows.where(F.col("doc_id").isNotNull()), further, "doc_id"), words, num, den, key_bits(n_tokens))
     # of a key that a set alone has, nothing is left; the others hang on the least id that has it
-    leaders = postings.groupBy("key").agg(F.min("a").alias("b"), F.max("a").alias("last")).where("b <> last").select("key", "b")
-    groups = components(postings.join(leaders, "key").select("a", "b"))
+    leaders = postings.groupBy("key").agg(F.min("a").alias("group"), F.max("a").alias("last")).where("`group` <> last").select("key", "group")
+    near = materialize(postings.join(leaders, "key").groupBy("group", "a").agg(F.lit(1).alias("x")).select("group", F.col("a").alias("__id")), "near")
+    blocks = near.groupBy("group").agg(F.ceil(F.count("*") / BLOCK_SETS).cast("int").alias("blocks"))
+    known = named.select("doc_id", "n_shingles", "bits")
+    neighbours = near.join(blocks, "group").join(known, F.col("__id") == F.col("doc_id")).select("group", "blocks", "doc_id", "n_shingles", "bits")
+    groups = components(_groups(neighbours, num, den))
     groups = materialize(groups.select(F.col("node").alias("__id"), F.col("component").alias("group")), "groups")
 
-    sizes = groups.join(classes.select("doc_id", "n_shingles"), F.col("__id") == F.col("doc_id")).groupBy("group").agg(F.ceil(F.sum("n_shingles") / BLOCK_TOKENS).cast("int").alias("blocks"))
+    sizes = groups.join(named.select("doc_id", "n_shingles"), F.col("__id") == F.col("doc_id")).groupBy("group").agg(F.ceil(F.sum("n_shingles") / BLOCK_TOKENS).cast("int").alias("blocks"))
     wanted = groups.join(sizes, "group")
     if groups.count() <= MOST_BROADCAST:
         wanted = F.broadcast(wanted)
     members = rows.join(wanted, rows["doc_id"] == F.col("__id")).select("group", "blocks", "doc_id", "text")
     linked = components(_links(members, words, num, den))
-    labels = classes.select("set_hash", "doc_id").join(linked, F.col("doc_id") == F.col("node"), "left").select("set_hash", F.coalesce("component", "doc_id").alias("label"))
+    labels = classes.join(linked, F.col("least") == F.col("node"), "left").select("set_hash", F.coalesce("component", "least").alias("label"))
     out = sets.select("doc_id", "n_shingles", "set_hash").join(labels, "set_hash", "left")
     return out.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("label", "doc_id")).alias("component_id"))
 
@@ -265,9 +373,7 @@ def keep_one(docs: DataFrame, words: int = 5, num: int = 80, den: int = 100, id_
     """The rows of docs but for those whose component has a smaller id, with their own columns."""
     found = near_copies(docs, words, num, den, id_col, text_col)
     gone = materialize(found.where("doc_id <> component_id").select(F.col("doc_id").alias("__gone")).distinct(), "gone")
-    if gone.count() <= MOST_BROADCAST:
-        gone = F.broadcast(gone)
-    return docs.join(gone, docs[id_col] == F.col("__gone"), "left_anti")
+    return _without(docs, gone, id_col)
 
 
 def query(spark, sf_dir):

@@ -98,6 +98,50 @@ def test_similar_sets_share_a_segment(n, similar, rng):
         assert np.intersect1d(*keys).size
 
 
+@settings(max_examples=100, deadline=None)
+@given(st.integers(1, 300), st.sampled_from([(90, 100), (80, 100)]), st.randoms())
+def test_bit_arrays_rule_out_no_link(n, similar, rng):
+    """The forest joins whatever is similar, and each of its pairs keeps to the bound."""
+    num, den = similar
+    base = [rng.getrandbits(64) for _ in range(n)]
+    sets = []
+    for _ in range(12):
+        s = set(base) if rng.random() < 0.7 else {rng.getrandbits(64) for _ in range(n)}
+        for _ in range(rng.randrange(0, n // 6 + 2)):
+            s.discard(rng.choice(base)) if rng.random() < 0.5 else s.add(rng.getrandbits(64))
+        sets.append(np.array(sorted(s or {1}), np.uint64))
+    arrays = [jaccard.parity_bits(s) for s in sets]
+    pairs = list(jaccard.bounded_forest(np.array([len(s) for s in sets]), arrays, num, den))
+    up = list(range(12))
+    find = lambda x: x if up[x] == x else find(up[x])
+    for i, j in pairs:
+        assert find(i) != find(j)
+        up[find(i)] = find(j)
+        size = min(len(arrays[i]), len(arrays[j]))
+        a, b = (jaccard.folded(np.frombuffer(arrays[k], np.uint8), size) for k in (i, j))
+        assert np.bitwise_count(a ^ b).sum() <= jaccard.most_different(len(sets[i]), len(sets[j]), num, den)
+    for i in range(12):
+        for j in range(i):
+            common, whole = len(np.intersect1d(sets[i], sets[j])), len(np.union1d(sets[i], sets[j]))
+            assert den * common < num * whole or find(i) == find(j)
+
+
+@pytest.mark.parametrize("block_sets,block_tokens", [(7, 4_000_000), (10_000, 900), (5, 500)])
+def test_neighbourhoods_and_groups_in_blocks(spark, monkeypatch, block_sets, block_tokens):
+    monkeypatch.setattr(jaccard, "BLOCK_SETS", block_sets)
+    monkeypatch.setattr(jaccard, "BLOCK_TOKENS", block_tokens)
+    rng = random.Random(8)
+    base = [f"w{rng.randrange(900)}" for _ in range(120)]
+    rows = []
+    for i in range(150):
+        w = list(base)
+        for _ in range(rng.randrange(0, 4)):
+            w[rng.randrange(len(w))] = f"w{rng.randrange(900)}"
+        rows.append((i, " ".join(w)))
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard.near_copies(spark.createDataFrame(rows, "doc_id long, text string"), 3, 90).collect()}
+    assert got == links_of(rows, 3, 90)
+
+
 def test_components(spark):
     rng = random.Random(2)
     edges = [(rng.randrange(300), rng.randrange(300)) for _ in range(220)] + [(1000 + i, 1001 + i) for i in range(40)] + [(5000, 5000 + i) for i in range(50)]
