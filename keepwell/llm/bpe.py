@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import re
 from collections.abc import Iterator
 from functools import lru_cache
 from itertools import chain, islice
@@ -34,6 +35,8 @@ KEEP_FIRST = 60_000
 CACHE_PAIRS = 500_000
 # Fixed value: how the tokenizer cuts texts (its ByteLevel step).
 PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+#: The same for texts of ASCII alone, for which the standard library's engine is twice as fast.
+ASCII_PIECES = r"'(?:[stmd]|re|ve|ll)| ?[A-Za-z]+| ?[0-9]+| ?[^\t-\r A-Za-z0-9]+|[\t-\r ]+(?![^\t-\r ])|[\t-\r ]+"
 
 
 def byte_letters() -> list[str]:
@@ -91,6 +94,8 @@ class Bpe:
         self.special = special
         self.split = regex.compile("(" + "|".join(map(regex.escape, sorted(special, key=len, reverse=True))) + ")") if special else None
         self.pieces = regex.compile(PIECES.replace(r"[^\s", r"[^\p{White_Space}").replace(r"\s", r"\p{White_Space}").replace(r"\S", r"\P{White_Space}"))
+        self.ascii_pieces = re.compile(ASCII_PIECES)
+        self.decimals = [str(i) for i in range(size)]
         self.pairs: dict[tuple[int, int], bool] = {}
         self.cache: dict[str, tuple[int, ...]] = {}
 
@@ -174,7 +179,7 @@ class Bpe:
             if part in self.special:
                 out.append(self.special[part])
                 continue
-            pieces = self.pieces.findall(part)
+            pieces = (self.ascii_pieces if part.isascii() else self.pieces).findall(part)
             found = list(map(cache.get, pieces))
             if None in found:
                 found = [self._kept(piece) if ids is None else ids for piece, ids in zip(pieces, found, strict=True)]
@@ -206,7 +211,7 @@ def digests(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str =
     def told(bpe: Bpe, text: str) -> tuple:
         ids = bpe.encode(text)
         decoded = bpe.decode(np.array(ids, np.int64))
-        return len(ids), hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256(decoded.encode()).hexdigest()
+        return len(ids), hashlib.sha256(",".join(map(bpe.decimals.__getitem__, ids)).encode()).hexdigest(), hashlib.sha256(decoded.encode()).hexdigest()
 
     return _mapped(docs, path, id_col, text_col, "n_tokens long, ids_sha256 string, decoded_sha256 string", told, [pa.int64(), pa.string(), pa.string()])
 
