@@ -1,34 +1,19 @@
-"""What the operators need from the cluster: a shared folder, written intermediate tables and shipped code."""
+"""What the operators need from the cluster: written intermediate tables and shipped code."""
 
 from __future__ import annotations
 
 import tempfile
-import uuid
 import zipfile
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
-#: Rows of one Arrow batch sent to a Python worker; keeps a batch of very long texts small.
-ARROW_ROWS = 256
+from keepwell.sources.shared import settle as materialize
 
+__all__ = ["materialize", "python_ready", "read"]
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir, which driver and executors share; a temporary one only where it is unset."""
-    sc = spark.sparkContext
-    found = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
-    if not found:
-        found = Path(tempfile.mkdtemp(prefix="keepwell-")).as_uri()
-        sc.setCheckpointDir(found)
-    return found.rstrip("/")
-
-
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write df to the shared folder and read it back: cuts lineage and survives lost executors."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+#: Rows of one Arrow batch sent to a Python worker; keeps a batch of very long texts small.
+ARROW_ROWS = 256
 
 
 def python_ready(spark: SparkSession) -> None:
