@@ -171,3 +171,17 @@ def test_long_texts_in_parts(monkeypatch):
     whole = trie.scores(texts)
     monkeypatch.setattr(ppm, "CHUNK", 16)
     assert np.allclose(trie.scores(texts), whole)
+
+
+@pytest.mark.parametrize("contexts,grams", [(20, 0), (300, 200)])
+def test_contexts_outside_the_trie_score_the_same(spark, monkeypatch, contexts, grams):
+    rng = np.random.default_rng(3)
+    words = ["".join(rng.choice(list("abcdé "), size=rng.integers(1, 9))) for _ in range(60)]
+    texts = {i: " ".join(rng.choice(words, size=rng.integers(0, 30))) for i in range(60)} | {60: "xyz abc", 61: ""}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    monkeypatch.setattr(ppm, "MAX_CONTEXTS", contexts)
+    monkeypatch.setattr(ppm, "MAX_GRAMS", grams)
+    got = {r["doc_id"]: r["score"] for r in ppm.score(docs, F.col("doc_id") % 3 != 0, order=5).collect()}
+    model = Reference([t.encode() for i, t in texts.items() if i % 3], 5)
+    for i, text in texts.items():
+        assert got[i] == pytest.approx(model.score(text.encode()), rel=1e-6)
