@@ -514,15 +514,12 @@ def as_query(f: Callable[[Views], DataFrame]) -> Callable[[SparkSession, str], D
 
 # -- model, explanation and streams: no SQL twin -----------------------------------------------------------------------
 
-#: Trees of the registered models; a production run takes model.train's own default.
-TREES = 10
-
 
 def fitted(v: Views):
     from keepwell.operators import model
 
     rows = model.split(feature_table(v))
-    return model.train(rows.where(~F.col("is_test")), trees=TREES), rows
+    return model.train(rows.where(~F.col("is_test"))), rows
 
 
 @job

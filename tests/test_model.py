@@ -51,3 +51,9 @@ def test_save_and_load(fitted, tmp_path):
     again = io.load_model(str(tmp_path / "m"))
     assert model.score(again, rows).agg(F.sum("churn_probability")).first() == model.score(m, rows).agg(F.sum("churn_probability")).first()
     assert abs(sum(r["importance"] for r in model.importances(again).collect()) - 1) < 1e-9
+
+
+def test_registered_queries_take_the_whole_model(views):
+    from keepwell.plans import jobs
+
+    assert jobs.fitted(views)[0].stages[-1].getNumTrees == 200
