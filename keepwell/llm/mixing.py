@@ -2,20 +2,22 @@
 
 Sources in code-point order, null last, weigh 1, 2, 3, repeating, and share 100% of all words. A target stops at
 ``MAX_REPEATS`` times its source's size; the excess is shared again by weight. Targets become whole blocks of
-``BLOCK`` words: highest quotients (weight / (2 * seats + 1)) give each source its quota, and each shard of the source
-its part. A shard lays its documents out in a seeded order as one line of words, takes whole passes of the line and then
-a run of blocks from a seeded start, so reruns agree.
+``BLOCK`` words: highest quotients (weight / (2 * seats + 1), in whole numbers) give each source its quota, and each shard
+of the source its part. A shard lays its documents out in a seeded order as one line of words, takes whole passes of the
+line and then a run of blocks from a seeded start, so reruns agree.
 
-Null texts have size 0; sizes and takings of repeated rows count per row; an empty table gives an empty result.
+Null texts have size 0; sizes and takings of repeated rows count per row; of equal quotients the earlier source, or shard,
+takes the seat; documents without id are laid out by their texts; whole texts are counted however long; an empty table
+gives an empty result. Only id, text and source are read, so other columns cannot clash.
 """
 
 from __future__ import annotations
 
-import bisect
+import heapq
 import math
 from fractions import Fraction
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from keepwell.llm.cluster import materialize
@@ -31,60 +33,62 @@ MAX_SHARDS = 16_384
 MAX_SOURCES = 100_000
 
 
-def targets(sizes: list[int], weights: list[int], repeats: int = MAX_REPEATS) -> list[float]:
+def targets(sizes: list[int], weights: list[int], repeats: int = MAX_REPEATS) -> list[Fraction]:
     """Words wanted of each source: the total by weight, never above repeats * size, the excess shared again."""
-    total, out, open_ = sum(sizes), [0.0] * len(sizes), set(range(len(sizes)))
-    left = Fraction(total)
+    out, open_ = [Fraction(0)] * len(sizes), set(range(len(sizes)))
+    left = Fraction(sum(sizes))
     while open_:
         whole = sum(weights[i] for i in open_)
         full = [i for i in open_ if left * weights[i] > repeats * sizes[i] * whole]
         if not full:
             for i in open_:
-                out[i] = float(left * weights[i] / whole)
+                out[i] = left * weights[i] / whole
             break
         for i in full:
-            out[i] = float(repeats * sizes[i])
+            out[i] = Fraction(repeats * sizes[i])
             left -= repeats * sizes[i]
             open_.remove(i)
     return out
 
 
-def sainte_lague(weights: list[float], caps: list[int], seats: int) -> list[int]:
+def sainte_lague(weights: list[int] | list[Fraction], caps: list[int], seats: int) -> list[int]:
     """Seats by highest quotient weight / (2 * own seats + 1), ties to the earlier, none above its cap.
 
-    The quotients above a threshold number floor((weight / threshold + 1) / 2) per party, so a bisection finds the last
-    threshold that stays within the house, and only the few seats that remain are dealt one by one.
+    A party has floor((weight / t + 1) / 2) quotients of t or more, so a bisection over whole multiples of a small step
+    finds a threshold t that stays within the house; the few seats that remain are dealt one by one. All of it is exact.
     """
-    seats = min(seats, sum(c for w, c in zip(weights, caps, strict=True) if w > 0))
+    scale = math.lcm(*(Fraction(w).denominator for w in weights))
+    whole = [int(w * scale) for w in weights]
+    seats = min(seats, sum(c for w, c in zip(whole, caps, strict=True) if w > 0))
     if seats <= 0:
-        return [0] * len(weights)
+        return [0] * len(whole)
+    fine = 1 << 20
 
-    def dealt(threshold: float) -> list[int]:
-        return [min(c, int((w / threshold + 1) // 2)) if w > 0 else 0 for w, c in zip(weights, caps, strict=True)]
+    def dealt(t: int) -> list[int]:  # the threshold is t / fine
+        return [min(c, (w * fine + t) // (2 * t)) if w > 0 else 0 for w, c in zip(whole, caps, strict=True)]
 
-    low, high = 0.0, max(weights) * 2.0  # too many seats at low, none at high
-    for _ in range(200):
-        mid = (low + high) / 2
-        if mid in (low, high):
-            break
+    low, high = 0, max(whole) * fine + 1  # too many seats at low, none at high
+    while high - low > 1:
+        mid = (low + high) // 2
         if sum(dealt(mid)) > seats:
             low = mid
         else:
             high = mid
     out = dealt(high)
-    quotients = sorted((-weights[i] / (2 * out[i] + 1), i) for i in range(len(out)) if out[i] < caps[i] and weights[i] > 0)
-    while sum(out) < seats:
-        _, i = quotients.pop(0)
+    quotients = [(Fraction(-w, 2 * out[i] + 1), i) for i, w in enumerate(whole) if out[i] < caps[i] and w > 0]
+    heapq.heapify(quotients)
+    for _ in range(seats - sum(out)):
+        _, i = heapq.heappop(quotients)
         out[i] += 1
         if out[i] < caps[i]:
-            bisect.insort(quotients, (-weights[i] / (2 * out[i] + 1), i))
+            heapq.heappush(quotients, (Fraction(-whole[i], 2 * out[i] + 1), i))
     return out
 
 
 def plan(shards: list[tuple[str | None, int, int, int]], block: int = BLOCK, repeats: int = MAX_REPEATS) -> list[tuple]:
     """(source, shard, words, blocks taken, source's words, source's target) from (source, shard, rows, words)."""
     by: dict[str | None, list[tuple[int, int]]] = {}
-    for source, shard, _, words in shards:
+    for source, shard, _, words in sorted(shards, key=lambda s: s[1]):
         by.setdefault(source, []).append((shard, words))
     order = sorted(by, key=lambda s: (s is None, s or ""))
     sizes = [sum(w for _, w in by[s]) for s in order]
@@ -95,23 +99,27 @@ def plan(shards: list[tuple[str | None, int, int, int]], block: int = BLOCK, rep
     out = []
     for s, size, target, quota in zip(order, sizes, want, quotas, strict=True):
         parts = sainte_lague([w for _, w in by[s]], [repeats * b for b in blocks[s]], quota)
-        out += [(s, shard, words, part, size, target) for (shard, words), part in zip(by[s], parts, strict=True)]
+        out += [(s, shard, words, part, size, float(target)) for (shard, words), part in zip(by[s], parts, strict=True)]
     return out
 
 
-def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", block: int = BLOCK, seed: int = SEED) -> DataFrame:
-    """One row per document: doc_id, source, size, source_size, target, taken (words, repeats counted), copies (for whole documents)."""
+def _place(id_col: str, text_col: str, seed: int) -> Column:
+    """A row's place in its shard's line, from which its shard follows too."""
+    return F.xxhash64(F.lit(seed), F.coalesce(F.col(id_col).cast("string"), F.concat(F.lit("text "), F.coalesce(F.col(text_col), F.lit("")))))
+
+
+def _laid(docs: DataFrame, id_col: str, text_col: str, source_col: str, block: int, seed: int) -> tuple[DataFrame, DataFrame]:
+    """Each document with what the mix takes of it, and the number of shards by source."""
     spark = docs.sparkSession
-    rows = materialize(docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).cast("string").alias("source"), word_count(F.col(text_col)).alias("size")), "sizes")
+    place = _place(id_col, text_col, seed)
+    rows = materialize(docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).cast("string").alias("source"), word_count(F.col(text_col)).alias("size"), place.alias("place")), "sizes")
     per_source = rows.groupBy("source").agg(F.count("*").alias("n"))
-    n_sources = per_source.count()
+    n_sources, n_rows = per_source.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
     if n_sources > MAX_SOURCES:
         raise ValueError(f"{n_sources} sources; a mix has at most {MAX_SOURCES}")
-    n_rows = rows.count()
     rows_a_shard = max(SHARD_ROWS, math.ceil(n_rows / MAX_SHARDS))
-    split = F.broadcast(per_source.select(F.col("source").alias("__source"), F.ceil(F.col("n") / rows_a_shard).cast("int").alias("__shards")))
-    place = F.xxhash64(F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
-    dealt = rows.join(split, rows.source.eqNullSafe(F.col("__source"))).select("doc_id", "source", "size", place.alias("place"), F.pmod(F.shiftright(place, 20), F.col("__shards")).cast("int").alias("shard"))
+    shards = per_source.select(F.col("source").alias("__source"), F.ceil(F.col("n") / rows_a_shard).cast("int").alias("__shards"))
+    dealt = rows.join(F.broadcast(shards), rows.source.eqNullSafe(F.col("__source"))).select("doc_id", "source", "size", "place", _shard().alias("shard"))
     found = dealt.groupBy("source", "shard").agg(F.count("*").alias("n"), F.sum("size").alias("words")).collect()  # MAX_SHARDS + MAX_SOURCES rows at most
     quotas = spark.createDataFrame(plan([tuple(r) for r in found], block), "__source string, __shard int, line long, quota long, source_size long, target double")
 
@@ -125,18 +133,47 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     # the run [first, first + rest) of the line, and what runs over its end at the line's beginning, in whole blocks
     over = F.greatest(F.lit(0), first + rest - n_blocks * block)
     common = lambda a, b: F.greatest(F.lit(0), F.least(F.col("end"), b) - F.greatest(F.col("begin"), a))
-    taken = passes * F.col("size") + common(first, first + rest) + common(F.lit(0), over)
+    once = common(first, first + rest) + common(F.lit(0), over)
     starts = ((F.col("begin") >= first) & (F.col("begin") < first + rest)) | (F.col("begin") < over)
-    copies = passes + F.when(starts, 1).otherwise(0)
-    return joined.select("doc_id", "source", "size", "source_size", "target", taken.cast("long").alias("taken"), copies.alias("copies"))
+    again = F.when(F.col("size") > 0, 2 * once >= F.col("size")).otherwise(starts)
+    taken = (passes * F.col("size") + once).cast("long").alias("taken")
+    columns = ["doc_id", "source", "size", "source_size", "target", "shard", "place"]
+    return joined.select(*columns, taken, passes.alias("passes"), again.alias("again"), ((F.col("end") > first) | (F.col("begin") >= first)).alias("late")), shards
+
+
+def _shard() -> Column:
+    return F.pmod(F.shiftright("place", 20), F.col("__shards")).cast("int")
 
 
-def apply_mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """The mixed documents with their own columns, a row for each copy the mix takes: whole passes, and one more where the
-    run of blocks holds the document's first word. Rows that share an id take as many copies as the most of them."""
-    copies = mix(docs, id_col, text_col, source_col).groupBy(F.col("doc_id").alias("__mixed_id")).agg(F.max("copies").alias("__copies"))
-    joined = docs.join(copies.where("__copies > 0"), docs[id_col].eqNullSafe(F.col("__mixed_id")))
-    return joined.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies").cast("int")))).select(*[docs[c] for c in docs.columns])
+def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", block: int = BLOCK, seed: int = SEED) -> DataFrame:
+    """One row per document: doc_id, source, size, source_size, target, taken (words, repeats counted), copies (for whole
+    documents: its passes, and one more where the run of blocks takes at least half of it)."""
+    laid, _ = _laid(docs, id_col, text_col, source_col, block, seed)
+    return laid.select("doc_id", "source", "size", "source_size", "target", "taken", (F.col("passes") + F.col("again").cast("long")).alias("copies"))
+
+
+def apply_mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", block: int = BLOCK, seed: int = SEED) -> DataFrame:
+    """The mixed documents with their own columns, a row for each copy.
+
+    The documents that a shard takes once more than its passes stand side by side in its line, from the run's begin to
+    its end and, where the run goes over the end, from the line's begin on. So two intervals of places for each shard say
+    how often any document is taken: these are broadcast, MAX_SHARDS + MAX_SOURCES rows at most, and no text is shuffled.
+    Rows that share an id, or a text where there is none, stand in one place and are taken equally often.
+    """
+    laid, shards = _laid(docs, id_col, text_col, source_col, block, seed)
+    bound = lambda f, late: f(F.when(F.col("again") & (F.col("late") == late), F.col("place")))
+    runs = laid.groupBy(F.col("source").alias("__of"), F.col("shard").alias("__in")).agg(
+        F.first("passes").alias("__passes"), bound(F.min, True).alias("__from"), bound(F.max, True).alias("__to"), bound(F.min, False).alias("__from2"), bound(F.max, False).alias("__to2")
+    )
+    runs = materialize(runs, "runs")
+    source = docs[source_col].cast("string")
+    marked = docs.join(F.broadcast(shards), source.eqNullSafe(F.col("__source")))
+    place = _place(id_col, text_col, seed)
+    shard = F.pmod(F.shiftright(place, 20), F.col("__shards")).cast("int")
+    marked = marked.join(F.broadcast(runs), source.eqNullSafe(F.col("__of")) & (shard == F.col("__in")))
+    again = F.coalesce(place.between(F.col("__from"), F.col("__to")), F.lit(False)) | F.coalesce(place.between(F.col("__from2"), F.col("__to2")), F.lit(False))
+    copies = (F.col("__passes") + again.cast("long")).cast("int")
+    return marked.where(copies > 0).withColumn("__copy", F.explode(F.array_repeat(F.lit(1), copies))).select(*[docs[c] for c in docs.columns])
 
 
 def query(spark, sf_dir):

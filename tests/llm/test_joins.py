@@ -1,7 +1,9 @@
 """Exact copies, near copies, components and mixing against brute force."""
 
+import math
 import random
 from collections import Counter, defaultdict
+from fractions import Fraction
 
 import numpy as np
 import pytest
@@ -168,18 +170,40 @@ def test_exact_copies_with_hot_texts(spark):
     assert {r["doc_id"] for r in exact_dedup.drop_copies(df).collect()} == {k for k, _ in want.values()}
 
 
+def seats_one_by_one(weights, caps, seats):
+    out = [0] * len(weights)
+    for _ in range(seats):
+        open_ = [i for i in range(len(weights)) if out[i] < caps[i] and weights[i] > 0]
+        if not open_:
+            break
+        out[max(open_, key=lambda i: (Fraction(weights[i]) / (2 * out[i] + 1), -i))] += 1
+    return out
+
+
 @settings(max_examples=200, deadline=None)
 @given(st.lists(st.integers(0, 50), min_size=1, max_size=8), st.integers(0, 120), st.data())
 def test_seats(weights, seats, data):
     caps = [data.draw(st.integers(0, 40)) for _ in weights]
-    got = mixing.sainte_lague(weights, caps, seats)
-    want = [0] * len(weights)
-    for _ in range(seats):
-        open_ = [i for i in range(len(weights)) if want[i] < caps[i] and weights[i] > 0]
-        if not open_:
-            break
-        want[max(open_, key=lambda i: (weights[i] / (2 * want[i] + 1), -i))] += 1
-    assert got == want
+    assert mixing.sainte_lague(weights, caps, seats) == seats_one_by_one(weights, caps, seats)
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.fractions(0, 9, max_denominator=12), min_size=1, max_size=6), st.integers(0, 200))
+def test_seats_of_fractions(weights, seats):
+    caps = [60] * len(weights)
+    assert mixing.sainte_lague(weights, caps, seats) == seats_one_by_one(weights, caps, seats)
+
+
+@pytest.mark.parametrize(
+    "weights,caps,seats",
+    [
+        ([3, 5, 5, 1], [26, 39, 40, 9], 113), ([0, 0, 3, 0, 5, 5, 1], [0, 0, 26, 0, 39, 40, 9], 113), ([1, 1, 1], [9, 9, 9], 4), ([1, 3, 9], [50] * 3, 39), ([9, 3, 1], [50] * 3, 38),
+        ([2, 6], [40, 40], 7), ([3, 1], [99, 99], 102), ([51 * 17, 51, 17], [2000] * 3, 1234), ([], [], 5), ([4], [2], 9),
+    ],
+)
+def test_ties_of_unequal_weights(weights, caps, seats):
+    """3/51 and 1/17 are one quotient: the earlier party takes the seat."""
+    assert mixing.sainte_lague(weights, caps, seats) == seats_one_by_one(weights, caps, seats)
 
 
 @settings(max_examples=200, deadline=None)
@@ -212,6 +236,78 @@ def test_mix(spark):
         assert abs(taken - target) <= max(64, 0.01 * target), (size, taken, target)
 
 
+def mixed_by_hand(spark, rows, block, seed):
+    """doc_id -> (size, source_size, target, taken, copies): the words of each line written out one by one."""
+    hashed = spark.createDataFrame(rows, "doc_id long, text string, source string").selectExpr("doc_id", "source", f"xxhash64({seed}, CAST(doc_id AS STRING)) AS place")
+    places = {r["doc_id"]: r["place"] for r in hashed.collect()}
+    docs = defaultdict(list)
+    for i, text, source in rows:
+        docs[source].append((places[i], i, len((text or "").split())))
+    order = sorted(docs, key=lambda s: (s is None, s or ""))
+    sizes = [sum(n for _, _, n in docs[s]) for s in order]
+    want, left, open_ = {}, Fraction(sum(sizes)), list(range(len(order)))
+    while True:  # water filling, one full source at a time
+        whole = sum(1 + i % 3 for i in open_)
+        full = next((i for i in open_ if left * (1 + i % 3) > 3 * sizes[i] * whole), None)
+        if full is None:
+            want |= {i: left * (1 + i % 3) / whole for i in open_}
+            break
+        want[full] = Fraction(3 * sizes[full])
+        left -= want[full]
+        open_.remove(full)
+    shards = {s: defaultdict(list) for s in order}
+    for s in order:
+        n_shards = math.ceil(len(docs[s]) / mixing.SHARD_ROWS)
+        for place, i, n in sorted(docs[s]):
+            shards[s][(place >> 20) % n_shards].append((i, n))
+    n_blocks = lambda line: math.ceil(sum(n for _, n in line) / block)
+    quotas = seats_one_by_one([want[k] for k in range(len(order))], [3 * sum(map(n_blocks, shards[s].values())) for s in order], round(sum(want.values()) / block))
+    starts = {(r["source"], r["shard"]): r["h"] for r in spark.createDataFrame([(s, k) for s in order for k in shards[s]], "source string, shard int").selectExpr("source", "shard", f"xxhash64({seed}, source, shard) AS h").collect()}
+    out = {}
+    for k, s in enumerate(order):
+        lines = sorted(shards[s].items())
+        parts = seats_one_by_one([sum(n for _, n in line) for _, line in lines], [3 * n_blocks(line) for _, line in lines], quotas[k])
+        for (shard, line), part in zip(lines, parts, strict=True):
+            words = [i for i, n in line for _ in range(n)]
+            blocks = [words[j : j + block] for j in range(0, len(words), block)]
+            first = starts[s, shard] % len(blocks) if blocks else 0
+            taken = Counter(w for j in range(part) for w in blocks[(first + j) % len(blocks)])
+            passes = part // len(blocks) if blocks else 0
+            for i, n in line:
+                once = taken[i] - passes * n
+                out[i] = (n, sizes[k], float(want[k]), taken[i], None if n == 0 else passes + (2 * once >= n))
+    return out
+
+
+@pytest.mark.parametrize("shard_rows,block", [(50, 16), (7, 5), (2000, 16)])
+def test_mix_against_brute_force(spark, monkeypatch, shard_rows, block):
+    monkeypatch.setattr(mixing, "SHARD_ROWS", shard_rows)
+    rng = random.Random(shard_rows)
+    rows = [(i, "w " * rng.choice([0, 1, 3, 17, 40, 200, 3000 if i % 97 == 0 else 5]), rng.choice(["a"] * 20 + ["b"] * 3 + ["B", "é", None])) for i in range(600)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    want = mixed_by_hand(spark, rows, block, mixing.SEED)
+    got = {r["doc_id"]: r for r in mixing.mix(df.repartition(3), block=block).collect()}
+    for i, (size, source_size, target, taken, copies) in want.items():
+        r = got[i]
+        assert (r["size"], r["source_size"], r["taken"]) == (size, source_size, taken) and r["target"] == pytest.approx(target)
+        assert copies in (None, r["copies"])
+    emitted = Counter(r["doc_id"] for r in mixing.apply_mix(df, block=block).collect())
+    assert emitted == Counter({i: r["copies"] for i, r in got.items() if r["copies"]})
+
+
+def test_emitted_words_follow_the_target_with_long_documents(spark):
+    """Each border of a run is off by half a document at most."""
+    rng = random.Random(11)
+    rows = [(i, "w " * (20_000 if i % 40 == 0 else rng.randrange(5, 60)), "long" if i % 4 == 0 else "short") for i in range(2000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = mixing.mix(df).groupBy("source").agg({"taken": "sum", "target": "max"}).collect()
+    emitted = Counter()
+    for r in mixing.apply_mix(df).select("source", "text").collect():
+        emitted[r["source"]] += len(r["text"].split())
+    for r in got:
+        assert abs(emitted[r["source"]] - r["max(target)"]) <= 20_000 + 64, (r, emitted)
+
+
 def test_pipeline_stages(spark):
     """Each stage against brute force on its own input."""
     folder = "/root/testdata/sf0.01"
