@@ -36,7 +36,7 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of each document, and whether they decode to its text."""
-    return bpe.encode_checked(docs, bpe.default_path())
+    return bpe.encode_checked(docs)
 
 
 STAGES = [("quality_classifier", quality), ("exact_dedup", exact_copies), ("ngram_jaccard", near_copies), ("mixing", mix), ("bpe", encode)]

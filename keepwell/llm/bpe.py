@@ -27,7 +27,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from keepwell.llm.cluster import python_ready
+from keepwell.llm.cluster import python_ready, small
 
 #: Pieces kept with their ids in each worker, and the longest that is kept: about 100 MB.
 CACHE_PIECES, CACHE_CHARS = 400_000, 32
@@ -195,17 +195,24 @@ class Bpe:
         return self.blob[places].tobytes().decode("utf-8", "replace")
 
 
+def default_path() -> str:
+    import public_tokenizers
+
+    return str(public_tokenizers.path("byte_bpe_50k.json"))
+
+
 @lru_cache(maxsize=2)
-def load(path: str) -> Bpe:
-    return Bpe(path)
+def load(path: str | None = None) -> Bpe:
+    """The vocabulary at a path, or the default one, which each machine looks up for itself."""
+    return Bpe(default_path() if path is None else path)
 
 
-def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def encode(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: doc_id, ids (array of int)."""
     return _mapped(docs, path, id_col, text_col, "ids array<int>", lambda bpe, text: (bpe.encode(text),), [pa.list_(pa.int32())])
 
 
-def digests(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def digests(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: doc_id, n_tokens, ids_sha256, decoded_sha256; the text decoded from the ids is not kept."""
 
     def told(bpe: Bpe, text: str) -> tuple:
@@ -216,7 +223,7 @@ def digests(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str =
     return _mapped(docs, path, id_col, text_col, "n_tokens long, ids_sha256 string, decoded_sha256 string", told, [pa.int64(), pa.string(), pa.string()])
 
 
-def encode_checked(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def encode_checked(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: doc_id, n_tokens, ids, round_trip (whether decoding the ids gives the text)."""
 
     def told(bpe: Bpe, text: str) -> tuple:
@@ -226,17 +233,17 @@ def encode_checked(docs: DataFrame, path: str, id_col: str = "doc_id", text_col:
     return _mapped(docs, path, id_col, text_col, "n_tokens long, ids array<int>, round_trip boolean", told, [pa.int64(), pa.list_(pa.int32()), pa.bool_()])
 
 
-def decode(encoded: DataFrame, path: str, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
+def decode(encoded: DataFrame, path: str | None = None, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
     """One row per input row: doc_id, text."""
     return _mapped(encoded, path, id_col, ids_col, "text string", lambda bpe, ids: (bpe.decode(np.array(ids, np.int64)),), [pa.string()], [])
 
 
-def _mapped(rows: DataFrame, path: str, id_col: str, value_col: str, columns: str, f, types: list[pa.DataType], empty="") -> DataFrame:
+def _mapped(rows: DataFrame, path: str | None, id_col: str, value_col: str, columns: str, f, types: list[pa.DataType], empty="") -> DataFrame:
     python_ready(rows.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = load(path)
-        for batch in batches:
+        for batch in small(batches):
             found = [f(bpe, empty if v is None else v) for v in batch.column(1).to_pylist()]
             columns_ = zip(*found, strict=True) if found else [[] for _ in types]
             yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(list(c), t) for c, t in zip(columns_, types, strict=True)]], names=["doc_id", *[c.split()[0] for c in columns.split(", ")]])
@@ -245,11 +252,5 @@ def _mapped(rows: DataFrame, path: str, id_col: str, value_col: str, columns: st
     return picked.mapInArrow(run, f"doc_id {picked.schema['doc_id'].dataType.simpleString()}, {columns}")
 
 
-def default_path() -> str:
-    import public_tokenizers
-
-    return str(public_tokenizers.path("byte_bpe_50k.json"))
-
-
 def query(spark, sf_dir):
-    return digests(spark.read.parquet(f"{sf_dir}/documents.parquet"), default_path())
+    return digests(spark.read.parquet(f"{sf_dir}/documents.parquet"))

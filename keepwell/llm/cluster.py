@@ -1,23 +1,30 @@
-"""What the operators need from the cluster: written intermediate tables and shipped code."""
+"""What the operators need from the cluster: written intermediate tables, shipped code, and joins that leave texts in place."""
 
 from __future__ import annotations
 
 import tempfile
 import zipfile
+from collections.abc import Iterator
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from keepwell.sources.shared import settle as materialize
 
-__all__ = ["materialize", "python_ready", "read"]
+__all__ = ["materialize", "meet", "python_ready", "read", "small", "without"]
 
-#: Rows of one Arrow batch sent to a Python worker; keeps a batch of very long texts small.
-ARROW_ROWS = 256
+#: Rows worked on at a time in a Python worker. Spark bounds a batch by bytes; this bounds what is made from it.
+BATCH_ROWS = 256
+#: Keys of rows to leave out that are broadcast at most (about 30 MB); beyond that the rows meet them in a shuffle.
+MOST_BROADCAST = 250_000
+#: Keys that are met by a broadcast because many rows have them, and the rows that a key needs for it.
+HOT_KEYS, LEAST_HOT = 4096, 1000
 
 
 def python_ready(spark: SparkSession) -> None:
-    """Ship this package to the Python workers once per application and bound their Arrow batches."""
+    """Ship this package to the Python workers once per application."""
     sc = spark.sparkContext
     if getattr(sc, "_keepwell_shipped", False) is False:
         root = Path(__file__).resolve().parents[2]
@@ -27,8 +34,29 @@ def python_ready(spark: SparkSession) -> None:
                 z.write(p, p.relative_to(root))
         sc.addPyFile(str(target))
         sc._keepwell_shipped = True
-    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > ARROW_ROWS:
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
+
+
+def small(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches of BATCH_ROWS at most."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, BATCH_ROWS):
+            yield batch.slice(at, BATCH_ROWS)
+
+
+def without(rows: DataFrame, gone: DataFrame, on: Column) -> DataFrame:
+    """The rows that no row of gone, a written table, matches. The broadcast of gone is bounded by its count."""
+    return rows.join(F.broadcast(gone) if gone.count() <= MOST_BROADCAST else gone, on, "left_anti")
+
+
+def meet(rows: DataFrame, table: DataFrame, key: str, n: str, n_rows: int) -> DataFrame:
+    """rows joined with a written table that has one row for each key and, in column n, how many of the n_rows rows have it.
+    Keys with more than one row in HOT_KEYS are broadcast, HOT_KEYS of them at most, so their rows stay where they are;
+    the others meet in a shuffle, in which no key has more than that share."""
+    least = max(n_rows // HOT_KEYS, LEAST_HOT) + 1
+    hot = F.broadcast(table.where(F.col(n) >= least).drop(n))
+    settled = rows.join(hot, key)
+    others = rows.join(F.broadcast(table.where(F.col(n) >= least).select(key)), key, "left_anti").join(table.where(F.col(n) < least).drop(n), key)
+    return settled.unionByName(others)
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from keepwell.llm.cluster import materialize
+from keepwell.sources.shared import new_path, remove
 
 MOST_ROUNDS = 60
 
@@ -15,19 +16,21 @@ def components(edges: DataFrame) -> DataFrame:
 
     Large star: each neighbour above a node is hung on the least node it sees. Small star: so are those below it, and the
     node. Edges never grow in number, components stay the same, and in the end each node hangs on the least of its
-    component. Nodes with very many neighbours are only ever met by a minimum and a join on it, which Spark pre-aggregates
-    and splits.
+    component. A node with very many neighbours is met by a minimum, which is pre-aggregated, and by a join with that one
+    row, whose long side the adaptive skew join splits. A round's table is deleted when the next one is written.
     """
-    now = _tidy(edges.select("a", "b"))
-    now, state = _kept(now)
-    for _ in range(MOST_ROUNDS):
+    spark = edges.sparkSession
+    root = new_path(spark, "edges")
+    now, state = _kept(_tidy(edges.select("a", "b")), f"{root}/0")
+    for i in range(1, MOST_ROUNDS):
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
         large = _tidy(both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")))
         # now a > b in every row: b are the lower neighbours of a
         low = large.groupBy("a").agg(F.min("b").alias("m"))
         hung = large.join(low, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        now, new_state = _kept(_tidy(hung.unionByName(low.select("a", F.col("m").alias("b")))))
+        now, new_state = _kept(_tidy(hung.unionByName(low.select("a", F.col("m").alias("b")))), f"{root}/{i}")
+        remove(spark, f"{root}/{i - 1}")
         if new_state == state:
             return now.groupBy("a").agg(F.min("b").alias("component")).select(F.col("a").alias("node"), "component").unionByName(now.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())
         state = new_state
@@ -38,6 +41,6 @@ def _tidy(edges: DataFrame) -> DataFrame:
     return edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
 
 
-def _kept(edges: DataFrame) -> tuple[DataFrame, tuple]:
-    written = materialize(edges, "edges")
+def _kept(edges: DataFrame, path: str) -> tuple[DataFrame, tuple]:
+    written = materialize(edges, "edges", path)
     return written, tuple(written.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())

@@ -1,9 +1,9 @@
 """Exact duplicates: heavy hitters are settled map-side, the other digests through an ordinary shuffle.
 
-Built from DataFrame and SQL functions alone. Texts are equal when identical after lower-casing A-Z; null counts as
-empty. Of equal texts the rows with the largest id stay: rows that repeat both id and text are one document and share
-its verdict, a null id loses against any other, and an empty table gives an empty result. Further columns of the input
-are never read, so their names cannot clash.
+Built from DataFrame and SQL functions alone. Texts are equal when identical after lower-casing A-Z, whole however long;
+null counts as empty. Of equal texts the document with the largest id stays. Rows that repeat both id and text are one
+document and share its verdict, and where rows are dropped only one of them is left, whichever it is. A null id loses
+against any other, and an empty table gives an empty result. Further columns are never read, so their names cannot clash.
 """
 
 from __future__ import annotations
@@ -11,13 +11,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from keepwell.llm.cluster import materialize
+from keepwell.llm.cluster import MOST_BROADCAST, materialize, without
 from keepwell.llm.textcols import ascii_lower
 
-#: Counters of the frequent-items sketch: each digest with more than 1/TRACKED of all rows is among its candidates.
-TRACKED = 4096
-#: Candidates that are verified and broadcast at most: a fixed bound of 256 rows of about 100 bytes.
-HOT = 256
+#: Counters of the frequent-items sketch, and candidates that are verified and broadcast at most (400 KB). The sketch may be
+#: off by 3.5 / 8192 of the rows, so each digest with more than about one row in 2000 is among the candidates.
+TRACKED = HOT = 4096
 
 
 def digest(text: Column) -> Column:
@@ -29,8 +28,8 @@ def mark_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """One row per input row: doc_id, keep_id, group_size, kept, text_sha256.
 
     A frequent-items sketch (a Misra-Gries summary, merged over the tasks) proposes at most ``hot`` digests. Their exact
-    winners come from a pre-aggregated count and are broadcast, so the copies of a hot text are never shuffled. No other
-    digest has more than about 1/``tracked`` of all rows, and those meet in an ordinary shuffle of ids and digests.
+    winners come from a pre-aggregated count and are broadcast, so the copies of a hot text are never shuffled. With the
+    defaults no other digest has more than one row in 2000, and those meet in an ordinary shuffle of ids and digests.
     """
     rows = materialize(docs.select(F.col(id_col).alias("doc_id"), digest(F.col(text_col)).alias("text_sha256")), "digests")
     proposed = rows.agg(F.expr(f"approx_top_k(text_sha256, {hot}, {tracked})").alias("top")).select(F.explode("top").alias("t"))
@@ -52,10 +51,21 @@ def mark_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs that stay, with their own columns."""
-    gone = mark_copies(docs, id_col, text_col).where(~F.col("kept")).select(F.col("doc_id").alias("__gone_id"), F.col("text_sha256").alias("__gone_digest")).distinct()
-    own = digest(docs[text_col])
-    return docs.join(gone, docs[id_col].eqNullSafe(F.col("__gone_id")) & (own == F.col("__gone_digest")), "left_anti")
+    """The rows of docs that stay, with their own columns, each document once.
+
+    Ids and digests of what goes are broadcast up to a size, so texts are not shuffled. Rows that repeat a document are
+    a table of their own; only these are gathered, pre-aggregated to one row for each document.
+    """
+    marks = mark_copies(docs, id_col, text_col).groupBy("doc_id", "text_sha256").agg(F.first("kept").alias("kept"), F.count("*").alias("n")).where("NOT kept OR n > 1")
+    marks = materialize(marks.select(F.col("doc_id").alias("__id"), F.col("text_sha256").alias("__digest"), "kept"), "marks")
+    same = docs[id_col].eqNullSafe(F.col("__id")) & (digest(docs[text_col]) == F.col("__digest"))
+    once = without(docs, marks.select("__id", "__digest"), same)
+    repeated = marks.where("kept").select("__id", "__digest")
+    n = repeated.count()
+    if n == 0:
+        return once
+    rows = docs.join(F.broadcast(repeated) if n <= MOST_BROADCAST else repeated, same).select("__id", "__digest", F.struct(*[docs[c] for c in docs.columns]).alias("__row"))
+    return once.unionAll(rows.groupBy("__id", "__digest").agg(F.first("__row").alias("__row")).select("__row.*"))
 
 
 def query(spark, sf_dir):

@@ -5,20 +5,21 @@
    range is cut into more than D segments, they agree in the whole of one segment at least. Sets that share a segment's
    signature are a neighbourhood, named after its least id. Nothing is lost, and a word, line or passage that many
    documents share does not bring them together unless it fills a segment.
-3. Neighbourhoods are cut into groups of similar sets by a bound: each set has a bit array in which every token flips one
-   bit, so two sets differ in at least as many tokens as their arrays in bits. Pairs that this rules out are no link, and
-   what the others join are the groups.
-4. In a group, sets in order of their least tokens are packed into bundles, and the token-group matrix holds which token
-   is in the union of which bundle. A set's overlap with a union bounds its overlap with each member, so only bundles
-   whose bound reaches the threshold are opened, and their members compared exactly. Links found once are followed: a set
-   whose component is known is not compared again, so a task returns a spanning forest and never all pairs.
+3. In a neighbourhood the token-group matrix decides. A row of it is a group of similar sets and holds the union of their
+   tokens, each token as one bit. The sets come in order of size, and each is a query: how many of its tokens lie outside
+   a group's union bounds its overlap with every member, so only groups whose bound reaches the threshold are opened, and
+   their members bounded one by one. Then the set joins the group that holds most of it, or begins one. A group whose
+   members are all joined with the set already is not opened, so a task returns a spanning forest and never all pairs.
+4. What those pairs join is compared exactly, again by groups and their unions, now of whole tokens.
 5. Components of those links, from the least id.
 
-Neighbourhoods larger than ``BLOCK_SETS`` and groups larger than ``BLOCK_TOKENS`` are dealt out in blocks, and each pair of
-blocks is a task of its own.
+Neighbourhoods larger than ``BLOCK_SETS`` and what has more tokens than ``BLOCK_TOKENS`` are dealt out in blocks, and each
+pair of blocks is a task of its own. Any threshold above 0 is exact; low ones have large segments and cost more.
 
-Rows without id and documents without words link with nothing. Rows that share an id are one document with the links of
-each of its texts. An empty table gives an empty result. Only id and text are read, so other columns cannot clash.
+Null texts count as empty. Rows without id and documents without words link with nothing, and texts are read whole however
+long. Rows that share an id are one document with the links of each of its texts. Equal sets are joined whatever their
+number, the least id names a component, and an empty table gives an empty result. Only id and text are read, so other
+columns cannot clash.
 """
 
 from __future__ import annotations
@@ -33,17 +34,15 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from keepwell.llm.cluster import materialize, python_ready
+from keepwell.llm.cluster import MOST_BROADCAST, materialize, meet, python_ready, small, without
 from keepwell.llm.components import components
 
 #: Sets of a block of a neighbourhood.
 BLOCK_SETS = 10_000
 #: Tokens of a block of a group: 32 MB of hashes.
 BLOCK_TOKENS = 4_000_000
-#: Ids that are broadcast at most (about 24 MB); beyond that the texts meet them in a shuffle.
-MOST_BROADCAST = 500_000
-#: Sets in a bundle of the token-group matrix.
-BUNDLE = 16
+#: Sets in a group of the token-group matrix.
+GROUP = 16
 #: Each band of sizes reaches up to this many times its least size.
 BAND = 1.3
 
@@ -120,102 +119,174 @@ def segment_keys(tokens: np.ndarray, num: int, den: int) -> np.ndarray:
     return np.unique(np.concatenate(out)) if out else np.zeros(0, np.uint64)
 
 
-# -- bit arrays --------------------------------------------------------------------------------------------------------
+# -- the token-group matrix of bits ------------------------------------------------------------------------------------
 
 
-def parity_bits(tokens: np.ndarray) -> bytes:
-    """A bit array, in width the power of two from twice the set's size on, 64 at least, in which each token flips a bit."""
-    width = max(64, 1 << (2 * len(tokens) - 1).bit_length())
-    at = (mix(tokens + np.uint64(ODD[1])) & np.uint64(width - 1)).astype(np.int64)
-    return np.packbits((np.bincount(at, minlength=width) & 1).astype(np.uint8), bitorder="little").tobytes()
+def token_bits(tokens: np.ndarray) -> bytes:
+    """A bit array, in width the power of two from four times the set's size on, 64 at least, with a bit for each token."""
+    width = max(64, 1 << (4 * len(tokens) - 1).bit_length())
+    out = np.zeros(width, np.uint8)
+    out[(mix(tokens + np.uint64(ODD[1])) & np.uint64(width - 1)).astype(np.int64)] = 1
+    return np.packbits(out, bitorder="little").tobytes()
 
 
 def folded(bits: np.ndarray, size: int) -> np.ndarray:
-    """The bit array as it would be in ``size`` bytes: which bit a token flips depends on the low bits of its hash."""
+    """The bit array as it would be in ``size`` bytes: which bit a token has depends on the low bits of its hash."""
     while len(bits) > size:
-        bits = bits[: len(bits) // 2] ^ bits[len(bits) // 2 :]
+        bits = bits[: len(bits) // 2] | bits[len(bits) // 2 :]
     return bits
 
 
 def most_different(a: np.ndarray | int, b: np.ndarray | int, num: int, den: int) -> np.ndarray | int:
     """Tokens in which similar sets of these sizes may differ."""
-    return a + b - 2 * -(-num * (a + b) // (num + den))
-
-
-def bounded_forest(sizes: np.ndarray, arrays: list[bytes], num: int, den: int) -> Iterator[tuple[int, int]]:
-    """A spanning forest of the pairs whose sizes and bit arrays do not rule them out."""
-    order = np.argsort(sizes, kind="stable")
-    byte_sizes = np.array([len(a) for a in arrays])
-    # arrays of one width in one matrix, and the same folded to half, as a similar set may be of the next width down
-    rows, whole, half = np.zeros(len(sizes), np.int64), {}, {}
-    for width in np.unique(byte_sizes):
-        own = np.flatnonzero(byte_sizes == width)
-        rows[own] = np.arange(len(own))
-        whole[width] = np.frombuffer(b"".join(arrays[i] for i in own), np.uint8).reshape(len(own), width)
-        half[width] = whole[width][:, : width // 2] ^ whole[width][:, width // 2 :]
-    sorted_sizes = sizes[order]
-    waiting = np.ones(len(sizes), bool)
-    for root in range(len(sizes)):
-        if not waiting[root]:
-            continue
-        waiting[root] = False
-        todo = [root]
-        while todo:
-            i = todo.pop()
-            n, width = int(sizes[i]), int(byte_sizes[i])
-            near = order[np.searchsorted(sorted_sizes, -(-num * n // den)) : np.searchsorted(sorted_sizes, n * den // num, side="right")]
-            near = near[waiting[near]]
-            for other in (width // 2, width, 2 * width):
-                js = near[byte_sizes[near] == other]
-                if len(js) == 0:
-                    continue
-                mine = half[width][rows[i]] if other < width else whole[width][rows[i]]
-                theirs = (half[other] if other > width else whole[other])[rows[js]]
-                differ = np.bitwise_count(np.bitwise_xor(theirs, mine)).sum(axis=1, dtype=np.int64)
-                for j in js[differ <= most_different(n, sizes[js], num, den)].tolist():
-                    waiting[j] = False
-                    todo.append(j)
-                    yield i, j
+    return a + b - 2 * least_common(a, b, num, den)
+
+
+def least_common(a: np.ndarray | int, b: np.ndarray | int, num: int, den: int) -> np.ndarray | int:
+    """Tokens that similar sets of these sizes have in common at least."""
+    return -(-num * (a + b) // (num + den))
+
+
+class Grown:
+    """Rows of one width in an array that grows."""
+
+    def __init__(self, width: int):
+        self.rows, self.n = np.zeros((8, width), np.uint8), 0
+
+    def add(self, row: np.ndarray) -> None:
+        if self.n == len(self.rows):
+            self.rows = np.concatenate([self.rows, np.zeros_like(self.rows)])
+        self.rows[self.n] = row
+        self.n += 1
+
+
+class BitGroups:
+    """The groups of sets whose bit arrays have one width: their unions, members, and sizes of members."""
 
+    def __init__(self, width: int):
+        self.unions, self.arrays = Grown(width), Grown(width)
+        self.members: list[list[tuple[int, int]]] = []  # set and its row in arrays
+        self.least, self.most = [], []
+        self.joined: list[int | None] = []  # a member by which all others are known to be joined, else None
 
-# -- groups ------------------------------------------------------------------------------------------------------------
+    def missing(self, bits: np.ndarray, start: int) -> np.ndarray:
+        """Of the set with these bits, the tokens at least that are outside each union from start on."""
+        return np.bitwise_count(bits & ~self.unions.rows[start : self.unions.n]).sum(axis=1, dtype=np.int64)
+
+    def put(self, i: int, size: int, bits: np.ndarray, group: int | None) -> int:
+        if group is None:
+            group = self.unions.n
+            self.unions.add(bits)
+            self.members.append([])
+            self.least.append(size)
+            self.most.append(size)
+            self.joined.append(i)
+        else:
+            self.unions.rows[group] |= bits
+            self.most[group] = size
+        self.members[group].append((i, self.arrays.n))
+        self.arrays.add(bits)
+        return group
+
+
+class BitMatrix:
+    """The token-group matrix of a neighbourhood. bounded: query and group met; opened: of these, the bound let through."""
+
+    def __init__(self, sizes: np.ndarray, arrays: list[bytes], num: int, den: int):
+        self.sizes, self.arrays, self.num, self.den = sizes, arrays, num, den
+        self.up = list(range(len(sizes)))
+        self.bounded = self.opened = 0
+
+    def root(self, i: int) -> int:
+        while self.up[i] != i:
+            self.up[i] = i = self.up[self.up[i]]
+        return i
+
+    def forest(self) -> Iterator[tuple[int, int]]:
+        """A spanning forest of the pairs whose sizes and bits do not rule them out."""
+        num, den = self.num, self.den
+        of_width: dict[int, BitGroups] = {}
+        for i in np.argsort(self.sizes, kind="stable").tolist():  # so all sets met are as large at most, and in width too
+            n, own = int(self.sizes[i]), np.frombuffer(self.arrays[i], np.uint8)
+            least = -(-num * n // den)
+            home = None
+            for width, groups in of_width.items():
+                start = next((g for g, most in enumerate(groups.most) if most >= least), None)
+                if start is None:
+                    continue
+                bits = folded(own, width)
+                missing = groups.missing(bits, start)
+                smallest = np.maximum(np.array(groups.least[start:]), least)
+                may = (np.array(groups.most[start:]) >= least) & (n - missing >= least_common(n, smallest, num, den))
+                self.bounded += len(missing)
+                for g in (np.flatnonzero(may)[np.argsort(missing[may], kind="stable")] + start).tolist():
+                    self.opened += 1
+                    if groups.joined[g] is None or self.root(groups.joined[g]) != self.root(i):
+                        yield from self._open(groups, g, i, n, bits, least)
+                    if home is None and width == len(own) and len(groups.members[g]) < GROUP:
+                        home = g
+            groups = of_width.setdefault(len(own), BitGroups(len(own)))
+            g = groups.put(i, n, own, home)
+            if groups.joined[g] is not None and self.root(groups.joined[g]) != self.root(i):
+                groups.joined[g] = None
+
+    def _open(self, groups: BitGroups, g: int, i: int, n: int, bits: np.ndarray, least: int) -> Iterator[tuple[int, int]]:
+        """Bounds for the members of a group, from both sides."""
+        members = [(j, row) for j, row in groups.members[g] if self.sizes[j] >= least]
+        if not members:
+            return
+        theirs = groups.arrays.rows[[row for _, row in members]]
+        m = self.sizes[[j for j, _ in members]]
+        mine_out = np.bitwise_count(bits & ~theirs).sum(axis=1, dtype=np.int64)
+        theirs_out = np.bitwise_count(theirs & ~bits).sum(axis=1, dtype=np.int64)
+        near = np.minimum(n - mine_out, m - theirs_out) >= least_common(n, m, self.num, self.den)
+        for (j, _), ok in zip(members, near.tolist(), strict=True):
+            a, b = self.root(i), self.root(j)
+            if ok and a != b:
+                self.up[a] = b
+                yield i, j
+        if all(self.root(j) == self.root(i) for j, _ in groups.members[g]):
+            groups.joined[g] = groups.members[g][0][0]
+
+
+# -- the token-group matrix of whole tokens ----------------------------------------------------------------------------
 
 
 class TokenGroupMatrix:
-    """Which token is in the union of which bundle, and the members of each bundle."""
+    """Which token is in the union of which group, and the members of each group."""
 
     def __init__(self, sets: list[np.ndarray], num: int, den: int):
         self.num, self.den = num, den
         self.sizes = np.array([len(s) for s in sets])
         order = sorted(range(len(sets)), key=lambda i: (int(sets[i][0]), len(sets[i])))
-        self.bundle_of = np.zeros(len(sets), np.int64)
-        self.bundle_of[order] = np.arange(len(sets)) // BUNDLE
-        self.n_bundles = int(self.bundle_of.max()) + 1
-        self.members = [[] for _ in range(self.n_bundles)]
+        self.group_of = np.zeros(len(sets), np.int64)
+        self.group_of[order] = np.arange(len(sets)) // GROUP
+        self.n_groups = int(self.group_of.max()) + 1
+        self.members = [[] for _ in range(self.n_groups)]
         for i in order:
-            self.members[self.bundle_of[i]].append(i)
+            self.members[self.group_of[i]].append(i)
         names, flat = np.unique(np.concatenate(sets), return_inverse=True)
         cuts = np.cumsum([0, *self.sizes])
         self.tokens = [flat[cuts[i] : cuts[i + 1]] for i in range(len(sets))]
-        cells = np.unique(flat * self.n_bundles + np.repeat(self.bundle_of, self.sizes))
-        self.bundles = cells % self.n_bundles  # by token
-        self.first = np.searchsorted(cells // self.n_bundles, np.arange(len(names) + 1))
+        cells = np.unique(flat * self.n_groups + np.repeat(self.group_of, self.sizes))
+        self.groups = cells % self.n_groups  # by token
+        self.first = np.searchsorted(cells // self.n_groups, np.arange(len(names) + 1))
         self.mark = np.zeros(len(names), bool)
 
     def bounds(self, i: int) -> np.ndarray:
-        """For each bundle, how many of set i's tokens its union holds."""
+        """For each group, how many of set i's tokens its union holds."""
         t = self.tokens[i]
         count = self.first[t + 1] - self.first[t]
         ends = np.cumsum(count)
-        return np.bincount(self.bundles[np.repeat(self.first[t] - (ends - count), count) + np.arange(ends[-1])], minlength=self.n_bundles)
+        return np.bincount(self.groups[np.repeat(self.first[t] - (ends - count), count) + np.arange(ends[-1])], minlength=self.n_groups)
 
     def forest(self) -> Iterator[tuple[int, int]]:
         """Links of a spanning forest of the similarity graph."""
         waiting = [set(m) for m in self.members]
         for root in range(len(self.tokens)):
-            if root not in waiting[self.bundle_of[root]]:
+            if root not in waiting[self.group_of[root]]:
                 continue
-            waiting[self.bundle_of[root]].discard(root)
+            waiting[self.group_of[root]].discard(root)
             todo = [root]
             while todo:
                 i = todo.pop()
@@ -229,7 +300,7 @@ class TokenGroupMatrix:
                 self.mark[self.tokens[i]] = False
                 for j, c in zip(opened, common.tolist(), strict=True):
                     if self.den * c >= self.num * (int(self.sizes[i]) + int(self.sizes[j]) - c):
-                        waiting[self.bundle_of[j]].discard(j)
+                        waiting[self.group_of[j]].discard(j)
                         todo.append(j)
                         yield i, j
 
@@ -241,10 +312,10 @@ def _sets(rows: DataFrame, words: int) -> DataFrame:
     """doc_id, n_shingles, set_hash (null for an empty set), bits from doc_id, text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small(batches):
             sets = [shingle_set(t or b"", words) for t in batch.column(1).cast(pa.binary()).to_pylist()]
             names = [xxhash.xxh3_128_hexdigest(s.tobytes()) if len(s) else None for s in sets]
-            bits = [parity_bits(s) if len(s) else None for s in sets]
+            bits = [token_bits(s) if len(s) else None for s in sets]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(names, pa.string()), pa.array(bits, pa.binary())], names=["doc_id", "n_shingles", "set_hash", "bits"])
 
     return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, n_shingles long, set_hash string, bits binary")
@@ -257,11 +328,10 @@ def key_bits(tokens: int) -> int:
 
 
 def _postings(rows: DataFrame, words: int, num: int, den: int, bits: int) -> DataFrame:
-    """a, key: a row for each segment signature of doc_id, text. Made from the texts where it is needed, as the
-    signatures take more room than the texts they come from."""
+    """a, key: a row for each segment signature of doc_id, text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small(batches):
             keys = [segment_keys(shingle_set(t or b"", words), num, den) for t in batch.column(1).cast(pa.binary()).to_pylist()]
             if keys:
                 owners = batch.column(0).take(pa.array(np.repeat(np.arange(len(keys)), list(map(len, keys)))))
@@ -288,7 +358,7 @@ def _by_task(batches: Iterator[pa.RecordBatch], columns: tuple[str, ...], forest
         found = list(forest(*zip(*values, strict=True))) if len(ids) > 1 else []
         return pa.RecordBatch.from_arrays([pa.array([ids[i] for i, _ in found], kind), pa.array([ids[j] for _, j in found], kind)], names=["a", "b"]) if found else None
 
-    for batch in batches:
+    for batch in small(batches):
         kind = batch.column("doc_id").type
         names = zip(*(batch.column(c).to_pylist() for c in ("group", "one", "other")), strict=True)
         cells = zip(*(batch.column(c).to_numpy(zero_copy_only=False) for c in columns), strict=True)
@@ -308,24 +378,17 @@ def _groups(neighbours: DataFrame, num: int, den: int) -> DataFrame:
     kind = neighbours.schema["doc_id"].dataType.simpleString()
 
     def forest(sizes: tuple, arrays: tuple) -> Iterator[tuple[int, int]]:
-        return bounded_forest(np.array(sizes), list(arrays), num, den)
+        return BitMatrix(np.array(sizes), list(arrays), num, den).forest()
 
     return _in_blocks(neighbours, F.col("blocks")).mapInArrow(lambda batches: _by_task(batches, ("n_shingles", "bits"), forest), f"a {kind}, b {kind}")
 
 
-def _without(rows: DataFrame, ids: DataFrame, id_col: str) -> DataFrame:
-    """The rows whose id is not in ids(__gone), which is broadcast only up to a size."""
-    if ids.count() <= MOST_BROADCAST:
-        ids = F.broadcast(ids)
-    return rows.join(ids, rows[id_col] == F.col("__gone"), "left_anti")
-
-
 def _links(members: DataFrame, words: int, num: int, den: int) -> DataFrame:
     """a, b: links from group, blocks, doc_id, text."""
     kind = members.schema["doc_id"].dataType.simpleString()
 
     def tokens_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small(batches):
             sets = [shingle_set(t or b"", words).view(np.int64) for t in batch.column("text").cast(pa.binary()).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("group"), batch.column("blocks"), batch.column("doc_id"), pa.array(sets, pa.list_(pa.int64()))], names=["group", "blocks", "doc_id", "tokens"])
 
@@ -342,38 +405,45 @@ def near_copies(docs: DataFrame, words: int = 5, num: int = 80, den: int = 100,
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     sets = materialize(_sets(rows, words), "sets")
     named = sets.where(F.col("set_hash").isNotNull() & F.col("doc_id").isNotNull())
-    classes = materialize(named.groupBy("set_hash").agg(F.min("doc_id").alias("least"), F.first("n_shingles").alias("n_shingles")), "classes")
+    classes = materialize(named.groupBy("set_hash").agg(F.min("doc_id").alias("least"), F.first("n_shingles").alias("n_shingles"), F.count("*").alias("n")), "classes")
+    n_tokens, n_named = classes.agg(F.coalesce(F.sum("n_shingles"), F.lit(0)), F.coalesce(F.sum("n"), F.lit(0))).first()
     several = named.groupBy("doc_id").agg(F.min("set_hash").alias("x"), F.max("set_hash").alias("y")).where("x <> y").select("doc_id")
-    further = named.join(classes.select("set_hash", "least"), "set_hash").where("doc_id > least").select("doc_id").distinct().join(several, "doc_id", "left_anti")
+    further = meet(named.select("doc_id", "set_hash"), classes.where("n > 1").select("set_hash", "least", "n"), "set_hash", "n", n_named)
+    further = further.where("doc_id > least").select("doc_id").distinct().join(several, "doc_id", "left_anti")
     further = materialize(further.select(F.col("doc_id").alias("__gone")), "further")
 
-    n_tokens = classes.agg(F.coalesce(F.sum("n_shingles"), F.lit(0))).first()[0]
-    postings = _postings(_without(rows.where(F.col("doc_id").isNotNull()), further, "doc_id"), words, num, den, key_bits(n_tokens))
+    alone = without(rows.where(F.col("doc_id").isNotNull()), further, F.col("doc_id") == F.col("__gone"))
+    postings = materialize(_postings(alone, words, num, den, key_bits(n_tokens)), "postings")
     # of a key that a set alone has, nothing is left; the others hang on the least id that has it
-    leaders = postings.groupBy("key").agg(F.min("a").alias("group"), F.max("a").alias("last")).where("`group` <> last").select("key", "group")
-    near = materialize(postings.join(leaders, "key").groupBy("group", "a").agg(F.lit(1).alias("x")).select("group", F.col("a").alias("__id")), "near")
-    blocks = near.groupBy("group").agg(F.ceil(F.count("*") / BLOCK_SETS).cast("int").alias("blocks"))
+    leaders = postings.groupBy("key").agg(F.min("a").alias("group"), F.max("a").alias("last"), F.count("*").alias("n")).where("`group` <> last").select("key", "group", "n")
+    leaders = materialize(leaders, "leaders")
+    near = meet(postings, leaders, "key", "n", n_tokens)
+    near = materialize(near.groupBy("group", "a").agg(F.lit(1).alias("x")).select("group", F.col("a").alias("__id")), "near")
+    # only what is dealt out in blocks is broadcast: a row for BLOCK_SETS rows at most
+    blocks = near.groupBy("group").agg(F.ceil(F.count("*") / BLOCK_SETS).cast("int").alias("__blocks")).where("__blocks > 1").withColumnRenamed("group", "__group")
     known = named.select("doc_id", "n_shingles", "bits")
-    neighbours = near.join(blocks, "group").join(known, F.col("__id") == F.col("doc_id")).select("group", "blocks", "doc_id", "n_shingles", "bits")
+    dealt = near.join(F.broadcast(blocks), F.col("group") == F.col("__group"), "left").select("group", F.coalesce("__blocks", F.lit(1)).alias("blocks"), "__id")
+    neighbours = dealt.join(known, F.col("__id") == F.col("doc_id")).select("group", "blocks", "doc_id", "n_shingles", "bits")
     groups = components(_groups(neighbours, num, den))
     groups = materialize(groups.select(F.col("node").alias("__id"), F.col("component").alias("group")), "groups")
 
-    sizes = groups.join(named.select("doc_id", "n_shingles"), F.col("__id") == F.col("doc_id")).groupBy("group").agg(F.ceil(F.sum("n_shingles") / BLOCK_TOKENS).cast("int").alias("blocks"))
-    wanted = groups.join(sizes, "group")
+    sizes = groups.join(named.select("doc_id", "n_shingles"), F.col("__id") == F.col("doc_id")).groupBy("group").agg(F.ceil(F.sum("n_shingles") / BLOCK_TOKENS).cast("int").alias("__blocks"))
+    sizes = sizes.where("__blocks > 1").withColumnRenamed("group", "__group")
+    wanted = groups.join(F.broadcast(sizes), F.col("group") == F.col("__group"), "left").select("__id", "group", F.coalesce("__blocks", F.lit(1)).alias("blocks"))
     if groups.count() <= MOST_BROADCAST:
         wanted = F.broadcast(wanted)
     members = rows.join(wanted, rows["doc_id"] == F.col("__id")).select("group", "blocks", "doc_id", "text")
     linked = components(_links(members, words, num, den))
-    labels = classes.join(linked, F.col("least") == F.col("node"), "left").select("set_hash", F.coalesce("component", "least").alias("label"))
-    out = sets.select("doc_id", "n_shingles", "set_hash").join(labels, "set_hash", "left")
-    return out.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("label", "doc_id")).alias("component_id"))
+    labels = materialize(classes.join(linked, F.col("least") == F.col("node"), "left").select("set_hash", F.coalesce("component", "least").alias("component_id"), "n"), "labels")
+    unlinked = sets.where(F.col("set_hash").isNull() | F.col("doc_id").isNull()).select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
+    return meet(named.select("doc_id", "n_shingles", "set_hash"), labels, "set_hash", "n", n_named).drop("set_hash").unionByName(unlinked)
 
 
 def keep_one(docs: DataFrame, words: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of docs but for those whose component has a smaller id, with their own columns."""
     found = near_copies(docs, words, num, den, id_col, text_col)
     gone = materialize(found.where("doc_id <> component_id").select(F.col("doc_id").alias("__gone")).distinct(), "gone")
-    return _without(docs, gone, id_col)
+    return without(docs, gone, docs[id_col] == F.col("__gone"))
 
 
 def query(spark, sf_dir):

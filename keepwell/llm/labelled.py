@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from keepwell.llm.cluster import python_ready
+from keepwell.llm.cluster import python_ready, small
 from keepwell.llm.docstats import NAMES, features, stats
 
 #: Labelled documents that a model is fitted on at most: those whose ids hash lowest.
@@ -21,7 +21,7 @@ def with_stats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     python_ready(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small(batches):
             rows = np.array([stats(t or b"") for t in batch.column(1).cast(pa.binary()).to_pylist()], np.int64).reshape(-1, len(NAMES))
             yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(rows[:, i]) for i in range(len(NAMES))]], names=["doc_id", *NAMES])
 

@@ -33,7 +33,7 @@ from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from keepwell.llm.cluster import materialize, python_ready
+from keepwell.llm.cluster import materialize, python_ready, small
 from keepwell.llm.textcols import is_remainder
 
 #: At most 5: a context and the byte after it are counted under one 64-bit number.
@@ -84,7 +84,7 @@ def count_training(texts: DataFrame, order: int = ORDER) -> DataFrame:
             every, where = np.unique(np.concatenate([keys, new]), return_inverse=True)
             return every, np.bincount(where, np.concatenate([counts, n]), len(every)).astype(np.int64)
 
-        for b in batches:
+        for b in small(batches):
             for text in b.column(0).cast(pa.binary()).to_pylist():
                 low = (text or b"").lower()
                 words.update(low.split())
@@ -318,7 +318,7 @@ def gram_values(grams: DataFrame, sent: Broadcast, order: int, contexts: DataFra
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         trie, escapes, _ = sent.value
-        for b in batches:
+        for b in small(batches):
             keys = b.column(0).to_numpy()
             column = lambda j: trie.column[(keys >> 8 * (trie.order - j)) & 255]  # noqa: E731, B023
             state = np.zeros(len(keys), np.int32)
@@ -371,7 +371,7 @@ def score(docs: DataFrame, trained_on: Column, id_col: str = "doc_id", text_col:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model, _, logs = sent.value
-        for b in batches:
+        for b in small(batches):
             low = [(t or b"").lower() for t in b.column("text").cast(pa.binary()).to_pylist()]
             tokens, known, base, rare_words, rare_counts = [], [], [], [], []
             for text in low:

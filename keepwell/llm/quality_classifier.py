@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from keepwell.llm import gbt
-from keepwell.llm.cluster import python_ready
+from keepwell.llm.cluster import python_ready, small
 from keepwell.llm.docstats import features, stats
 from keepwell.llm.labelled import SAMPLE, training_rows
 from keepwell.llm.textcols import is_remainder
@@ -36,7 +36,7 @@ def classify(docs: DataFrame, model: gbt.FlatTrees, id_col: str = "doc_id", text
     python_ready(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small(batches):
             texts = batch.column(1).cast(pa.binary()).to_pylist()
             score = model.score(features(stats(t or b"") for t in texts)) if texts else np.zeros(0)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(score, pa.float64())], names=["doc_id", "score"])
@@ -52,7 +52,7 @@ def keep_good(docs: DataFrame, model: gbt.FlatTrees, text_col: str = "text") ->
     at = docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small(batches):
             texts = batch.column(at).cast(pa.binary()).to_pylist()
             if texts:
                 yield batch.filter(pa.array(model.score(features(stats(t or b"") for t in texts)) >= THRESHOLD))

@@ -37,7 +37,7 @@ def judge(docs: DataFrame, model: gbt.FlatTrees, threshold: float = THRESHOLD, i
     """One row per document: doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, score, kept."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small(batches):
             rows = np.column_stack([batch.column(n).to_numpy() for n in NAMES])
             score = model.score(features(rows)[:, AT])
             yield pa.RecordBatch.from_arrays([*[batch.column(i) for i in range(6)], pa.array(score)], names=["doc_id", *NAMES[:5], "score"])

@@ -75,7 +75,10 @@ def test_near_copies_query(spark):
 
 
 def test_texts_beyond_the_broadcast(spark, monkeypatch):
+    from keepwell.llm import cluster
+
     monkeypatch.setattr(jaccard, "MOST_BROADCAST", 0)
+    monkeypatch.setattr(cluster, "MOST_BROADCAST", 0)
     rows = varied(9, 120)
     df = spark.createDataFrame(rows, "doc_id long, text string")
     got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard.near_copies(df, 3, 90).collect()}
@@ -100,32 +103,67 @@ def test_similar_sets_share_a_segment(n, similar, rng):
         assert np.intersect1d(*keys).size
 
 
-@settings(max_examples=100, deadline=None)
-@given(st.integers(1, 300), st.sampled_from([(90, 100), (80, 100)]), st.randoms())
-def test_bit_arrays_rule_out_no_link(n, similar, rng):
-    """The forest joins whatever is similar, and each of its pairs keeps to the bound."""
-    num, den = similar
+def near_sets(rng, n, tries):
     base = [rng.getrandbits(64) for _ in range(n)]
     sets = []
-    for _ in range(12):
+    for _ in range(tries):
         s = set(base) if rng.random() < 0.7 else {rng.getrandbits(64) for _ in range(n)}
-        for _ in range(rng.randrange(0, n // 6 + 2)):
+        for _ in range(rng.randrange(0, n // rng.choice([1, 2, 6]) + 2)):
             s.discard(rng.choice(base)) if rng.random() < 0.5 else s.add(rng.getrandbits(64))
         sets.append(np.array(sorted(s or {1}), np.uint64))
-    arrays = [jaccard.parity_bits(s) for s in sets]
-    pairs = list(jaccard.bounded_forest(np.array([len(s) for s in sets]), arrays, num, den))
-    up = list(range(12))
-    find = lambda x: x if up[x] == x else find(up[x])
-    for i, j in pairs:
-        assert find(i) != find(j)
-        up[find(i)] = find(j)
-        size = min(len(arrays[i]), len(arrays[j]))
-        a, b = (jaccard.folded(np.frombuffer(arrays[k], np.uint8), size) for k in (i, j))
-        assert np.bitwise_count(a ^ b).sum() <= jaccard.most_different(len(sets[i]), len(sets[j]), num, den)
-    for i in range(12):
-        for j in range(i):
-            common, whole = len(np.intersect1d(sets[i], sets[j])), len(np.union1d(sets[i], sets[j]))
-            assert den * common < num * whole or find(i) == find(j)
+    return sets
+
+
+@pytest.mark.parametrize("group", [1, 3, 16])
+@settings(max_examples=60, deadline=None)
+@given(st.integers(1, 300), st.sampled_from([(90, 100), (80, 100), (40, 100), (10, 100)]), st.randoms())
+def test_bounds_rule_out_no_link(group, n, similar, rng):
+    """The forest of the bit matrix joins whatever is similar, also at low thresholds; the other forest joins just that."""
+    num, den = similar
+    sets = near_sets(rng, n, 14)
+    old, jaccard.GROUP = jaccard.GROUP, group
+    try:
+        bits = list(jaccard.BitMatrix(np.array([len(s) for s in sets]), [jaccard.token_bits(s) for s in sets], num, den).forest())
+        exact = list(jaccard.TokenGroupMatrix(sets, num, den).forest())
+    finally:
+        jaccard.GROUP = old
+
+    def joined(pairs):
+        up = list(range(len(sets)))
+        find = lambda x: x if up[x] == x else find(up[x])
+        for i, j in pairs:
+            assert find(i) != find(j)
+            up[find(i)] = find(j)
+        return find
+
+    links = [(i, j) for i in range(len(sets)) for j in range(i) if den * len(np.intersect1d(sets[i], sets[j])) >= num * len(np.union1d(sets[i], sets[j]))]
+    by_bits, by_tokens = joined(bits), joined(exact)
+    assert all(by_bits(i) == by_bits(j) and by_tokens(i) == by_tokens(j) for i, j in links)
+    assert all((i, j) in links or (j, i) in links for i, j in exact)
+
+
+def test_most_groups_are_decided_by_a_bound():
+    rng = random.Random(5)
+    sets = [s for _ in range(40) for s in near_sets(rng, 120, 6)]
+    matrix = jaccard.BitMatrix(np.array([len(s) for s in sets]), [jaccard.token_bits(s) for s in sets], 90, 100)
+    list(matrix.forest())
+    assert matrix.bounded > 2000 and matrix.opened < 0.05 * matrix.bounded
+
+
+def test_low_thresholds(spark):
+    rows = [r for r in varied(3, 160) if len(r[1].split()) < 60]
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard.near_copies(spark.createDataFrame(rows, "doc_id long, text string"), 2, 35).collect()}
+    assert got == links_of(rows, 2, 35)
+
+
+def test_hot_classes_and_keys(spark, monkeypatch):
+    """A class and a segment that a third of all documents have are met without a shuffle of their rows."""
+    from keepwell.llm import cluster
+
+    monkeypatch.setattr(cluster, "LEAST_HOT", 5)
+    rows = varied(21, 120) + [(5000 + i, "one text that very many documents have word for word") for i in range(80)]
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard.near_copies(spark.createDataFrame(rows, "doc_id long, text string"), 3, 90).collect()}
+    assert got == links_of(rows, 3, 90)
 
 
 @pytest.mark.parametrize("block_sets,block_tokens", [(7, 4_000_000), (10_000, 900), (5, 500)])
@@ -170,6 +208,17 @@ def test_exact_copies_with_hot_texts(spark):
     assert {r["doc_id"] for r in exact_dedup.drop_copies(df).collect()} == {k for k, _ in want.values()}
 
 
+@pytest.mark.parametrize("broadcast", [250_000, 0])
+def test_repeated_rows_are_left_once(spark, monkeypatch, broadcast):
+    from keepwell.llm import cluster
+
+    monkeypatch.setattr(exact_dedup, "MOST_BROADCAST", broadcast)
+    monkeypatch.setattr(cluster, "MOST_BROADCAST", broadcast)
+    rows = [(1, "a", "x")] * 5 + [(2, "A", "y")] * 3 + [(3, "b", "z"), (None, None, None), (None, None, "q"), (None, "c", None)]
+    got = exact_dedup.drop_copies(spark.createDataFrame(rows, "doc_id long, text string, kept string").repartition(3))
+    assert sorted(((r["doc_id"], r["text"]) for r in got.collect()), key=str) == sorted([(2, "A"), (3, "b"), (None, None), (None, "c")], key=str) and got.columns == ["doc_id", "text", "kept"]
+
+
 def seats_one_by_one(weights, caps, seats):
     out = [0] * len(weights)
     for _ in range(seats):
@@ -225,12 +274,15 @@ def test_mix(spark):
     assert one == sorted(map(tuple, mixing.mix(df.coalesce(2)).drop("source").collect()))
     by = defaultdict(lambda: [0, 0, 0.0])
     source = {i: s for i, _, s in rows}
+    words = Counter()
+    for _, t, s in rows:
+        words[s] += len(t.split())
     for doc_id, size, source_size, target, taken, copies in one:
         assert 0 <= taken <= 3 * size and 0 <= copies <= 3
         by[source[doc_id]][0] += size
         by[source[doc_id]][1] += taken
         by[source[doc_id]][2] = target
-        assert source_size == sum(len(t.split()) for i, t, s in rows if s == source[doc_id]) or doc_id % 50
+        assert source_size == words[source[doc_id]]
     assert sorted(by, key=lambda s: (s is None, s)) == ["B", "a", "b", "é", None]
     for size, taken, target in by.values():
         assert abs(taken - target) <= max(64, 0.01 * target), (size, taken, target)
@@ -279,11 +331,11 @@ def mixed_by_hand(spark, rows, block, seed):
     return out
 
 
-@pytest.mark.parametrize("shard_rows,block", [(50, 16), (7, 5), (2000, 16)])
+@pytest.mark.parametrize("shard_rows,block", [(7, 5), (2000, 16)])
 def test_mix_against_brute_force(spark, monkeypatch, shard_rows, block):
     monkeypatch.setattr(mixing, "SHARD_ROWS", shard_rows)
     rng = random.Random(shard_rows)
-    rows = [(i, "w " * rng.choice([0, 1, 3, 17, 40, 200, 3000 if i % 97 == 0 else 5]), rng.choice(["a"] * 20 + ["b"] * 3 + ["B", "é", None])) for i in range(600)]
+    rows = [(i, "w " * rng.choice([0, 1, 3, 17, 40, 200, 3000 if i % 97 == 0 else 5]), rng.choice(["a"] * 20 + ["b"] * 3 + ["B", "é", None])) for i in range(300)]
     df = spark.createDataFrame(rows, "doc_id long, text string, source string")
     want = mixed_by_hand(spark, rows, block, mixing.SEED)
     got = {r["doc_id"]: r for r in mixing.mix(df.repartition(3), block=block).collect()}
@@ -298,7 +350,7 @@ def test_mix_against_brute_force(spark, monkeypatch, shard_rows, block):
 def test_emitted_words_follow_the_target_with_long_documents(spark):
     """Each border of a run is off by half a document at most."""
     rng = random.Random(11)
-    rows = [(i, "w " * (20_000 if i % 40 == 0 else rng.randrange(5, 60)), "long" if i % 4 == 0 else "short") for i in range(2000)]
+    rows = [(i, "w " * (20_000 if i % 40 == 0 else rng.randrange(5, 60)), "long" if i % 4 == 0 else "short") for i in range(600)]
     df = spark.createDataFrame(rows, "doc_id long, text string, source string")
     got = mixing.mix(df).groupBy("source").agg({"taken": "sum", "target": "max"}).collect()
     emitted = Counter()
