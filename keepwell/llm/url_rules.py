@@ -1,67 +1,81 @@
 """URL filters by a sort-merge range join of reversed hosts.
 
 A host's labels are reversed and each is ended by a dot, so ``www.example.net`` becomes ``net.example.www.`` and a rule's
-host with all its subdomains becomes one interval of keys. Intervals are nested or apart. Each task sorts the keys of a
-batch and sweeps them beside the sorted interval ends with a stack of the rules that are open; of the open rules whose
-path the url's path starts with, the longest rule (host and path together, then the longer host) wins.
-
-Rules are configuration: up to ``MAX_SWEPT`` of them are sent to every task. Beyond that size the rules stay a table and
-meet the urls in a shuffle join on each suffix of the distinct hosts.
+host with all its subdomains becomes one interval of keys. Intervals are nested or apart. Rules and pages are cut into the
+same key ranges across the cluster, at places taken from a bounded sample of both, which decides nothing but the balance; a
+host with very many pages is cut further by a hash of the page. A rule goes to each range that its interval touches. In a
+range, rules and pages are sorted by key and swept once with a stack of the rules that are open; of the open rules whose
+path the page's path starts with, the longest rule (host and path together, then the longer host) wins.
 
 A null url, or one without ``://``, has empty host and path and fits no rule; where no rule fits, the verdict is
-``default``. Repeated rows give repeated results and an empty table an empty one. Only id and url are read.
+``default``. Of rules that tie in both lengths the last verdict in order wins. Urls are read whole however long, repeated
+rows give repeated results, and an empty table of pages gives an empty one. Only id and url are read, so other columns
+cannot clash.
 """
 
 from __future__ import annotations
 
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from keepwell.llm.cluster import python_ready
+from keepwell.llm.cluster import python_ready, small
 
 Rule = tuple[str, str, str]  # host, path, verdict
 
-#: Rules that each task can hold and sort: about 20 MB.
-MAX_SWEPT = 100_000
+#: Keys that are sampled for each range.
+SAMPLED = 40
 
 RULES: list[Rule] = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow")]
 
 
 def reversed_key(host: str) -> str:
-    return "".join(label + "." for label in reversed(host.split(".")))
+    return "".join(label + "." for label in reversed(host.split("."))) if host else ""
+
+
+class Level:
+    """The rules of one host: their verdicts by path, and the lengths of these paths."""
+
+    def __init__(self, key: str, host: str):
+        self.key, self.host, self.verdicts, self.lengths = key, host, {}, []
+
+    def add(self, path: str, verdict: str) -> None:
+        if path not in self.verdicts and len(path) not in self.lengths:
+            self.lengths = sorted([*self.lengths, len(path)], reverse=True)
+        self.verdicts[path] = max(verdict, self.verdicts.get(path, verdict))
+
+    def longest(self, path: str) -> str | None:
+        return next((path[:n] for n in self.lengths if n <= len(path) and path[:n] in self.verdicts), None)
 
 
 class Sweep:
-    """Rules as nested intervals [key, key + highest), swept beside sorted hosts."""
-
-    def __init__(self, rules: list[Rule]):
-        by_key: dict[str, list[Rule]] = {}
-        for rule in rules:
-            by_key.setdefault(reversed_key(rule[0]), []).append(rule)
-        self.starts = sorted(by_key)
-        self.rules = {k: sorted(set(v), key=lambda r: -len(r[1])) for k, v in by_key.items()}
-
-    def __call__(self, keys: list[str]) -> Iterator[tuple[str, list[Rule]]]:
-        """(key, open rules from the outermost in) for each of the sorted keys."""
-        stack: list[str] = []
-        at = 0
-        for key in keys:
-            while at < len(self.starts) and self.starts[at] <= key:
-                while stack and not self.starts[at].startswith(stack[-1]):
-                    stack.pop()
-                stack.append(self.starts[at])
-                at += 1
-            while stack and not key.startswith(stack[-1]):
-                stack.pop()
-            yield key, [r for k in stack for r in self.rules[k]]
-
-
-def winner(open_rules: list[Rule], path: str) -> Rule | None:
-    fits = [r for r in open_rules if path.startswith(r[1])]
-    return max(fits, key=lambda r: (len(r[0]) + len(r[1]), len(r[0]), r[2]), default=None)
+    """A stack of the rules that are open, fed with rules and hosts in the order of their keys."""
+
+    def __init__(self):
+        self.stack: list[Level] = []
+
+    def _close(self, key: str) -> None:
+        while self.stack and not key.startswith(self.stack[-1].key):
+            self.stack.pop()
+
+    def open(self, key: str, host: str, path: str, verdict: str) -> None:
+        self._close(key)
+        if not self.stack or self.stack[-1].key != key:
+            self.stack.append(Level(key, host))
+        self.stack[-1].add(path, verdict)
+
+    def judge(self, key: str, path: str) -> tuple[str, str] | None:
+        """(rule, verdict) of the longest rule that is open and fits, of equally long ones that of the longer host."""
+        self._close(key)
+        best = None
+        for level in self.stack:
+            p = level.longest(path)
+            if p is not None and (best is None or len(level.host) + len(p) >= best[0]):
+                best = (len(level.host) + len(p), level, p)
+        return None if best is None else (best[1].host + best[2], best[1].verdicts[best[2]])
 
 
 def host_of(url: Column) -> Column:
@@ -74,38 +88,67 @@ def path_of(url: Column) -> Column:
     return F.regexp_extract(F.coalesce(url, F.lit("")), r"^[\s\S]*?://[^/?#]*([^?#]*)", 1)
 
 
-def judge(pages: DataFrame, rules: list[Rule] = RULES, default: str = "allow", id_col: str = "page_id", url_col: str = "url") -> DataFrame:
-    """One row per page: page_id, host, path, rule (host and path, else null), verdict."""
+def key_of(host: Column) -> Column:
+    """reversed_key as a column."""
+    return F.when(host == "", "").otherwise(F.concat(F.array_join(F.reverse(F.split(host, r"\.")), "."), F.lit(".")))
+
+
+def _n_ranges(spark: SparkSession) -> int:
+    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def _cuts(keyed: DataFrame, n: int) -> list[tuple[str, int]]:
+    """n - 1 places at most that cut (key, salt) into even ranges, from the SAMPLED * n rows whose keys and salts hash lowest."""
+    rows = keyed.select("key", "salt").orderBy(F.xxhash64("salt", "key"), "key", "salt").limit(SAMPLED * n).collect()
+    found = sorted((r["key"], r["salt"]) for r in rows)
+    return sorted({found[len(found) * i // n] for i in range(1, n)}) if found else []
+
+
+def judge(pages: DataFrame, rules: list[Rule] | DataFrame = RULES, default: str = "allow", id_col: str = "page_id", url_col: str = "url") -> DataFrame:
+    """One row per page: page_id, host, path, rule (host and path, else null), verdict. rules: a list, or a table of host,
+    path and verdict of any size."""
     spark = pages.sparkSession
-    urls = pages.select(F.col(id_col).alias("page_id"), host_of(F.col(url_col)).alias("host"), path_of(F.col(url_col)).alias("path"))
-    if len(rules) > MAX_SWEPT:
-        return judge_by_table(urls, spark.createDataFrame(rules, "rule_host string, rule_path string, verdict string"), default)
     python_ready(spark)
+    table = rules if isinstance(rules, DataFrame) else spark.createDataFrame(rules, "host string, path string, verdict string")
+    kind = pages.schema[id_col].dataType.simpleString()
+    host = F.col("host")
+    urls = pages.select(F.col(id_col).alias("page_id"), host_of(F.col(url_col)).alias("host"), path_of(F.col(url_col)).alias("path"))
+    urls = urls.select("*", F.lit(None).cast("string").alias("verdict"), key_of(host).alias("key"), F.xxhash64("page_id", "path").alias("salt"))
+    known = table.where("host <> '' AND path IS NOT NULL AND verdict IS NOT NULL").select("host", "path", "verdict").distinct()
+    known = known.select(F.lit(None).cast(kind).alias("page_id"), "host", "path", "verdict", key_of(host).alias("key"), F.lit(-(1 << 63)).alias("salt"))
+    both = urls.unionByName(known)
+    cuts = _cuts(both, _n_ranges(spark))  # SAMPLED * ranges rows at most come to the driver
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The range of each page, and all ranges that a rule's interval touches."""
+        for batch in small(batches):
+            keys, salts, is_rule = (batch.column(c).to_pylist() for c in ("key", "salt", "verdict"))
+            ranges = [list(range(bisect_right(cuts, (k, s)), bisect_right(cuts, (k + chr(0x10FFFF), 0)) + 1)) if v is not None else [bisect_right(cuts, (k, s))] for k, s, v in zip(keys, salts, is_rule, strict=True)]
+            owner = pa.array([i for i, r in enumerate(ranges) for _ in r], pa.int32())
+            columns = [batch.column(c).take(owner) for c in ("page_id", "host", "path", "verdict", "key")]
+            yield pa.RecordBatch.from_arrays([pa.array([x for r in ranges for x in r], pa.int32()), *columns], names=["range", "page_id", "host", "path", "verdict", "key"])
+
+    dealt = both.mapInArrow(cut, f"range int, page_id {kind}, host string, path string, verdict string, key string")
+    dealt = dealt.repartition("range").sortWithinPartitions("range", "key", F.desc_nulls_last("verdict"))  # rules of a key before its pages
 
     def sweep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sweep_rules = Sweep(rules)
-        for batch in batches:
-            hosts, paths = batch.column("host").to_pylist(), batch.column("path").to_pylist()
-            keys = {reversed_key(h): h for h in set(hosts)}
-            opened = {keys[k]: open_rules for k, open_rules in sweep_rules(sorted(keys))}
-            won = [winner(opened[h], p) if h else None for h, p in zip(hosts, paths, strict=True)]
-            rule = pa.array([r and r[0] + r[1] for r in won], pa.string())
-            verdict = pa.array([r[2] if r else default for r in won], pa.string())
-            yield pa.RecordBatch.from_arrays([*batch.columns, rule, verdict], names=["page_id", "host", "path", "rule", "verdict"])
-
-    kind = urls.schema["page_id"].dataType.simpleString()
-    return urls.mapInArrow(sweep, f"page_id {kind}, host string, path string, rule string, verdict string")
-
-
-def judge_by_table(urls: DataFrame, rules: DataFrame, default: str) -> DataFrame:
-    """The same for rules of any number: each distinct (host, path) meets the rules of the host's suffixes."""
-    labels = F.split("host", r"\.")
-    suffixes = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
-    wanted = urls.where("host <> ''").select("host", "path").distinct().withColumn("rule_host", F.explode(suffixes))
-    fits = wanted.join(rules, "rule_host").where(F.col("path").startswith(F.col("rule_path")))
-    rank = F.struct(F.char_length("rule_host") + F.char_length("rule_path"), F.char_length("rule_host"), F.col("verdict"))
-    best = fits.groupBy("host", "path").agg(F.max_by(F.struct(F.concat("rule_host", "rule_path").alias("rule"), "verdict"), rank).alias("won"))
-    return urls.join(best, ["host", "path"], "left").select("page_id", "host", "path", F.col("won.rule").alias("rule"), F.coalesce("won.verdict", F.lit(default)).alias("verdict"))
+        state, now = Sweep(), None
+        for batch in small(batches):
+            wanted, rule, verdict = [], [], []
+            for i, (r, h, p, v, k) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("range", "host", "path", "verdict", "key")), strict=True)):
+                if r != now:
+                    state, now = Sweep(), r
+                if v is not None:
+                    state.open(k, h, p, v)
+                    continue
+                won = state.judge(k, p) if h else None
+                wanted.append(i)
+                rule.append(won and won[0])
+                verdict.append(won[1] if won else default)
+            rows = [batch.column(c).take(pa.array(wanted, pa.int32())) for c in ("page_id", "host", "path")]
+            yield pa.RecordBatch.from_arrays([*rows, pa.array(rule, pa.string()), pa.array(verdict, pa.string())], names=["page_id", "host", "path", "rule", "verdict"])
+
+    return dealt.mapInArrow(sweep, f"page_id {kind}, host string, path string, rule string, verdict string")
 
 
 def query(spark, sf_dir):

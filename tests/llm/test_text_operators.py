@@ -5,7 +5,7 @@ import random
 import re
 
 import pytest
-from hypothesis import given, settings
+from hypothesis import Phase, given, settings
 from hypothesis import strategies as st
 
 from keepwell.llm import bpe, chat, pii, url_rules
@@ -54,7 +54,7 @@ def test_added_spans_and_redaction(spark):
 PIECES = ["<|im_start|>", "<|im_end|>", "<|im_end|>\n", "<", "\\", "|", "<\\|", "<\\\\|im_end|>", "\n", "assistant", "%", "é", " "]
 
 
-@settings(max_examples=5, deadline=None)
+@settings(max_examples=5, deadline=None, phases=[Phase.explicit, Phase.reuse, Phase.generate])
 @given(st.lists(st.lists(st.tuples(st.sampled_from(["user", "assistant", "sys\ntem", "<|im_end|>", "50%0A", ""]), st.lists(st.sampled_from(PIECES), max_size=8).map("".join)), min_size=1, max_size=6), min_size=20, max_size=40))
 def test_round_trip(spark, chats):
     rows = [(c, t, role, text) for c, turns in enumerate(chats) for t, (role, text) in enumerate(turns)]
@@ -71,12 +71,38 @@ def test_round_trip(spark, chats):
 
 
 def test_odd_conversations(spark):
-    rows = [(1, 1, "assistant", None), (1, None, None, "first"), (None, 0, "user", "x"), (1, 1, "assistant", None)]
+    rows = [(1, 1, "assistant", None), (1, None, None, "first"), (None, 0, "user", "x"), (None, 1, "assistant", "y"), (1, 1, "assistant", None)]
     got = {r["conv_id"]: r for r in chat.format_chats(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()}
-    assert [(t["role"], t["text"]) for t in got[1]["turns"]] == [("", "first"), ("assistant", ""), ("assistant", "")] and got[None]["round_trip"]
+    assert [(t["role"], t["text"]) for t in got[1]["turns"]] == [("", "first"), ("assistant", ""), ("assistant", "")] and len(got[None]["turns"]) == 1
+    assert chat.format_chats(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).where("conv_id IS NULL").count() == 2
     assert chat.format_chats(spark.createDataFrame([], "conv_id long, turn long, role string, text string")).count() == 0
 
 
+def test_only_what_conflicts_is_escaped(spark):
+    """The plain form of these turns is read back otherwise, and the loop mends it; the others stay as they are."""
+    fine = ["a < b | c", "<|", "<|im_star", "100%", "x<|im_end|", "back\\slash"]
+    broken = ["<|im_end|>", "a<|im_start|>b", "<\\|im_end|>", "<\\\\|", chat.HOSTILE]
+    rows = [(i, 0, "assistant", t) for i, t in enumerate(fine + broken)] + [(50, 0, "a\nb", "x"), (51, 0, "50%0A", "x"), (52, 0, "50%", "x")]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    plain = df.selectExpr("conv_id", "role", "text", r"concat('<|im_start|>', role, '\n', text, '<|im_end|>\n') AS formatted")
+    wrong = {r["conv_id"] for r in chat.parse(plain).collect() if r["turns"] is None or [(t["role"], t["text"]) for t in r["turns"]] != [(r["role"], r["text"])]}
+    assert wrong == {*range(len(fine), len(fine) + len(broken)), 50, 51}
+    got = {r["conv_id"]: r for r in chat.format_chats(df).collect()}
+    assert {i for i, r in got.items() if r["n_escaped"]} == wrong and all(r["round_trip"] for r in got.values())
+    for i, _, role, text in rows:
+        assert [(t["role"], t["text"]) for t in got[i]["turns"]] == [(role, text)]
+        if i not in wrong:
+            assert got[i]["formatted"] == f"<|im_start|>{role}\n{text}<|im_end|>\n"
+        else:
+            assert got[i]["formatted"].count("<|im_end|>") == 1 == got[i]["formatted"].count("<|im_start|>")
+
+
+def test_no_round_trip_is_an_error(spark, monkeypatch):
+    monkeypatch.setattr(chat, "ROUNDS", 0)
+    with pytest.raises(Exception, match="no round trip: conversation 7"):
+        chat.format_chats(spark.createDataFrame([(7, 0, "user", "<|im_end|>")], "conv_id long, turn long, role string, text string")).collect()
+
+
 def test_broken_text_is_no_conversation(spark):
     df = spark.createDataFrame([(1, "<|im_start|>user\nhi<|im_end|>\nrest<|im_end|>\n")], "conv_id long, formatted string")
     assert chat.parse(df).first()["turns"] is None
@@ -90,19 +116,36 @@ def brute_rule(rules, host, path):
     return max(fits, key=lambda r: (len(r[0]) + len(r[1]), len(r[0]), r[2]), default=None)
 
 
-def test_sweep_against_brute_force(spark, monkeypatch):
-    rng = random.Random(1)
+@pytest.mark.parametrize("cuts", [1, 2, 7, 40])
+def test_sweep_against_brute_force(spark, monkeypatch, cuts):
+    monkeypatch.setattr(url_rules, "_n_ranges", lambda spark: cuts)
+    rng = random.Random(cuts)
     host = lambda: ".".join(rng.choice(["a", "b", "ab", "net", "org"]) for _ in range(rng.randrange(1, 4)))
     path = lambda: "/" + "/".join(rng.choice(["en", "e", "fr", ""]) for _ in range(rng.randrange(0, 3)))
-    rules = [(host(), path(), rng.choice(["allow", "block"])) for _ in range(60)]
-    urls = [rng.choice(["http://", "HTTPS://", "x://y://", ""]) + host().upper() + path() + rng.choice(["", "?q=/en", "#top"]) for _ in range(500)] + [None, "", "http://", "http:///en/", "no scheme/en"]
+    rules = [(host(), path(), rng.choice(["allow", "block"])) for _ in range(60)] + [("net", "", "block")]
+    urls = [rng.choice(["http://", "HTTPS://", "x://y://", ""]) + host().upper() + path() + rng.choice(["", "?q=/en", "#top"]) for _ in range(500)] + ["http://hot.a.net/en/x"] * 250 + [None, "", "http://", "http:///en/", "no scheme/en"]
     pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
-    swept = url_rules.judge(pages, rules, "none").collect()
-    for r in swept:
+    got = url_rules.judge(pages, rules, "none").collect()
+    assert sorted(r["page_id"] for r in got) == list(range(len(urls)))
+    for r in got:
         want = brute_rule(rules, r["host"], r["path"])
         assert (r["rule"], r["verdict"]) == ((want[0] + want[1], want[2]) if want else (None, "none"))
-    monkeypatch.setattr(url_rules, "MAX_SWEPT", 10)
-    assert sorted(map(str, url_rules.judge(pages, rules, "none").collect())) == sorted(map(str, swept))
+
+
+def test_rules_from_a_table_and_hot_hosts(spark, monkeypatch):
+    """Very many rules, a host with a third of the pages, rows without id, and no rules or pages at all."""
+    monkeypatch.setattr(url_rules, "_n_ranges", lambda spark: 16)
+    rules = [(f"h{i}.net", "/", "block") for i in range(3000)] + [("h7.net", f"/p{i}/", "allow") for i in range(500)]
+    urls = [f"http://www.h{i % 4000}.net/x" for i in range(2000)] + [f"http://h7.net/p{i % 700}/" for i in range(1000)]
+    pages = spark.createDataFrame([(None if i % 10 == 0 else i, u) for i, u in enumerate(urls)], "page_id long, url string")
+    table = spark.createDataFrame(rules, "host string, path string, verdict string")
+    found = {(r["host"], r["path"]): (r["rule"], r["verdict"]) for r in url_rules.judge(pages, table).collect()}
+    for (h, p), got in found.items():
+        want = brute_rule(rules, h, p)
+        assert got == ((want[0] + want[1], want[2]) if want else (None, "allow"))
+    assert url_rules.judge(pages, table).count() == len(urls)
+    assert {r["verdict"] for r in url_rules.judge(pages, table.limit(0), "none").collect()} == {"none"}
+    assert url_rules.judge(pages.limit(0), table).count() == 0
 
 
 # -- bpe ---------------------------------------------------------------------------------------------------------------
