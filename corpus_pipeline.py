@@ -1,6 +1,7 @@
 """From raw documents to training tokens in five stages, each of which works on all that the one before it kept.
 
-Every stage is written as Parquet to the shared folder and read back as the next one's documents.
+Every stage is written as Parquet to the shared folder and read back as the next one's documents. In all stages null texts
+count as empty, whole texts are worked on however long, other columns pass unread, and an empty table gives an empty one.
 """
 
 from __future__ import annotations
@@ -15,27 +16,30 @@ SHINGLE_WORDS, SIMILAR_PERCENT = 5, 80
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality classifier accepts."""
+    """Documents that the quality classifier accepts; a score on the threshold does, empty texts are scored like others, and
+    repeated rows stay or go together."""
     return quality_classifier.keep_good(docs, quality_classifier.fit_classifier(docs, read(spark, sf_dir, "labels")))
 
 
 def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts, the document with the largest id."""
+    """Of equal texts, the document with the largest id; of rows that repeat id and text one is left. Empty texts are equal, and
+    a null id loses against any other."""
     return exact_dedup.drop_copies(docs)
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents that links of near copies join, the one with the least id."""
+    """Of documents that links of near copies join, the one with the least id. Empty texts and rows without id all stay."""
     return jaccard.keep_one(docs, SHINGLE_WORDS, SIMILAR_PERCENT, 100)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as their source's target takes them."""
+    """Documents as often as their source's target takes them, a row for each copy. A null source is one of its own, rows that
+    share an id are taken equally often, and of equal quotients the earlier source or shard takes the seat."""
     return mixing.apply_mix(docs)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of each document, and whether they decode to its text."""
+    """Token ids of each row, and whether they decode to its text; an empty text has none."""
     return bpe.encode_checked(docs)
 
 

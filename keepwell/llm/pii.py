@@ -3,10 +3,11 @@
 Regular expressions propose spans from left to right without overlap within a kind; a match that fails its validator is
 dropped and not tried again. The base kinds (email, ip, card, phone) stay whenever their own rule holds. The other kinds
 need a score of ``THRESHOLD``: the pattern's share, plus the checksum's, plus the share of context words among the
-``CONTEXT`` code points before the match (back to the match before it).
+``CONTEXT`` code points before or after the match, whatever else matched there.
 
-Null texts count as empty, an empty text has no spans, repeated rows give repeated results, an empty table an empty one.
-Only id and text are read, so other columns cannot clash. Positions are code points, the end exclusive.
+Null texts count as empty, an empty text has no spans, whole texts are searched however long, repeated rows give repeated
+results, an empty table an empty one. Kinds are apart, so spans of two kinds may overlap. Only id and text are read, so
+other columns cannot clash. Positions are code points, the end exclusive.
 """
 
 from __future__ import annotations
@@ -19,11 +20,17 @@ from pyspark.sql import functions as F
 
 CONTEXT = 48
 THRESHOLD = 0.6
-#: Matches are laid out in runs of this many, so a text with very many of them costs no square of their number.
+#: Matches are laid out in runs of this many, or of the square root of their number where that is more.
 RUN = 128
 
-# IBAN lengths by country.
-IBAN_LENGTHS = {"AT": 20, "BE": 16, "CH": 21, "CZ": 24, "DE": 22, "DK": 18, "ES": 24, "FI": 18, "FR": 27, "GB": 22, "GR": 27, "HU": 28, "IE": 22, "IT": 27, "LU": 20, "NL": 18, "NO": 15, "PL": 28, "PT": 25, "SE": 24}
+# IBAN lengths by country, as the registry of the standard gives them.
+IBAN_LENGTHS = {
+    "AD": 24, "AE": 23, "AL": 28, "AT": 20, "AZ": 28, "BA": 20, "BE": 16, "BG": 22, "BH": 22, "BI": 27, "BR": 29, "BY": 28, "CH": 21, "CR": 22, "CY": 28, "CZ": 24, "DE": 22, "DJ": 27, "DK": 18, "DO": 28,
+    "EE": 20, "EG": 29, "ES": 24, "FI": 18, "FK": 18, "FO": 18, "FR": 27, "GB": 22, "GE": 22, "GI": 23, "GL": 18, "GR": 27, "GT": 28, "HN": 28, "HR": 21, "HU": 28, "IE": 22, "IL": 23, "IQ": 23, "IS": 26,
+    "IT": 27, "JO": 30, "KW": 30, "KZ": 20, "LB": 28, "LC": 32, "LI": 21, "LT": 20, "LU": 20, "LV": 21, "LY": 25, "MC": 27, "MD": 24, "ME": 22, "MK": 19, "MN": 20, "MR": 27, "MT": 31, "MU": 30, "NI": 28,
+    "NL": 18, "NO": 15, "OM": 23, "PK": 24, "PL": 28, "PS": 29, "PT": 25, "QA": 29, "RO": 24, "RS": 22, "RU": 33, "SA": 24, "SC": 31, "SD": 18, "SE": 24, "SI": 19, "SK": 24, "SM": 27, "SO": 23, "ST": 25,
+    "SV": 28, "TL": 23, "TN": 24, "TR": 26, "UA": 29, "VA": 22, "VG": 24, "XK": 20, "YE": 30,
+}
 
 
 @dataclass(frozen=True)
@@ -102,33 +109,42 @@ SPANS = "array<struct<start:int,end:int,score:double>>"
 
 
 def pieces_of(text: Column, kind: Kind) -> Column:
-    """Array of struct(gap, match): each match of a kind with the text between it and the one before."""
-    found = F.lit(rf"\G([\s\S]*?)({kind.java})")
+    """Array of struct(gap, match, after): each match of a kind with the text between it and the one before, and, where the
+    kind has context words, the CONTEXT code points after it."""
+    after = rf"(?=([\s\S]{{0,{CONTEXT}}}))" if kind.context else "()"
+    found = F.lit(rf"\G([\s\S]*?)({kind.java}){after}")
     group = lambda i: F.regexp_extract_all(text, found, F.lit(i))
-    pairs = F.zip_with(group(1), group(2), lambda g, m: F.struct(g.alias("gap"), m.alias("match")))
-    return F.when(_hinted(text, kind), pairs).otherwise(F.array().cast("array<struct<gap:string,match:string>>"))
+    parts = F.arrays_zip(group(1).alias("gap"), group(2).alias("match"), (group(3) if kind.context else F.transform(group(1), lambda _: F.lit(""))).alias("after"))
+    return F.when(_hinted(text, kind), parts).otherwise(F.array().cast("array<struct<gap:string,match:string,after:string>>"))
 
 
 def spans_of(pieces: Column, kind: Kind) -> Column:
     """Array of struct(start, end, score) of a kind, in order, from its pieces."""
-    near = lambda gap: F.lower(F.right(gap, F.lit(CONTEXT))).rlike(kind.context) if kind.context else F.lit(False)
     none = F.array().cast(SPANS)
+    last = lambda text: F.right(text, F.lit(CONTEXT))
 
     def step(acc: Column, x: Column) -> Column:
         start = acc.pos + F.char_length(x.gap)
         end = start + F.char_length(x.match)
         ok = _checked(kind.name, x.match)
-        score = F.lit(kind.pattern_score) + F.when(ok, kind.check_score).otherwise(0.0) + F.when(near(x.gap), kind.context_score).otherwise(0.0)
+        # before: the end of the text up to the last match, of which no more than CONTEXT is kept
+        before = last(F.concat(acc.before, x.gap)) if kind.context else F.lit("")
+        near = F.lower(before).rlike(kind.context) | F.lower(x.after).rlike(kind.context) if kind.context else F.lit(False)
+        score = F.lit(kind.pattern_score) + F.when(ok, kind.check_score).otherwise(0.0) + F.when(near, kind.context_score).otherwise(0.0)
         wanted = ok if kind.base else ok & (F.round(score, 6) >= THRESHOLD)
         one = F.array(F.struct(start.alias("start"), end.alias("end"), score.alias("score")))
-        return F.struct(end.alias("pos"), F.when(wanted, F.concat(acc.spans, one)).otherwise(acc.spans).cast(SPANS).alias("spans"))
+        rest = last(F.concat(before, x.match)) if kind.context else F.lit("")
+        return F.struct(end.alias("pos"), rest.alias("before"), F.when(wanted, F.concat(acc.spans, one)).otherwise(acc.spans).cast(SPANS).alias("spans"))
+
+    length = F.greatest(F.lit(RUN), F.ceil(F.sqrt(F.size(pieces))).cast("int"))
 
     def run(acc: Column, i: Column) -> Column:
-        part = F.aggregate(F.slice(pieces, i * RUN + 1, F.lit(RUN)), F.struct(acc.pos.alias("pos"), none.alias("spans")), step, lambda a: F.struct(a.pos.alias("pos"), F.concat(acc.spans, a.spans).cast(SPANS).alias("spans")))
-        return part
+        zero = F.struct(acc.pos.alias("pos"), acc.before.alias("before"), none.alias("spans"))
+        return F.aggregate(F.slice(pieces, i * length + 1, length), zero, step, lambda a: F.struct(a.pos.alias("pos"), a.before.alias("before"), F.concat(acc.spans, a.spans).cast(SPANS).alias("spans")))
 
-    runs = F.sequence(F.lit(0), F.floor((F.size(pieces) - 1) / RUN).cast("int"))
-    return F.when(F.size(pieces) == 0, none).otherwise(F.aggregate(runs, F.struct(F.lit(0).alias("pos"), none.alias("spans")), run, lambda acc: acc.spans))
+    runs = F.sequence(F.lit(0), F.floor((F.size(pieces) - 1) / length).cast("int"))
+    start = F.struct(F.lit(0).alias("pos"), F.lit("").alias("before"), none.alias("spans"))
+    return F.when(F.size(pieces) == 0, none).otherwise(F.aggregate(runs, start, run, lambda acc: acc.spans))
 
 
 def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -179,15 +195,16 @@ def _sql() -> str:
     }
     parts = []
     for order, k in enumerate(KINDS):
-        near = f"regexp_matches(lower(right(g, {CONTEXT})), '{k.context}')" if k.context else "false"
+        around = f"(regexp_matches(lower(substring(t, greatest(1, s - {CONTEXT - 1}), least(s, {CONTEXT}))), '{k.context}') OR regexp_matches(lower(substring(t, e + 1, {CONTEXT})), '{k.context}'))"
+        near = around if k.context else "false"
         wanted = "" if k.base else f" AND {k.pattern_score} + {k.check_score} + CASE WHEN {near} THEN {k.context_score} ELSE 0 END >= {THRESHOLD - 1e-9}"
         pattern = rf"((?s:.*?))({k.pattern})"
         parts.append(f"""
-  SELECT doc_id, {order} AS o, '{k.name}' AS kind, e - length(m) AS s, e FROM (
-    SELECT doc_id, g, m, regexp_replace(m, '[^0-9]', '', 'g') AS d, sum(length(g) + length(m)) OVER (PARTITION BY doc_id ORDER BY i)::BIGINT AS e FROM (
-      SELECT doc_id, unnest(regexp_extract_all(t, '{pattern}', 1)) AS g, unnest(regexp_extract_all(t, '{pattern}', 2)) AS m,
+  SELECT doc_id, {order} AS o, '{k.name}' AS kind, s, e FROM (SELECT *, e - length(m) AS s FROM (
+    SELECT doc_id, t, m, regexp_replace(m, '[^0-9]', '', 'g') AS d, sum(length(g) + length(m)) OVER (PARTITION BY doc_id ORDER BY i)::BIGINT AS e FROM (
+      SELECT doc_id, t, unnest(regexp_extract_all(t, '{pattern}', 1)) AS g, unnest(regexp_extract_all(t, '{pattern}', 2)) AS m,
         generate_subscripts(regexp_extract_all(t, '{pattern}', 2), 1) AS i
-      FROM texts WHERE {hints.get(k.name, f"regexp_matches(t, '{k.hint}')")}))
+      FROM texts WHERE {hints.get(k.name, f"regexp_matches(t, '{k.hint}')")})))
   WHERE CASE WHEN {checks[k.name]} THEN true ELSE false END{wanted}""")
     counts = ", ".join(f"count(*) FILTER (kind = '{k.name}') AS n_{k.name}" for k in KINDS if k.base)
     n_base = reduce(lambda n, k: n + k.base, KINDS, 0)

@@ -16,8 +16,9 @@ Beside it stands a smoothed word model. Word counts are exact over all training
 number) are sent to the tasks, and each other word of a document meets its count in a shuffle, where no word has more
 than a small share of all tokens.
 
-Null texts count as empty and hold only the end; repeated rows are rows of their own in training and result; an empty
-table gives an empty result. Only id and text are read.
+Null texts count as empty and hold only the end; whole texts are learnt and scored however long, in parts that overlap by
+their contexts; equal texts have equal scores; repeated rows are rows of their own in training and result; an empty table
+gives an empty result. Only id and text are read, so other columns cannot clash.
 """
 
 from __future__ import annotations

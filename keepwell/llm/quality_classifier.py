@@ -3,8 +3,9 @@
 Fitted on a bounded, repeatable sample of labelled documents outside the held-out fold (crc32 of the id as text modulo
 ``FOLDS`` is 0), flattened into arrays and scored for whole batches. Ids, languages, sources and labels are never inputs.
 
-Null texts count as empty and are scored like any other; without labels every score is one half; repeated rows give
-repeated results and an empty table an empty one. Only id and text are read, so other columns cannot clash.
+Null texts count as empty and are scored like any other, whole texts however long; without labels every score is one half;
+of repeated labels the lowest counts; equal texts have equal scores, a score on the threshold is accepted, repeated rows
+give repeated results and an empty table an empty one. Only id and text are read, so other columns cannot clash.
 """
 
 from __future__ import annotations

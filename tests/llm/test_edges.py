@@ -58,5 +58,12 @@ def test_stages_keep_columns(spark, odd_docs, no_docs, data, stage):
         assert {r["doc_id"] for r in rows} <= {r[0] for r in docs.select("doc_id").collect()}
 
 
-def test_last_stage(spark, odd_docs, data):
+def test_last_stage(spark, odd_docs, no_docs, data):
     assert corpus_pipeline.STAGES[-1][1](spark, odd_docs, data).count() == odd_docs.count()
+    assert corpus_pipeline.STAGES[-1][1](spark, no_docs, data).count() == 0
+
+
+def test_the_session_keeps_its_settings(spark, data):
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    quality_rules.query(spark, data).count()
+    assert spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == before

@@ -11,7 +11,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from keepwell.llm import gbt, ppm, quality_classifier, quality_rules
-from keepwell.llm.docstats import NAMES, stats
+from keepwell.llm.docstats import NAMES, features, stats
 from keepwell.llm.textcols import is_remainder
 
 
@@ -83,6 +83,73 @@ def test_monotone_trees():
     assert np.mean((free.score(x) > 0.5) == y) > 0.85
 
 
+def walked(model, row):
+    """A score by walking each tree from node to node."""
+    margin = model.base
+    for t in range(len(model.feature)):
+        at, last = 0, model.feature.shape[1]
+        while at < last:
+            at = 2 * at + (2 if row[model.feature[t][at]] > model.threshold[t][at] else 1)
+        margin += model.value[t][at - last]
+    return 1 / (1 + math.exp(-margin))
+
+
+def slow_boost(x, y, trees, depth, rate, bins, l2, least):
+    """Boosting by trying every edge of every feature in every node over its own rows. Returns the margins."""
+    share = (sum(y) + 1) / (len(y) + 2)
+    margin = [math.log(share / (1 - share))] * len(y)
+    edges = [np.unique(np.quantile(x[:, f], np.linspace(0, 1, bins + 1)[1:-1])) for f in range(x.shape[1])]
+
+    def grow(rows, g, h, level):
+        value = lambda some: sum(g[i] for i in some) / (sum(h[i] for i in some) + l2)
+        loss = lambda some: -sum(g[i] for i in some) * value(some)
+        best, found = 1e-6, None
+        for f in range(x.shape[1]) if level < depth else ():
+            for e in edges[f]:
+                left, right = [i for i in rows if x[i, f] <= e], [i for i in rows if x[i, f] > e]
+                if min(sum(h[i] for i in left), sum(h[i] for i in right)) < least:
+                    continue
+                gain = loss(rows) - loss(left) - loss(right)
+                if gain > best + 1e-12:
+                    best, found = gain, (left, right)
+        if found is None:
+            return [(rows, value(rows))]
+        return [leaf for part in found for leaf in grow(part, g, h, level + 1)]
+
+    for _ in range(trees):
+        p = [1 / (1 + math.exp(-m)) for m in margin]
+        for rows, v in grow(list(range(len(y))), [b - a for a, b in zip(p, y, strict=True)], [a * (1 - a) for a in p], 0):
+            for i in rows:
+                margin[i] += rate * v
+    return margin
+
+
+def test_trees_against_a_slow_booster():
+    rng = np.random.default_rng(7)
+    x = np.column_stack([rng.random(90), rng.integers(0, 4, 90), rng.normal(size=90)])
+    y = ((x[:, 0] > 0.4) ^ (x[:, 1] > 1)).astype(float)
+    model = gbt.fit(x, y, trees=6, depth=3, rate=0.3, bins=8, l2=1.0, least_weight=0.5)
+    assert model.margin(x) == pytest.approx(slow_boost(x, y.tolist(), 6, 3, 0.3, 8, 1.0, 0.5), abs=1e-9)
+    assert model.score(x) == pytest.approx([walked(model, r) for r in x], abs=1e-12)
+
+
+def test_query_scores_by_walking_the_trees(spark, data):
+    """Both registered tree queries against plain tree walks over plainly counted statistics, labels of the right fold only."""
+    docs, labels = spark.read.parquet(f"{data}/documents.parquet"), spark.read.parquet(f"{data}/labels.parquet")
+    texts = {r["doc_id"]: (r["text"] or "").encode() for r in docs.collect()}
+    quality = {r["doc_id"]: r["quality"] for r in labels.collect() if r["doc_id"] in texts}
+    ids = sorted(i for i in quality if zlib.crc32(str(i).encode()) % 5)
+    x, y = quality_classifier.training_rows(docs, labels, ~is_remainder(F.col("doc_id"), 5))
+    assert np.array_equal(x, features([stats(texts[i]) for i in ids])) and y.tolist() == [quality[i] for i in ids]
+    model = gbt.fit(x, y)
+    for r in quality_classifier.query(spark, data).collect():
+        assert r["score"] == pytest.approx(walked(model, features([stats(texts[r["doc_id"]])])[0]), abs=1e-9)
+    rules = quality_rules.fit_rules(docs, labels)
+    for r in quality_rules.query(spark, data).collect():
+        score = walked(rules, features([stats(texts[r["doc_id"]])])[0][quality_rules.AT])
+        assert r["score"] == pytest.approx(score, abs=1e-9) and r["kept"] == (not r["base_failed"] and r["score"] >= 0.3)
+
+
 def test_constant_trees():
     assert gbt.fit(np.zeros((0, 2)), np.zeros(0)).score(np.zeros((3, 2))).tolist() == [0.5] * 3
     assert len(set(gbt.fit(np.eye(2), np.ones(2)).score(np.eye(2)))) == 1

@@ -49,6 +49,19 @@ def test_added_spans_and_redaction(spark):
     assert {r["doc_id"]: r["text"] for r in pii.redact(df).collect()}[2] == "my ssn: [SSN]"
 
 
+def test_context_reaches_over_other_matches(spark):
+    """Context words count within 48 code points on either side, whatever matched between."""
+    texts = {
+        "SSN: 123-45-6789, 234-56-7890": ["ssn"] * 2, "Amex, exp 12/27: 378282246310005": ["card_short"], "123-45-6789 is my SSN": ["ssn"], "ssn" + " é" * 22 + "123-45-6789": ["ssn"],
+        "ssn" + " é" * 24 + "123-45-6789": [], "123-45-6789" + "." * 45 + "ssn": ["ssn"], "123-45-6789" + "." * 46 + "ssn": [], "RO49 AAAA 1B31 0075 9384 0000 TR33 0006 1005 1978 6457 8413 26": [],
+        "IBAN RO49 AAAA 1B31 0075 9384 0000": ["iban"], "iban: TR330006100519786457841326": ["iban"], "account SA0380000000608010167519": ["iban"],
+    }
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for r in pii.find(df).collect():
+        text = list(texts)[r["doc_id"]]
+        assert [k.name for k in pii.KINDS if not k.base for _ in r[k.name]] == texts[text], text
+
+
 # -- chat --------------------------------------------------------------------------------------------------------------
 
 PIECES = ["<|im_start|>", "<|im_end|>", "<|im_end|>\n", "<", "\\", "|", "<\\|", "<\\\\|im_end|>", "\n", "assistant", "%", "é", " "]
