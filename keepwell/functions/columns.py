@@ -58,6 +58,11 @@ def is_flagged(level: str = "risk_level") -> Column:
     return F.col(level).isin(*FLAGGED_LEVELS)
 
 
+def is_bad_ticket() -> Column:
+    """An open ticket, or one about money or delay."""
+    return F.col("status").isin(*OPEN_TICKETS) | F.col("category").isin(*UNHAPPY_CATEGORIES)
+
+
 def over(probability: str, threshold: float = 0.5, inclusive: bool = False) -> Column:
     return F.col(probability) >= threshold if inclusive else F.col(probability) > threshold
 
@@ -96,4 +101,5 @@ def uniform(seed: str, key: Column) -> Column:
 
 
 def percent(probability: str) -> Column:
+    """A probability as whole percent."""
     return F.format_string("%.0f%%", F.col(probability) * 100)

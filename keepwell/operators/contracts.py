@@ -51,3 +51,15 @@ def orphans(facts: DataFrame, key: str, referenced: DataFrame, to: str) -> DataF
     """Facts whose key is not in the table it refers to; a missing key refers to nothing."""
     there = referenced.select(F.col(to).alias("__to")).distinct()
     return facts.where(F.col(key).isNotNull()).join(there, F.col(key) == F.col("__to"), "left_anti")
+
+
+def orphan_counts(references: list[tuple[str, DataFrame, str, DataFrame, str]]) -> DataFrame:
+    """table, reference, orphans for each (name, facts, key, referenced table, its key). Facts are counted by key before they
+    meet the other table, so a hot key is one row there."""
+
+    def of(name: str, facts: DataFrame, key: str, referenced: DataFrame, to: str) -> DataFrame:
+        by_key = facts.where(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias("n"))
+        lost = orphans(by_key, key, referenced, to).agg(F.coalesce(F.sum("n"), F.lit(0)).alias("orphans"))
+        return lost.select(F.lit(name).alias("table"), F.lit(key).alias("reference"), "orphans")
+
+    return reduce(DataFrame.unionByName, [of(*r) for r in references])

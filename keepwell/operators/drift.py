@@ -8,25 +8,37 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from keepwell.functions.columns import FEATURES, shocked
+from keepwell.operators.ranks import with_running
 
 FLOOR = 1e-6
-#: Above this many baseline rows quantiles come from a sketch, which holds no entry for each distinct value.
-MOST_EXACT = 10_000_000
 
 
-def stability(baseline: DataFrame, new: DataFrame, columns: Sequence[str] = FEATURES, bins: int = 10, approximate: bool | None = None) -> DataFrame:
+def quantile_cuts(long: DataFrame, bins: int) -> DataFrame:
+    """feature, cuts: the distinct i / bins quantiles of (feature, value), interpolated between neighbours. Exact at every
+    size: rows are counted by distinct value, and running counts say which values stand at the wanted ranks."""
+    counted = long.groupBy("feature", "value").agg(F.count("*").alias("n"))
+    ran = with_running(counted, ["feature"], [F.col("value")], ["n"])
+    totals = ran.groupBy("feature").agg(F.sum("n").alias("total"))
+    steps = F.array(*[F.lit(i / bins) for i in range(bins + 1)])
+    at = F.transform(steps, lambda q: (F.col("total") - 1) * q)
+    here = lambda rank: (rank >= F.col("n_before")) & (rank < F.col("n_before") + F.col("n"))
+    met = ran.join(F.broadcast(totals), "feature").select("feature", "value", F.explode(F.filter(at, lambda x: here(F.floor(x)) | here(F.ceil(x)))).alias("at"))
+    cut = met.groupBy("feature", "at").agg(F.min("value").alias("low"), F.max("value").alias("high"))
+    cut = cut.select("feature", (F.col("low") + (F.col("high") - F.col("low")) * (F.col("at") - F.floor("at"))).alias("cut"))
+    return cut.groupBy("feature").agg(F.array_sort(F.collect_set("cut")).alias("cuts"))  # bins + 1 of them at most
+
+
+def stability(baseline: DataFrame, new: DataFrame, columns: Sequence[str] = FEATURES, bins: int = 10, approximate: bool = False) -> DataFrame:
     """feature, psi for each column. Bins are cut at the baseline's distinct quantiles, the outer ones reach to infinity, a
     value on a cut belongs to the bin it begins, and missing values are left out. A side without values, or a baseline of
-    one value, has 0.
+    one value, has 0. Quantiles are exact unless a sketch of them is asked for.
 
     Both sides go to long form and are counted by feature and bin at once; only the cuts, bins + 1 a feature, are broadcast.
     """
     long = lambda df: df.select(*columns).unpivot([], list(columns), "feature", "value").where(F.col("value").isNotNull())
     base, other = long(baseline.select(*[F.col(c).cast("double").alias(c) for c in columns])), long(new.select(*[F.col(c).cast("double").alias(c) for c in columns]))
-    approximate = baseline.count() > MOST_EXACT if approximate is None else approximate
-    steps = F.array(*[F.lit(i / bins) for i in range(bins + 1)])
-    quantiles = F.percentile_approx("value", steps, 10_000) if approximate else F.percentile("value", steps)
-    cuts = base.groupBy("feature").agg(F.array_distinct(F.array_sort(quantiles)).alias("cuts"))
+    sketch = F.percentile_approx("value", F.array(*[F.lit(i / bins) for i in range(bins + 1)]), 10_000)
+    cuts = base.groupBy("feature").agg(F.array_distinct(F.array_sort(sketch)).alias("cuts")) if approximate else quantile_cuts(base, bins)
     inner = F.slice("cuts", 2, F.greatest(F.size("cuts") - 2, F.lit(0)))
     both = base.withColumn("side", F.lit("base")).unionByName(other.withColumn("side", F.lit("new"))).join(F.broadcast(cuts), "feature")
     binned = both.withColumn("bin", F.size(F.filter(inner, lambda c: c <= F.col("value"))))

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from keepwell.functions.columns import is_flagged, over
+from keepwell.operators.ranks import with_running
 
 # The customer types in the order of the report, with what a flag on one means.
 ARCHETYPES = (("cliff_dropper", "yes", "recall"), ("gradual_fader", "yes", "recall"), ("vacationer", "NO (trap)", "false-alarm"), ("loyal_bulk_buyer", "NO (trap)", "false-alarm"), ("regular_active", "no", "false-alarm"))
@@ -95,24 +96,19 @@ def class_report(scored: DataFrame, threshold: float = 0.5) -> DataFrame:
     return two.select(F.explode(F.array(a, b, row("accuracy", lambda _: F.col("accuracy")), row("macro avg", mean), row("weighted avg", weighted))).alias("r")).select("r.*")
 
 
-def roc_auc(scored: DataFrame, places: int | None = None) -> DataFrame:
-    """One row: auc, with ties counted half, from counts by distinct score.
-
-    The running count stands on one task, so its input must be short: places rounds the scores first, to at most
-    10 ** places + 1 of them.
-    """
-    score = F.col("churn_probability") if places is None else F.round("churn_probability", places)
-    counts = scored.groupBy(score.alias("score")).agg(F.count_if(F.col("churned") == 1).alias("pos"), F.count_if(F.col("churned") == 0).alias("neg"))
-    below = F.sum("neg").over(Window.orderBy("score").rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("neg")
-    won = counts.withColumn("won", F.col("pos") * (below + F.col("neg") / 2))
+def roc_auc(scored: DataFrame) -> DataFrame:
+    """One row: auc, with ties counted half, from counts by distinct score and their running totals; null where a class
+    is missing. A row without score counts in neither class."""
+    counts = scored.where(F.col("churn_probability").isNotNull()).groupBy(F.col("churn_probability").alias("score")).agg(F.count_if(F.col("churned") == 1).alias("pos"), F.count_if(F.col("churned") == 0).alias("neg"))
+    won = with_running(counts, [], [F.col("score")], ["neg"]).withColumn("won", F.col("pos") * (F.col("neg_before") + F.col("neg") / 2))
     row = won.agg(F.sum("won").alias("won"), F.sum("pos").alias("p"), F.sum("neg").alias("n"))
     return row.select(F.when((F.col("p") > 0) & (F.col("n") > 0), F.col("won") / (F.col("p") * F.col("n"))).alias("auc"))
 
 
-def metrics(scored: DataFrame, threshold: float = 0.5, places: int | None = None) -> DataFrame:
+def metrics(scored: DataFrame, threshold: float = 0.5) -> DataFrame:
     """metric, value: the confusion counts and the AUC in one long table."""
     counts = confusion(scored, threshold).unpivot([], ["tn", "fp", "fn", "tp"], "metric", "value")
-    area = roc_auc(scored, places).select(F.lit("auc").alias("metric"), F.col("auc").alias("value"))
+    area = roc_auc(scored).select(F.lit("auc").alias("metric"), F.col("auc").alias("value"))
     return counts.select("metric", F.col("value").cast("double").alias("value")).unionByName(area)
 
 

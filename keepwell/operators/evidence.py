@@ -12,13 +12,14 @@ from keepwell.operators.activity import login_trend
 FIELDS = ("logins_prev_30_60d", "logins_recent_30d", "total_orders", "total_tickets", "worst_review_rating")
 
 
-def facts(ids: DataFrame, orders: DataFrame, tickets: DataFrame, reviews: DataFrame, log: DataFrame, log_as_of: datetime, earlier: int = 60, recent: int = 30) -> DataFrame:
+def facts(ids: DataFrame, orders: DataFrame, tickets: DataFrame, reviews: DataFrame, log: DataFrame, log_as_of: datetime, earlier: int = 60, recent: int = 30, few: bool = False) -> DataFrame:
     """The FIELDS of each distinct user of ids; 0 where there is nothing, a worst rating of 0 without reviews.
 
-    Each fact table is cut to the asked users before it is counted, once.
+    Each fact table is counted by user, pre-aggregated, and then joined. few: ids are a short list, to which the facts are
+    cut before they are counted.
     """
     asked = ids.select("user_id").distinct()
-    of = lambda t: t.join(asked, "user_id", "left_semi")
+    of = lambda t: t.join(asked, "user_id", "left_semi") if few else t
     trend = login_trend(of(log), log_as_of, earlier, recent).withColumnsRenamed({"logins_prev": FIELDS[0], "logins_recent": FIELDS[1]})
     counted = (
         trend,
@@ -32,6 +33,12 @@ def facts(ids: DataFrame, orders: DataFrame, tickets: DataFrame, reviews: DataFr
     return out.select("user_id", *[F.coalesce(F.col(f).cast("long"), F.lit(0)).alias(f) for f in FIELDS])
 
 
+def facts_of(profile: DataFrame) -> DataFrame:
+    """The FIELDS of each customer of a profile with logins."""
+    source = ("logins_prev", "logins_recent", "total_orders", "total_tickets", "worst_rating")
+    return profile.select("user_id", *[F.coalesce(F.col(c).cast("long"), F.lit(0)).alias(f) for f, c in zip(FIELDS, source, strict=True)])
+
+
 def checks(predictions: DataFrame, real: DataFrame) -> DataFrame:
     """A row for each prediction and field: user_id, field, claimed, actual, correct. A missing claim is wrong, and
     predictions that repeat a user are checked one by one."""

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from keepwell.functions.columns import FEATURES, OPEN_TICKETS, is_customer, rate
+from keepwell.functions.columns import FEATURES, OPEN_TICKETS, is_bad_ticket, is_customer, rate
 
 COUNTS = ("total_orders", "cancelled", "total_tickets", "unresolved", "total_reviews", "low_reviews")
 
@@ -55,6 +55,18 @@ def build_features(users: DataFrame, orders: DataFrame, tickets: DataFrame, revi
     return rows.select(*columns) if truth is None else with_label(rows.select(*columns), truth)
 
 
+def profile(users: DataFrame, orders: DataFrame, tickets: DataFrame, reviews: DataFrame, trend: DataFrame | None = None) -> DataFrame:
+    """user_id, full_name, COUNTS, FEATURES and what verdicts ask besides (bad_tickets, worst_rating, and with a login trend
+    its counts): every aggregate of a customer from one pass over each fact table."""
+    by = [F.count("*").alias("total_tickets"), F.count_if(F.col("status").isin(*OPEN_TICKETS)).alias("unresolved"), F.count_if(is_bad_ticket()).alias("bad_tickets")]
+    of_reviews = [F.avg("rating").alias("avg_review_rating"), F.count("*").alias("total_reviews"), F.count_if(F.col("rating") <= 2).alias("low_reviews"), F.min("rating").alias("worst_rating")]
+    facts = [order_facts(orders), tickets.groupBy("user_id").agg(*by), reviews.groupBy("user_id").agg(*of_reviews), *([] if trend is None else [trend])]
+    out = users.where(is_customer()).select("user_id", "full_name")
+    for fact in facts:
+        out = out.join(fact, "user_id", "left")
+    return with_rates(out)
+
+
 def group_means(features: DataFrame) -> DataFrame:
     """feature, mean for churned and for the others: means over users, missing ones left out."""
     return features.unpivot(["churned"], list(FEATURES), "feature", "value").groupBy("feature").agg(

@@ -13,9 +13,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from keepwell.functions.columns import FEATURES
+from keepwell.operators.ranks import with_running
+from keepwell.sources.shared import shared_dir
 
 #: Features that may be missing; a model sees them imputed, beside an indicator.
 NULLABLE = ("avg_review_rating", "avg_order_value")
+CHECKPOINT_EVERY = 25
 
 
 def split(rows: DataFrame, test: float = 0.25, seed: str = "split") -> DataFrame:
@@ -26,6 +29,14 @@ def split(rows: DataFrame, test: float = 0.25, seed: str = "split") -> DataFrame
     return rows.withColumn("is_test", F.substring(digest, 1, 8) < cut)
 
 
+def split_exactly(rows: DataFrame, test: float = 0.25, seed: str = "split") -> DataFrame:
+    """is_test for the users whose hashes come first in their label: of each label just the share, rounded."""
+    digest = F.md5(F.concat(F.lit(f"{seed}:"), F.col("user_id").cast("string")).cast("binary"))
+    ran = with_running(rows.withColumns({"__digest": digest, "__one": F.lit(1)}), ["churned"], [F.col("__digest"), F.col("user_id")], ["__one"])
+    sizes = rows.groupBy("churned").agg(F.count("*").alias("__n"))
+    return ran.join(F.broadcast(sizes), "churned").withColumn("is_test", F.col("__one_before") < F.floor(F.col("__n") * test + 0.5)).select(*rows.columns, "is_test")
+
+
 def with_indicators(rows: DataFrame) -> DataFrame:
     """Missing values marked in a column of their own; MLlib takes no missing value in a vector."""
     return rows.withColumns({f"{c}_missing": F.col(c).isNull().cast("double") for c in NULLABLE} | {c: F.col(c).cast("double") for c in FEATURES})
@@ -44,9 +55,13 @@ def weighted(rows: DataFrame) -> DataFrame:
 
 def train(training: DataFrame, trees: int = 200, depth: int = 3, rate: float = 0.08, rows_share: float = 0.9, features_share: float = 0.9, seed: int = 42, features: Sequence[str] = FEATURES) -> PipelineModel:
     """Class-weighted boosted trees. Imputation is fitted on the training rows alone, which stay in memory, spilling to
-    disk, while the trees are grown; each level of a tree is one pass with tree-wise aggregation."""
+    disk, while the trees are grown; each level of a tree is one pass with tree-wise aggregation, and every
+    CHECKPOINT_EVERY trees the lineage of the running predictions is cut in the shared folder."""
+    sc = training.sparkSession.sparkContext
+    if sc.getCheckpointDir() is None:
+        sc.setCheckpointDir(shared_dir(training.sparkSession))
     nullable = [c for c in NULLABLE if c in features]
-    stages = [VectorAssembler(inputCols=assembled_names(features), outputCol="features"), GBTClassifier(labelCol="churned", featuresCol="features", weightCol="weight", maxIter=trees, maxDepth=depth, stepSize=rate, subsamplingRate=rows_share, featureSubsetStrategy=str(features_share), seed=seed)]
+    stages = [VectorAssembler(inputCols=assembled_names(features), outputCol="features"), GBTClassifier(labelCol="churned", featuresCol="features", weightCol="weight", maxIter=trees, maxDepth=depth, stepSize=rate, checkpointInterval=CHECKPOINT_EVERY, subsamplingRate=rows_share, featureSubsetStrategy=str(features_share), seed=seed)]
     if nullable:
         stages.insert(0, Imputer(strategy="median", inputCols=nullable, outputCols=[f"{c}_filled" for c in nullable]))
     # subsampling draws row by row: with rows always in the same partitions and order, a refit gives the same trees

@@ -2,29 +2,38 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from keepwell.functions.columns import OPEN_TICKETS, UNHAPPY_CATEGORIES, redact
+from keepwell.functions.columns import is_bad_ticket, redact
+from keepwell.operators.ranks import with_running
 
 TICKET_COLUMNS = ("category", "priority", "status", "created_at")
 REVIEW_COLUMNS = ("rating", "created_at")
 
 
+def ticket_signal_of(n: Column, bad: Column) -> Column:
+    """NONE without tickets, UNHAPPY with a bad one, else FINE."""
+    return F.when(F.coalesce(n, F.lit(0)) == 0, "NONE").when(bad > 0, "UNHAPPY").otherwise("FINE")
+
+
+def review_signal_of(worst: Column, negative: Column | None = None) -> Column:
+    """SILENT without reviews, UNHAPPY with a rating of 2 or less or a negative word, else FINE."""
+    unhappy = (worst <= 2) if negative is None else (worst <= 2) | negative
+    return F.when(worst.isNull(), "SILENT").when(unhappy, "UNHAPPY").otherwise("FINE")
+
+
 def ticket_signal(users: DataFrame, tickets: DataFrame) -> DataFrame:
-    """user_id, ticket_signal: NONE without tickets, UNHAPPY with an open one or one about money or delay, else FINE."""
-    bad = F.col("status").isin(*OPEN_TICKETS) | F.col("category").isin(*UNHAPPY_CATEGORIES)
-    by = tickets.groupBy("user_id").agg(F.count("*").alias("n"), F.count_if(bad).alias("bad"))
-    signal = F.when(F.col("n").isNull(), "NONE").when(F.col("bad") > 0, "UNHAPPY").otherwise("FINE")
-    return users.select("user_id").join(by, "user_id", "left").select("user_id", signal.alias("ticket_signal"))
+    """user_id, ticket_signal."""
+    by = tickets.groupBy("user_id").agg(F.count("*").alias("n"), F.count_if(is_bad_ticket()).alias("bad"))
+    return users.select("user_id").join(by, "user_id", "left").select("user_id", ticket_signal_of(F.col("n"), F.col("bad")).alias("ticket_signal"))
 
 
 def review_signal(users: DataFrame, reviews: DataFrame, negative_words: str | None = None, text: str = "review_text") -> DataFrame:
-    """user_id, review_signal: SILENT without reviews, UNHAPPY with a rating of 2 or less or a negative word, else FINE."""
+    """user_id, review_signal; negative_words is a pattern that a review's text may match."""
     said = F.max(F.col(text).rlike(negative_words)) if negative_words else F.lit(False)
     by = reviews.groupBy("user_id").agg(F.min("rating").alias("worst"), said.alias("negative"))
-    signal = F.when(F.col("worst").isNull(), "SILENT").when((F.col("worst") <= 2) | F.col("negative"), "UNHAPPY").otherwise("FINE")
-    return users.select("user_id").join(by, "user_id", "left").select("user_id", signal.alias("review_signal"))
+    return users.select("user_id").join(by, "user_id", "left").select("user_id", review_signal_of(F.col("worst"), F.coalesce("negative", F.lit(False))).alias("review_signal"))
 
 
 def risk_levels(rows: DataFrame, cut: float = 0.5) -> DataFrame:
@@ -49,10 +58,13 @@ def criticise(rows: DataFrame, activity: float = 0.8, good_rating: int = 4) -> D
 
 
 def newest_first(facts: DataFrame, ties: list[str], most: int | None = None) -> DataFrame:
-    """Facts with their place, the newest of each user first; most keeps that many of each user."""
-    order = Window.partitionBy("user_id").orderBy(F.desc("created_at"), *ties)
-    ranked = facts.withColumn("place", F.row_number().over(order))
-    return ranked if most is None else ranked.where(F.col("place") <= most)
+    """Facts with their place, the newest of each user first. Places are running counts, so a user with very many facts is
+    spread over tasks; most keeps that many of each user, in a window that is cut before it is shuffled."""
+    order = [F.desc("created_at"), *[F.col(c) for c in ties]]
+    if most is not None:
+        return facts.withColumn("place", F.row_number().over(Window.partitionBy("user_id").orderBy(*order))).where(F.col("place") <= most)
+    ran = with_running(facts.where(F.col("user_id").isNotNull()).withColumn("one", F.lit(1)), ["user_id"], order, ["one"])
+    return ran.withColumn("place", (F.col("one_before") + 1).cast("int")).drop("one", "one_before")
 
 
 def of_users(facts: DataFrame, ids: DataFrame, columns: list[str]) -> DataFrame:
@@ -60,15 +72,16 @@ def of_users(facts: DataFrame, ids: DataFrame, columns: list[str]) -> DataFrame:
     return facts.join(ids.select("user_id").distinct(), "user_id", "left_semi").select("user_id", *columns)
 
 
-def dossiers(ids: DataFrame, tickets: DataFrame, reviews: DataFrame, ticket_columns: list[str], review_columns: list[str], ties: tuple[list[str], list[str]], most: int = 20, texts: tuple[str, ...] = ()) -> DataFrame:
-    """user_id, tickets, reviews: the newest facts of each user as JSON arrays, with personal data in texts redacted.
-
-    Facts are cut to ``most`` a user before they are gathered, so a user with very many of them stays small.
-    """
-    out = ids.select("user_id").distinct()
+def dossiers(ids: DataFrame, tickets: DataFrame, reviews: DataFrame, ticket_columns: list[str], review_columns: list[str], ties: tuple[list[str], list[str]], part: int = 20, texts: tuple[str, ...] = ()) -> DataFrame:
+    """user_id, part (from 1), tickets, reviews: all facts of each user as JSON arrays, the newest first, with personal data
+    in texts redacted. A part holds at most ``part`` facts of a kind, so no row grows with a user's facts; a user without
+    facts has one part."""
+    asked = ids.select("user_id").distinct()
+    out = asked.withColumn("part", F.lit(1))
     for name, table, columns, tie in (("tickets", tickets, ticket_columns, ties[0]), ("reviews", reviews, review_columns, ties[1])):
-        few = newest_first(of_users(table, ids, sorted({*columns, *tie, "created_at"})), tie, most)
+        placed = newest_first(of_users(table, asked, sorted({*columns, *tie, "created_at"})), tie)
         shown = F.struct("place", *[(redact(F.col(c)) if c in texts else F.col(c)).alias(c) for c in columns])
-        gathered = few.groupBy("user_id").agg(F.array_sort(F.collect_list(shown)).alias(name))
-        out = out.join(gathered, "user_id", "left").withColumn(name, F.coalesce(F.to_json(name), F.lit("[]")))
-    return out
+        number = F.floor((F.col("place") - 1) / part).cast("int") + 1
+        gathered = placed.groupBy("user_id", number.alias("part")).agg(F.array_sort(F.collect_list(shown)).alias(name))
+        out = out.join(gathered, ["user_id", "part"], "full")
+    return out.select("user_id", "part", *[F.coalesce(F.to_json(c), F.lit("[]")).alias(c) for c in ("tickets", "reviews")])

@@ -4,13 +4,13 @@ from __future__ import annotations
 
 import re
 
+from keepwell.functions.columns import EMAIL, FEATURES, MOBILE, PHRASES
+from keepwell.operators.evidence import FIELDS
 from keepwell.sources.views import duck_ctes
 
 AS_OF, LOG = "TIMESTAMP '2001-08-01 00:00:00'", "TIMESTAMP '2024-01-31 00:00:00'"
 LOG_20, LOG_10 = "TIMESTAMP '2024-01-11 00:00:00'", "TIMESTAMP '2024-01-21 00:00:00'"
 YEAR_AGO, MONTH_AGO = "TIMESTAMP '2000-08-01 00:00:00'", "TIMESTAMP '2001-07-02 00:00:00'"
-FEATURES = ("avg_review_rating", "pct_low_reviews", "cancellation_rate", "unresolved_ticket_rate", "tickets_per_order", "avg_order_value")
-FIELDS = ("logins_prev_30_60d", "logins_recent_30d", "total_orders", "total_tickets", "worst_review_rating")
 
 
 def _hash(seed: str) -> str:
@@ -99,6 +99,10 @@ BODIES: dict[str, str] = {
     "p4_model_flags": "SELECT user_id, p > 0.5 AS flag_strict, p >= 0.5 AS flag_inclusive FROM s",
     "p5_action_mentions": "SELECT user_id, contains(lower(suggested_action), 'call') AS is_call, contains(lower(suggested_action), 'coupon') AS is_coupon FROM sig",
     "p6_ticket_lookup": "SELECT user_id, order_id, l_linenumber, l_suppkey, l_partkey, category, priority, status, created_at FROM v_tickets WHERE user_id IN (SELECT user_id FROM v_contacted)",
+    "p6_review_lookup": "SELECT user_id, order_id, l_linenumber, l_suppkey, product_id, rating, created_at FROM v_reviews WHERE user_id IN (SELECT user_id FROM v_contacted)",
+    "s6_report_lines": """SELECT rank, '| ' || rank || ' | ' || full_name || ' (#' || user_id || ') | ' || risk_level || ' | ' || printf('%.0f%%', p * 100) || ' | '
+  || CASE WHEN ticket_signal = 'UNHAPPY' THEN 'unresolved support tickets' ELSE review_signal END || ' | ' || suggested_action || ' |' AS line
+FROM (SELECT *, (row_number() OVER (ORDER BY p DESC, user_id))::INT AS rank FROM sig) WHERE rank <= 15""",
     "s3_nested_predictions": f"SELECT user_id, risk_level, {', '.join(FIELDS)} FROM claims",
     "s4_contact_log": "SELECT user_id, contacted_on FROM v_contacted JOIN v_users USING (user_id)",
     "s5_ranked_documents": """SELECT '{"user_id":' || user_id || ',"full_name":"' || full_name || '","total_orders":' || total_orders || ',"logins_prev":' || coalesce(logins_prev, 0) || ',"logins_recent":' || coalesce(logins_recent, 0) || '}' AS document
@@ -154,7 +158,7 @@ LEFT JOIN (SELECT churned, count(*) FILTER (status IN {OPEN}) AS u, count(*) AS
   UNION ALL SELECT 'macro avg', avg(precision), avg(recall), avg(f1), sum(support)::BIGINT FROM three
   UNION ALL SELECT 'weighted avg', sum(precision * support) / sum(support), sum(recall * support) / sum(support), sum(f1 * support) / sum(support), sum(support)::BIGINT FROM three)""",
     "a19_roc_auc": """SELECT round(sum(pos * (below + neg / 2)) / (sum(pos) * sum(neg)), 6) AS auc FROM (
-  SELECT pos, neg, sum(neg) OVER (ORDER BY q) - neg AS below FROM (SELECT round(p, 4) AS q, count(*) FILTER (churned = 1) AS pos, count(*) FILTER (churned = 0) AS neg FROM s GROUP BY 1))""",
+  SELECT pos, neg, sum(neg) OVER (ORDER BY q) - neg AS below FROM (SELECT round(p, 12) AS q, count(*) FILTER (churned = 1) AS pos, count(*) FILTER (churned = 0) AS neg FROM s GROUP BY 1))""",
     "a20_class_weight": "SELECT neg, pos, round(neg / pos, 6) AS weight FROM (SELECT count(*) FILTER (churned = 0) AS neg, count(*) FILTER (churned = 1) AS pos FROM f)",
     "w1_report_rank": "SELECT (row_number() OVER (ORDER BY p DESC, user_id))::INT AS rank, user_id, risk_level FROM sig ORDER BY p DESC, user_id LIMIT 100",
     "w2_newest_tickets": f"SELECT user_id, (row_number() OVER (PARTITION BY user_id ORDER BY {TICKET_ORDER}))::INT AS place, order_id, status, created_at FROM v_tickets",
@@ -171,11 +175,16 @@ LEFT JOIN (SELECT churned, count(*) FILTER (status IN {OPEN}) AS u, count(*) AS
     "m4_redaction": r"""SELECT doc_id, md5(clean) AS clean_md5, clean <> txt AS changed FROM (
   SELECT doc_id, txt, regexp_replace(regexp_replace(txt, '[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}', '[EMAIL]', 'g'), '\b[6-9]\d{9}\b', '[PHONE]', 'g') AS clean
   FROM (SELECT doc_id, text || ' call 9' || lpad(CAST(doc_id AS VARCHAR), 9, '0') || ' ' AS txt FROM documents))""",
-    "m5_phrases": " UNION ALL ".join(f"SELECT '{phrase}' AS phrase, count({c}) AS n FROM f" for c, phrase in (("avg_review_rating", "low review ratings"), ("pct_low_reviews", "many low reviews"), ("cancellation_rate", "high cancellation rate"), ("unresolved_ticket_rate", "unresolved support tickets"), ("tickets_per_order", "frequent complaints"), ("avg_order_value", "order value pattern"), ("churned", "churned"))),
+    "m5_phrases": " UNION ALL ".join(f"SELECT '{phrase}' AS phrase, count({c}) AS n FROM f" for c, phrase in (*PHRASES.items(), ("churned", "churned"))),
     "m7_winnability": f"SELECT user_id, round({WIN}, 6) AS winnability FROM v_truth",
     "m8_incident": f"SELECT user_id, round({SHOCK['cancellation_rate']}, 6) AS cancellation_rate, round({SHOCK['unresolved_ticket_rate']}, 6) AS unresolved_ticket_rate FROM f",
-    "m9_percent_cells": "SELECT user_id, round(round(p, 6) * 100, 0)::INT || '%' AS cell FROM s",
+    "m9_percent_cells": "SELECT user_id, printf('%.0f%%', p * 100) AS cell FROM s",
     "l1_split": "SELECT user_id, churned, substr(md5(concat('split:', CAST(user_id AS VARCHAR))), 1, 8) < '40000000' AS is_test FROM f",
+    "l1_exact_split": "SELECT user_id, churned, row_number() OVER (PARTITION BY churned ORDER BY md5(concat('split:', CAST(user_id AS VARCHAR))), user_id) <= floor(count(*) OVER (PARTITION BY churned) * 0.25 + 0.5) AS is_test FROM f",
+    "r1_daily_logins": """SELECT user_id, date_trunc('day', event_timestamp)::TIMESTAMP AS day, count(*) AS logins FROM v_auth_log WHERE event_type = 'LOGIN'
+  AND date_trunc('day', event_timestamp) + INTERVAL 2 DAY <= (SELECT max(event_timestamp) FROM v_auth_log WHERE event_type = 'LOGIN') GROUP BY 1, 2""",
+    "r2_running_orders": "SELECT * FROM last_orders",
+    "r3_first_reviews": "SELECT DISTINCT user_id, product_id, order_id FROM v_reviews",
     "d1_psi": "WITH_PSI " + _psi(_long("f", "user_id % 2 = 0"), _long("f", "user_id % 2 = 1")) + " SELECT feature, coalesce(psi, 0) AS psi FROM psis",
     "d2_drift_table": "WITH_PSI " + _psi(_long("f", "user_id % 2 = 0"), _long("f", "user_id % 2 = 1")) + f" SELECT feature, psi, {VERDICT} AS verdict FROM psis",
     "d3_drift_after_incident": "WITH_PSI " + _psi(_long("f"), _long("f", change=SHOCK)) + f" SELECT feature, psi, {VERDICT} AS verdict FROM psis",
@@ -196,16 +205,21 @@ UNION ALL SELECT 'reviews', 'rating in 2..5', count(*) FILTER (rating NOT BETWEE
     "c2_duplicate_reviews": "SELECT user_id, product_id, order_id, count(*) AS n FROM v_reviews GROUP BY ALL HAVING count(*) > 1",
     "c3_first_reviews": "SELECT user_id, product_id, order_id, rating, created_at FROM v_reviews QUALIFY row_number() OVER (PARTITION BY user_id, product_id, order_id ORDER BY created_at, l_linenumber, l_suppkey, rating) = 1",
     "c4_orphan_reviews": "SELECT user_id, product_id, order_id, rating, created_at, l_linenumber, l_suppkey FROM v_reviews WHERE order_id NOT IN (SELECT order_id FROM v_orders)",
+    "c4_orphan_references": " UNION ALL ".join(
+        f"SELECT '{t.removeprefix('v_')}' AS \"table\", '{c}' AS reference, count(*) AS orphans FROM {t} WHERE {c} IS NOT NULL AND {c} NOT IN (SELECT {k} FROM {to})"
+        for t, c, to, k in (("v_orders", "user_id", "v_users", "user_id"), ("v_tickets", "user_id", "v_users", "user_id"), ("v_tickets", "order_id", "v_orders", "order_id"), ("v_tickets", "l_suppkey", "supplier", "s_suppkey"), ("v_reviews", "user_id", "v_users", "user_id"), ("v_reviews", "order_id", "v_orders", "order_id"), ("v_reviews", "product_id", "part", "p_partkey"))
+    ),
     "v1_ticket_signal": "SELECT * FROM ts",
     "v2_review_signal": "SELECT * FROM rs",
     "v3_risk_levels": "SELECT user_id, ticket_signal, review_signal, risk_level FROM sig",
     "v4_actions": "SELECT risk_level, suggested_action, count(*) AS n FROM sig GROUP BY 1, 2",
     "v5_critic": "SELECT * FROM rev",
-    "v6_dossiers": f"""SELECT user_id, coalesce(tj, '[]') AS tickets, coalesce(rj, '[]') AS reviews FROM customers
-LEFT JOIN (SELECT user_id, '[' || string_agg('{{"place":' || place || ',"order_id":' || order_id || ',"category":"' || category || '","status":"' || status || '"}}', ',' ORDER BY place) || ']' AS tj
-  FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY {TICKET_ORDER}) AS place FROM v_tickets) WHERE place <= 5 GROUP BY 1) USING (user_id)
-LEFT JOIN (SELECT user_id, '[' || string_agg('{{"place":' || place || ',"order_id":' || order_id || ',"rating":' || rating || '}}', ',' ORDER BY place) || ']' AS rj
-  FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY {REVIEW_ORDER}) AS place FROM v_reviews) WHERE place <= 5 GROUP BY 1) USING (user_id)""",
+    "v6_dossiers": f"""SELECT user_id, part, coalesce(tj, '[]') AS tickets, coalesce(rj, '[]') AS reviews FROM (SELECT user_id, 1 AS part FROM customers)
+FULL JOIN (SELECT user_id, part, '[' || string_agg('{{"place":' || place || ',"order_id":' || order_id || ',"category":"' || category || '","status":"' || status || '","description":"' || description || '"}}', ',' ORDER BY place) || ']' AS tj
+  FROM (SELECT user_id, place, order_id, category, status, ((place - 1) // 5)::INT + 1 AS part, regexp_replace(regexp_replace(description, '{EMAIL}', '[EMAIL]', 'g'), '{MOBILE}', '[PHONE]', 'g') AS description
+    FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY {TICKET_ORDER}) AS place FROM v_tickets WHERE user_id IN (SELECT user_id FROM customers))) GROUP BY 1, 2) USING (user_id, part)
+FULL JOIN (SELECT user_id, part, '[' || string_agg('{{"place":' || place || ',"order_id":' || order_id || ',"rating":' || rating || '}}', ',' ORDER BY place) || ']' AS rj
+  FROM (SELECT *, ((place - 1) // 5)::INT + 1 AS part FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY {REVIEW_ORDER}) AS place FROM v_reviews WHERE user_id IN (SELECT user_id FROM customers))) GROUP BY 1, 2) USING (user_id, part)""",
 }
 
 

@@ -26,13 +26,14 @@ FROM {orders} WHERE o_custkey % 10 <> 3""",
   CASE WHEN l_linestatus = 'F' AND l_partkey % 2 = 0 THEN 'RESOLVED' WHEN l_linestatus = 'F' THEN 'CLOSED'
        WHEN o_orderpriority = '1-URGENT' THEN 'OPEN' WHEN o_orderpriority = '2-HIGH' THEN 'IN_PROGRESS'
        WHEN o_orderpriority = '3-MEDIUM' THEN 'WAITING_ON_CUSTOMER' WHEN l_partkey % 3 = 0 THEN 'OPEN' ELSE 'CLOSED' END AS status,
+  CONCAT('order ', CAST(l_orderkey AS STRING), ' of user', CAST(o_custkey AS STRING), '@example.com, call 9', LPAD(CAST(o_custkey AS STRING), 9, '0')) AS description,
   l_shipdate AS created_at
 FROM {lineitem} JOIN {orders} ON l_orderkey = o_orderkey
-WHERE l_returnflag = 'R' AND o_custkey % 7 <> 2 AND l_suppkey % 4 = 0""",
+WHERE l_returnflag = 'R' AND o_custkey % 7 <> 2""",
     "v_reviews": """SELECT o_custkey AS user_id, l_partkey % 20 AS product_id, l_orderkey AS order_id, l_linenumber, l_suppkey,
   1 + CAST(l_quantity AS INT) % 5 AS rating, l_shipdate AS created_at
 FROM {lineitem} JOIN {orders} ON l_orderkey = o_orderkey
-WHERE l_returnflag = 'A' AND o_custkey % 6 <> 1 AND l_suppkey % 3 = 0""",
+WHERE l_returnflag = 'A' AND o_custkey % 6 <> 1""",
     "v_auth_log": """SELECT event_id AS log_id, user_id,
   CASE event_type WHEN 'click' THEN 'LOGIN' WHEN 'purchase' THEN 'LOGIN' WHEN 'view' THEN 'LOGOUT'
        WHEN 'error' THEN 'LOGIN_FAILED' ELSE 'PASSWORD_RESET' END AS event_type,

@@ -41,20 +41,29 @@ def first_reviews(reviews: DataFrame, late: str = "1 day") -> DataFrame:
     return keyed.unionByName(timed.where(F.col("order_id").isNull()))
 
 
-def upsert_parquet(path: str) -> Callable[[DataFrame, int], None]:
-    """For foreachBatch: each batch of updates is a folder of its own, which a replay overwrites."""
+def upsert_parquet(path: str, key: str, compact_every: int = 8) -> Callable[[DataFrame, int], None]:
+    """For foreachBatch: each batch of updates is a folder of its own, which a replay overwrites. Every compact_every batches
+    all rows so far are merged into a base, so readers meet one base and a few batches."""
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+        batch.write.mode("overwrite").parquet(f"{path}/kind=delta/batch={batch_id}")
+        if (batch_id + 1) % compact_every == 0:
+            merged = latest(batch.sparkSession, path, key, batch_id)
+            merged.write.mode("overwrite").parquet(f"{path}/kind=base/batch={batch_id}")
 
     return write
 
 
-def latest(spark: SparkSession, path: str, key: str) -> DataFrame:
-    """What upserts left of each key: its row of the last batch."""
-    rows = spark.read.parquet(path)
-    columns = [c for c in rows.columns if c not in (key, "batch")]
-    return rows.groupBy(key).agg(F.max_by(F.struct(*columns), "batch").alias("r")).select(key, "r.*")
+def latest(spark: SparkSession, path: str, key: str, before: int | None = None) -> DataFrame:
+    """What upserts left of each key: its row of the last batch. before: a base of that batch or later is not read."""
+    rows = spark.read.option("basePath", path).parquet(path)
+    bases = rows.where("kind = 'base'") if before is None else rows.where((F.col("kind") == "base") & (F.col("batch") < before))
+    base = bases.agg(F.max("batch")).first()[0]
+    now = F.col("kind") == "delta"
+    if base is not None:
+        now = (now & (F.col("batch") > base)) | ((F.col("kind") == "base") & (F.col("batch") == base))
+    columns = [c for c in rows.columns if c not in (key, "batch", "kind")]
+    return rows.where(now).groupBy(key).agg(F.max_by(F.struct(*columns), "batch").alias("r")).select(key, "r.*")
 
 
 def run_available(stream: DataFrame, path: str, checkpoint: str, mode: str = "append") -> StreamingQuery:
@@ -64,7 +73,7 @@ def run_available(stream: DataFrame, path: str, checkpoint: str, mode: str = "ap
     return query
 
 
-def run_upserts(stream: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
-    query = stream.writeStream.outputMode("update").foreachBatch(upsert_parquet(path)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+def run_upserts(stream: DataFrame, path: str, checkpoint: str, key: str, compact_every: int = 8) -> StreamingQuery:
+    query = stream.writeStream.outputMode("update").foreachBatch(upsert_parquet(path, key, compact_every)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     query.awaitTermination()
     return query

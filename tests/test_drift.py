@@ -40,6 +40,19 @@ def test_ties_and_outside_values(spark, seed):
     assert got >= 0 and got == pytest.approx(reference(base, new), rel=1e-9)
 
 
+@pytest.mark.parametrize("parts", ["1", "7"])
+def test_exact_over_many_ranges(spark, parts):
+    """Values at the wanted ranks are found wherever the ranges are cut."""
+    rng = np.random.default_rng(5)
+    base, new = np.round(rng.normal(0, 1, 3000), 1), rng.normal(0.3, 1, 900)
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", parts)
+    try:
+        assert psi(spark, base, new) == pytest.approx(reference(base, new), rel=1e-9)
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
 def test_sketch_is_close(spark):
     rng = np.random.default_rng(1)
     a, b = rng.normal(0, 1, 4000), rng.normal(0.5, 1, 4000)

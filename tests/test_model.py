@@ -2,7 +2,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from keepwell.functions.columns import FEATURES
+from keepwell.functions.columns import FEATURES, PHRASES
 from keepwell.operators import explain, features, model
 from keepwell.sources import io
 
@@ -56,4 +56,32 @@ def test_save_and_load(fitted, tmp_path):
 def test_registered_queries_take_the_whole_model(views):
     from keepwell.plans import jobs
 
-    assert jobs.fitted(views)[0].stages[-1].getNumTrees == 200
+    m, rows = jobs.fitted(views)
+    assert m.stages[-1].getNumTrees == 200
+    scored = model.score(m, rows)
+    got = explain.attribute(m, scored).join(scored.select("user_id", "churn_probability"), "user_id").toPandas()
+    assert np.allclose(got[list(FEATURES)].sum(axis=1) + got["base"], got["margin"], atol=1e-8)
+    assert np.allclose(1 / (1 + np.exp(-2 * got["margin"])), got["churn_probability"], atol=1e-8)
+    # what is registered on the model, from its scores and pushes by hand
+    names = list(FEATURES)
+    four = {(r["user_id"], r["place"]): (r["feature"], r["direction"]) for r in jobs.w3_strongest_factors(views).collect()}
+    tops = {r["user_id"]: r["top_factor"] for r in jobs.l7_top_factor(views).collect()}
+    for _, r in got.iterrows():
+        by_size = sorted(names, key=lambda f: (-abs(r[f]), f))[:4]
+        assert [four[r["user_id"], i + 1] for i in range(4)] == [(f, "UP" if r[f] > 0 else "DOWN") for f in by_size]
+        most = max(names, key=lambda f: r[f])
+        assert tops[r["user_id"]] == (PHRASES[most] if r[most] > 0 else "no strong signal")
+    means = [(r["feature"], r["mean_abs"]) for r in jobs.l8_global_importance(views).collect()]
+    assert [f for f, _ in means] == sorted(names, key=lambda f: -got[f].abs().mean()) and dict(means) == pytest.approx({f: got[f].abs().mean() for f in names})
+    labels = {r["user_id"]: (r["churned"], r["is_test"], r["churn_probability"]) for r in scored.collect()}
+    held = [(y, p) for y, t, p in labels.values() if t]
+    metric = {r["metric"]: r["value"] for r in jobs.l4_held_out_metrics(views).collect()}
+    wins = [(a > b) + (a == b) / 2 for y, a in held if y for z, b in held if not z]
+    assert metric["tp"] == sum(y == 1 and p >= 0.5 for y, p in held) and metric["fp"] == sum(y == 0 and p >= 0.5 for y, p in held) and metric["auc"] == pytest.approx(np.mean(wins))
+    assert {r["user_id"]: r["churn_probability"] for r in jobs.l3_model_scores(views).collect()} == {u: p for u, (_, _, p) in labels.items()}
+    assert sum(r["importance"] for r in jobs.l5_importances(views).collect()) == pytest.approx(1)
+    flagged = {r["archetype"]: (r["n"], r["flagged"]) for r in jobs.a9_model_by_archetype(views).collect()}
+    truth = [(r["archetype"], labels[r["user_id"]][2] > 0.5 if r["user_id"] in labels else False) for r in views.truth.collect()]
+    assert flagged == {a: (sum(x == a for x, _ in truth), sum(f for x, f in truth if x == a)) for a in {x for x, _ in truth}}
+    top = [r["user_id"] for r in jobs.k2_model_candidates(views).orderBy("priority_score").collect()]
+    assert len(top) == len(set(top)) == 15

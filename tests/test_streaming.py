@@ -1,3 +1,5 @@
+from datetime import datetime
+
 from pyspark.sql import functions as F
 
 from keepwell.operators import activity, contracts
@@ -24,6 +26,48 @@ def test_first_reviews_equal_the_batch(views):
     assert got == {tuple(r) for r in want.collect()}
 
 
+def arriving(spark, folder, batches, schema):
+    """Each batch is a file that arrives after the one before."""
+    for rows in batches:
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(f"{folder}/in")
+    return streams.read_stream(spark, f"{folder}/in", schema)
+
+
+def at(day, hour=0):
+    return datetime(2024, 1, day, hour)
+
+
+def test_late_logins_are_dropped(spark, tmp_path):
+    """The watermark stands a day behind the newest login; a row older than it has no effect once its day was given out."""
+    schema = "user_id long, event_type string, event_timestamp timestamp_ntz"
+    batches = [[(1, "LOGIN", at(1, 8)), (1, "LOGOUT", at(1, 9)), (2, "LOGIN", at(1, 23))], [(1, "LOGIN", at(2, 1)), (1, "LOGIN", at(1, 22)), (2, "LOGIN", at(4, 5))], [(2, "LOGIN", at(3, 6))], [(1, "LOGIN", at(1, 10)), (1, "LOGIN", at(9))]]
+    streams.run_available(streams.daily_logins(arriving(spark, tmp_path, batches, schema)), str(tmp_path / "out"), str(tmp_path / "state"))
+    got = {(r["user_id"], r["day"].day): r["logins"] for r in spark.read.parquet(str(tmp_path / "out")).collect()}
+    assert got == {(1, 1): 2, (2, 1): 1, (1, 2): 1, (2, 4): 1, (2, 3): 1}  # the last batch's login of day 1 came too late
+
+
+def test_duplicates_across_batches(spark, tmp_path):
+    schema = "user_id long, product_id long, order_id long, created_at timestamp_ntz"
+    batches = [[(1, 1, 5, at(1)), (1, 1, None, at(1))], [(1, 1, 5, at(1, 3)), (1, 2, 5, at(1)), (1, 1, None, at(1))], [(1, 2, 5, at(1, 5)), (2, 1, 5, at(2))]]
+    streams.run_available(streams.first_reviews(arriving(spark, tmp_path, batches, schema)), str(tmp_path / "out"), str(tmp_path / "state"))
+    got = [tuple(r) for r in spark.read.parquet(str(tmp_path / "out")).select("user_id", "product_id", "order_id").collect()]
+    assert sorted(got, key=str) == sorted([(1, 1, 5), (1, 1, None), (1, 2, 5), (1, 1, None), (2, 1, 5)], key=str)
+
+
+def test_upserts_are_merged(spark, tmp_path):
+    """State runs on over the batches; a base takes the place of the batches before it, and a replay changes nothing."""
+    schema = "user_id long, placed_at timestamp_ntz"
+    batches = [[(1, at(1)), (2, at(1))], [(1, at(2))], [(3, at(3)), (1, at(1))], [(2, at(4))], [(1, at(5))]]
+    out = str(tmp_path / "out")
+    streams.run_upserts(streams.running_orders(arriving(spark, tmp_path, batches, schema)), out, str(tmp_path / "state"), "user_id", compact_every=2)
+    want = {(1, at(5), 4), (2, at(4), 2), (3, at(3), 1)}
+    assert {tuple(r) for r in streams.latest(spark, out, "user_id").collect()} == want
+    assert {tuple(r) for r in spark.read.parquet(out).select("kind", "batch").where("kind = 'base'").distinct().collect()} == {("base", 1), ("base", 3)}
+    write = streams.upsert_parquet(out, "user_id", 2)
+    write(spark.createDataFrame([(2, at(4), 2)], "user_id long, last_order timestamp_ntz, total_orders long"), 3)
+    assert {tuple(r) for r in streams.latest(spark, out, "user_id").collect()} == want
+
+
 def test_reviews_without_order_pass(spark, tmp_path):
     rows = spark.createDataFrame([(1, 1, None), (1, 1, None), (1, 1, 5), (1, 1, 5)], "user_id long, product_id long, order_id long").withColumn("created_at", F.lit("2024-01-01").cast("timestamp_ntz"))
     rows.write.parquet(str(tmp_path / "in"))
