@@ -70,11 +70,15 @@ def render(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn",
         t = F.col("t")
         anew = (t.turn, t.role, t.text, escape_role(t.role), escape(t.text))
         row = row.withColumn("t", F.when(_comes_back(t), t).otherwise(F.struct(*[c.alias(n) for c, n in zip(anew, names, strict=True)])))
+    # forms go through the shuffle only where they differ from their source
+    t = F.col("t")
+    row = row.withColumn("t", F.struct(t.turn.alias("turn"), t.role.alias("role"), t.text.alias("text"), F.nullif(t.role_form, t.role).alias("role_form"), F.nullif(t.text_form, t.text).alias("text_form")))
     # rows without conv_id have only themselves
     lone = F.when(F.col("conv_id").isNull(), F.monotonically_increasing_id())
     grouped = row.select("conv_id", lone.alias("lone"), "t").groupBy("conv_id", "lone").agg(F.sort_array(F.collect_list("t")).alias("source")).drop("lone")
-    changed = F.filter("source", lambda t: (t.role_form != t.role) | (t.text_form != t.text))
-    return grouped.select("conv_id", "source", F.size(changed).alias("n_escaped"), F.array_join(F.transform("source", lambda t: _line(t.role_form, t.text_form)), "").alias("formatted"))
+    changed = F.filter("source", lambda t: t.role_form.isNotNull() | t.text_form.isNotNull())
+    line = lambda t: _line(F.coalesce(t.role_form, t.role), F.coalesce(t.text_form, t.text))
+    return grouped.select("conv_id", "source", F.size(changed).alias("n_escaped"), F.array_join(F.transform("source", line), "").alias("formatted"))
 
 
 def parse(rendered: DataFrame) -> DataFrame:
