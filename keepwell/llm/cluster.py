@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import zipfile
 from collections.abc import Iterator
+from contextlib import contextmanager
 from pathlib import Path
 
 import pyarrow as pa
@@ -13,7 +14,7 @@ from pyspark.sql import functions as F
 
 from keepwell.sources.shared import settle as materialize
 
-__all__ = ["materialize", "meet", "python_ready", "read", "small", "without"]
+__all__ = ["materialize", "meet", "python_ready", "read", "small", "small_transfers", "without"]
 
 #: Rows worked on at a time in a Python worker. Spark bounds a batch by bytes; this bounds what is made from it.
 BATCH_ROWS = 256
@@ -43,6 +44,18 @@ def small(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield batch.slice(at, BATCH_ROWS)
 
 
+@contextmanager
+def small_transfers(spark: SparkSession) -> Iterator[None]:
+    """Arrow batches of BATCH_ROWS between JVM and Python for what is written inside; the session's own setting returns."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(BATCH_ROWS))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def without(rows: DataFrame, gone: DataFrame, on: Column) -> DataFrame:
     """The rows that no row of gone, a written table, matches. The broadcast of gone is bounded by its count."""
     return rows.join(F.broadcast(gone) if gone.count() <= MOST_BROADCAST else gone, on, "left_anti")

@@ -34,7 +34,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from keepwell.llm.cluster import MOST_BROADCAST, materialize, meet, python_ready, small, without
+from keepwell.llm.cluster import MOST_BROADCAST, materialize, meet, python_ready, small, small_transfers, without
 from keepwell.llm.components import components
 
 #: Sets of a block of a neighbourhood.
@@ -402,6 +402,11 @@ def _links(members: DataFrame, words: int, num: int, den: int) -> DataFrame:
 def near_copies(docs: DataFrame, words: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: doc_id, n_shingles, component_id (the least id that links of similarity num / den reach)."""
     python_ready(docs.sparkSession)
+    with small_transfers(docs.sparkSession):  # all Python steps are written before this returns
+        return _near_copies(docs, words, num, den, id_col, text_col)
+
+
+def _near_copies(docs: DataFrame, words: int, num: int, den: int, id_col: str, text_col: str) -> DataFrame:
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     sets = materialize(_sets(rows, words), "sets")
     named = sets.where(F.col("set_hash").isNotNull() & F.col("doc_id").isNotNull())
