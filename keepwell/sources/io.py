@@ -15,8 +15,10 @@ def read_table(spark: SparkSession, root: str, name: str) -> DataFrame:
 
 
 def read_table_jdbc(spark: SparkSession, url: str, name: str, lower: int, upper: int, parts: int, **options: str) -> DataFrame:
-    """The same over JDBC, in ranges of user_id read side by side."""
-    return spark.read.format("jdbc").options(url=url, dbtable=name, partitionColumn="user_id", lowerBound=lower, upperBound=upper, numPartitions=parts, **options).load()
+    """The same over JDBC, in ranges read side by side: of user_id, or of a table's own key where it has no users. Rows
+    outside lower and upper fall to the first and the last range."""
+    key = "user_id" if "user_id long" in TABLES[name] else TABLES[name].split(" ", 1)[0]
+    return spark.read.format("jdbc").options(url=url, dbtable=name, partitionColumn=key, lowerBound=lower, upperBound=upper, numPartitions=parts, **options).load()
 
 
 def read_truth(spark: SparkSession, path: str) -> DataFrame:

@@ -40,3 +40,15 @@ def test_report_file(spark, tmp_path):
 def test_tables(spark, views, tmp_path):
     views.orders.limit(5).write.parquet(str(tmp_path / "orders"))
     assert io.read_table(spark, str(tmp_path), "orders").select("order_id", "delivered_at").count() == 5
+
+
+def test_tables_over_jdbc(spark):
+    """Ranges of user_id, and of product_id for the table without users; values beyond the bounds and nulls come too."""
+    url, driver = "jdbc:derby:memory:shop;create=true", "org.apache.derby.jdbc.EmbeddedDriver"
+    orders = spark.createDataFrame([(i, i * 10) for i in range(7)] + [(7, None)], "order_id long, user_id long")
+    products = spark.createDataFrame([(i, float(i)) for i in range(5)], "product_id long, price double")
+    for name, rows in (("orders", orders), ("products", products)):
+        rows.coalesce(1).write.format("jdbc").options(url=url, dbtable=name, driver=driver).mode("overwrite").save()
+        got = io.read_table_jdbc(spark, url, name, 10, 40, 3, driver=driver)
+        assert got.rdd.getNumPartitions() == 3
+        assert sorted(got.collect(), key=str) == sorted(rows.collect(), key=str)
