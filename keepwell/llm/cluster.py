@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from keepwell.sources.shared import settle as materialize
 
-__all__ = ["materialize", "meet", "python_ready", "read", "small", "small_transfers", "without"]
+__all__ = ["materialize", "meet", "python_ready", "read", "sent", "small", "small_transfers", "without"]
 
 #: Rows worked on at a time in a Python worker. Spark bounds a batch by bytes; this bounds what is made from it.
 BATCH_ROWS = 256
@@ -56,6 +56,12 @@ def small_transfers(spark: SparkSession) -> Iterator[None]:
         spark.conf.set(name, before)
 
 
+def sent(table: DataFrame, name: str) -> DataFrame:
+    """The table, written, to be joined by a broadcast where its count allows that and by a shuffle where not."""
+    written = materialize(table, name)
+    return F.broadcast(written) if written.count() <= MOST_BROADCAST else written
+
+
 def without(rows: DataFrame, gone: DataFrame, on: Column) -> DataFrame:
     """The rows that no row of gone, a written table, matches. The broadcast of gone is bounded by its count."""
     return rows.join(F.broadcast(gone) if gone.count() <= MOST_BROADCAST else gone, on, "left_anti")

@@ -13,8 +13,8 @@
 4. What those pairs join is compared exactly, again by groups and their unions, now of whole tokens.
 5. Components of those links, from the least id.
 
-Neighbourhoods larger than ``BLOCK_SETS`` and what has more tokens than ``BLOCK_TOKENS`` are dealt out in blocks, and each
-pair of blocks is a task of its own. Any threshold above 0 is exact; low ones have large segments and cost more.
+Neighbourhoods of more sets than ``BLOCK_SETS`` or more tokens than ``BLOCK_SHINGLES``, and what has more tokens than
+``BLOCK_TOKENS`` to compare, are dealt out in blocks, and each pair of blocks is a task of its own. Any threshold above 0 is exact; low ones have large segments and cost more.
 
 Null texts count as empty. Rows without id and documents without words link with nothing, and texts are read whole however
 long. Rows that share an id are one document with the links of each of its texts. Equal sets are joined whatever their
@@ -34,11 +34,11 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from keepwell.llm.cluster import MOST_BROADCAST, materialize, meet, python_ready, small, small_transfers, without
+from keepwell.llm.cluster import MOST_BROADCAST, materialize, meet, python_ready, sent, small, small_transfers, without
 from keepwell.llm.components import components
 
-#: Sets of a block of a neighbourhood.
-BLOCK_SETS = 10_000
+#: Sets of a block of a neighbourhood, and tokens: at 4 to 8 bits each, 32 MB of bit arrays.
+BLOCK_SETS, BLOCK_SHINGLES = 10_000, 32_000_000
 #: Tokens of a block of a group: 32 MB of hashes.
 BLOCK_TOKENS = 4_000_000
 #: Sets in a group of the token-group matrix.
@@ -424,17 +424,18 @@ def _near_copies(docs: DataFrame, words: int, num: int, den: int, id_col: str, t
     leaders = materialize(leaders, "leaders")
     near = meet(postings, leaders, "key", "n", n_tokens)
     near = materialize(near.groupBy("group", "a").agg(F.lit(1).alias("x")).select("group", F.col("a").alias("__id")), "near")
-    # only what is dealt out in blocks is broadcast: a row for BLOCK_SETS rows at most
-    blocks = near.groupBy("group").agg(F.ceil(F.count("*") / BLOCK_SETS).cast("int").alias("__blocks")).where("__blocks > 1").withColumnRenamed("group", "__group")
+    sized = near.join(named.select("doc_id", "n_shingles"), F.col("__id") == F.col("doc_id"))
+    n_blocks = F.ceil(F.greatest(F.count("*") / BLOCK_SETS, F.sum("n_shingles") / BLOCK_SHINGLES)).cast("int")
+    blocks = sized.groupBy("group").agg(n_blocks.alias("__blocks")).where("__blocks > 1").withColumnRenamed("group", "__group")
     known = named.select("doc_id", "n_shingles", "bits")
-    dealt = near.join(F.broadcast(blocks), F.col("group") == F.col("__group"), "left").select("group", F.coalesce("__blocks", F.lit(1)).alias("blocks"), "__id")
+    dealt = near.join(sent(blocks, "blocks"), F.col("group") == F.col("__group"), "left").select("group", F.coalesce("__blocks", F.lit(1)).alias("blocks"), "__id")
     neighbours = dealt.join(known, F.col("__id") == F.col("doc_id")).select("group", "blocks", "doc_id", "n_shingles", "bits")
     groups = components(_groups(neighbours, num, den))
     groups = materialize(groups.select(F.col("node").alias("__id"), F.col("component").alias("group")), "groups")
 
     sizes = groups.join(named.select("doc_id", "n_shingles"), F.col("__id") == F.col("doc_id")).groupBy("group").agg(F.ceil(F.sum("n_shingles") / BLOCK_TOKENS).cast("int").alias("__blocks"))
     sizes = sizes.where("__blocks > 1").withColumnRenamed("group", "__group")
-    wanted = groups.join(F.broadcast(sizes), F.col("group") == F.col("__group"), "left").select("__id", "group", F.coalesce("__blocks", F.lit(1)).alias("blocks"))
+    wanted = groups.join(sent(sizes, "blocks"), F.col("group") == F.col("__group"), "left").select("__id", "group", F.coalesce("__blocks", F.lit(1)).alias("blocks"))
     if groups.count() <= MOST_BROADCAST:
         wanted = F.broadcast(wanted)
     members = rows.join(wanted, rows["doc_id"] == F.col("__id")).select("group", "blocks", "doc_id", "text")

@@ -11,7 +11,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 import corpus_pipeline
-from keepwell.llm import exact_dedup, jaccard, mixing
+from keepwell.llm import cluster, exact_dedup, jaccard, mixing
 from keepwell.llm.components import components
 
 
@@ -75,8 +75,6 @@ def test_near_copies_query(spark):
 
 
 def test_texts_beyond_the_broadcast(spark, monkeypatch):
-    from keepwell.llm import cluster
-
     monkeypatch.setattr(jaccard, "MOST_BROADCAST", 0)
     monkeypatch.setattr(cluster, "MOST_BROADCAST", 0)
     rows = varied(9, 120)
@@ -158,17 +156,17 @@ def test_low_thresholds(spark):
 
 def test_hot_classes_and_keys(spark, monkeypatch):
     """A class and a segment that a third of all documents have are met without a shuffle of their rows."""
-    from keepwell.llm import cluster
-
     monkeypatch.setattr(cluster, "LEAST_HOT", 5)
     rows = varied(21, 120) + [(5000 + i, "one text that very many documents have word for word") for i in range(80)]
     got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard.near_copies(spark.createDataFrame(rows, "doc_id long, text string"), 3, 90).collect()}
     assert got == links_of(rows, 3, 90)
 
 
-@pytest.mark.parametrize("block_sets,block_tokens", [(7, 4_000_000), (10_000, 900), (5, 500)])
-def test_neighbourhoods_and_groups_in_blocks(spark, monkeypatch, block_sets, block_tokens):
+@pytest.mark.parametrize("block_sets,block_shingles,block_tokens,broadcast", [(7, 32_000_000, 4_000_000, 100), (10_000, 32_000_000, 900, 100), (10_000, 600, 4_000_000, 0), (5, 900, 500, 0)])
+def test_neighbourhoods_and_groups_in_blocks(spark, monkeypatch, block_sets, block_shingles, block_tokens, broadcast):
+    monkeypatch.setattr(cluster, "MOST_BROADCAST", broadcast)
     monkeypatch.setattr(jaccard, "BLOCK_SETS", block_sets)
+    monkeypatch.setattr(jaccard, "BLOCK_SHINGLES", block_shingles)
     monkeypatch.setattr(jaccard, "BLOCK_TOKENS", block_tokens)
     rng = random.Random(8)
     base = [f"w{rng.randrange(900)}" for _ in range(120)]
@@ -210,8 +208,6 @@ def test_exact_copies_with_hot_texts(spark):
 
 @pytest.mark.parametrize("broadcast", [250_000, 0])
 def test_repeated_rows_are_left_once(spark, monkeypatch, broadcast):
-    from keepwell.llm import cluster
-
     monkeypatch.setattr(exact_dedup, "MOST_BROADCAST", broadcast)
     monkeypatch.setattr(cluster, "MOST_BROADCAST", broadcast)
     rows = [(1, "a", "x")] * 5 + [(2, "A", "y")] * 3 + [(3, "b", "z"), (None, None, None), (None, None, "q"), (None, "c", None)]
