@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from keepwell.functions import columns as C
 from keepwell.operators import activity, causality, contacts, contracts, drift, evaluation, evidence, features, report, scoring, uplift, verdict
 from keepwell.sources import io
-from keepwell.sources.shared import new_path, settle
+from keepwell.sources.shared import exists, new_path, settle
 from keepwell.sources.views import Views
 
 AS_OF, LOG_AS_OF = datetime(2001, 8, 1), datetime(2024, 1, 31)
@@ -580,7 +580,7 @@ def fitted(v: Views):
 
     rows = model.split(feature_table(v))
     key = (v.spark.sparkContext.applicationId, v.dir)
-    if key not in FITTED:
+    if key not in FITTED or not exists(v.spark, FITTED[key]):  # the shared folder may have been cleared
         path = new_path(v.spark, "model")
         io.save_model(model.train(rows.where(~F.col("is_test"))), path)
         FITTED[key] = path
@@ -657,8 +657,8 @@ def w3_strongest_factors(v):
     return explain.strongest(l6_attribution(v), 4)
 
 
-#: Slices of time that arrive one after the other, and files of each: a slice is one micro-batch.
-SLICES, SLICE_FILES = 3, 4
+#: Slices of time that arrive one after the other, each as one micro-batch; files of a slice at least, and rows of a file at most.
+SLICES, SLICE_FILES, FILE_ROWS = 3, 4, 2_000_000
 
 
 def _stream_of(v: Views, table: DataFrame, at: str, name: str) -> tuple[DataFrame, str]:
@@ -666,14 +666,15 @@ def _stream_of(v: Views, table: DataFrame, at: str, name: str) -> tuple[DataFram
     from keepwell.streaming.jobs import read_stream
 
     root = new_path(v.spark, name)
-    low, high = table.agg(F.min(at), F.max(at)).first()
+    low, high, n = table.agg(F.min(at), F.max(at), F.count("*")).first()
+    files = max(SLICE_FILES, -(-n // FILE_ROWS))  # enough for a slice that holds all rows
     for i in range(SLICES if low is not None else 0):
         begin, end = (low + (high - low) * j / SLICES for j in (i, i + 1))
         there = F.col(at) >= C.moment(begin)
         there = there & (F.col(at) < C.moment(end)) if i < SLICES - 1 else there | F.col(at).isNull()
-        table.where(there).repartition(SLICE_FILES).write.mode("append").parquet(f"{root}/in")
+        table.where(there).repartition(files).write.mode("append").parquet(f"{root}/in")
     schema = ", ".join(f"{n} {t}" for n, t in table.dtypes)
-    return read_stream(v.spark, f"{root}/in", schema, SLICE_FILES), root
+    return read_stream(v.spark, f"{root}/in", schema, files), root
 
 
 @job
