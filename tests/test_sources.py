@@ -52,3 +52,14 @@ def test_tables_over_jdbc(spark):
         got = io.read_table_jdbc(spark, url, name, 10, 40, 3, driver=driver)
         assert got.rdd.getNumPartitions() == 3
         assert sorted(got.collect(), key=str) == sorted(rows.collect(), key=str)
+
+
+def test_written_tables_come_and_go(spark):
+    from keepwell.sources import shared
+
+    path = shared.new_path(spark, "gone")
+    assert not shared.exists(spark, path)
+    assert shared.settle(spark.range(3), "gone", path).count() == 3
+    assert shared.exists(spark, path)
+    shared.remove(spark, path)
+    assert not shared.exists(spark, path)
