@@ -8,13 +8,15 @@ from collections.abc import Iterator
 from contextlib import contextmanager
 from pathlib import Path
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from keepwell.sources.shared import settle as materialize
 
-__all__ = ["materialize", "meet", "python_ready", "read", "sent", "small", "small_transfers", "without"]
+__all__ = ["by_bytes", "materialize", "meet", "python_ready", "read", "sent", "small", "small_transfers", "without"]
 
 #: Rows worked on at a time in a Python worker. Spark bounds a batch by bytes; this bounds what is made from it.
 BATCH_ROWS = 256
@@ -44,6 +46,18 @@ def small(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield batch.slice(at, BATCH_ROWS)
 
 
+def by_bytes(batches: Iterator[pa.RecordBatch], text: str, most: int) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches of at most so many bytes of a text column, or of one row where that alone has more."""
+    for batch in batches:
+        sizes = np.asarray(pc.fill_null(pc.binary_length(batch.column(text)), 0), np.int64)
+        ends, at = np.cumsum(sizes), 0
+        while at < batch.num_rows:
+            done = int(ends[at - 1]) if at else 0
+            stop = max(at + 1, int(np.searchsorted(ends, done + most, side="right")))
+            yield batch.slice(at, stop - at)
+            at = stop
+
+
 @contextmanager
 def small_transfers(spark: SparkSession) -> Iterator[None]:
     """Arrow batches of BATCH_ROWS between JVM and Python for what is written inside; the session's own setting returns."""

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from keepwell.llm import bpe, chat, exact_dedup, jaccard, mixing, pii, ppm, quality_classifier, quality_rules, url_rules
+from keepwell.llm import bpe, chat, exact_dedup, fim, jaccard, mixing, pii, ppm, quality_classifier, quality_rules, url_rules
 
 QUERIES = {
     "op1_pii": pii.query,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_chat": chat.query,
     "op9_exact_dedup": exact_dedup.query,
     "op10_bpe": bpe.query,
+    "op12_fim": fim.query,
 }
 
 ORACLE_SQL = {
@@ -22,4 +23,5 @@ ORACLE_SQL = {
     "op6_url_filters": url_rules.SQL,
     "op8_chat": chat.SQL,
     "op9_exact_dedup": exact_dedup.SQL,
+    "op12_fim": fim.SQL,
 }
