@@ -10,8 +10,9 @@ from pyspark.sql import functions as F
 from keepwell.sources.shared import settle
 
 
-def with_running(rows: DataFrame, by: Sequence[str], order: Sequence[Column], sums: Sequence[str]) -> DataFrame:
-    """Adds <name>_before for each of sums: its total over the rows of the same ``by`` (never null) that come earlier.
+def with_running(rows: DataFrame, by: Sequence[str], order: Sequence[Column], sums: Sequence[str], xors: Sequence[str] = ()) -> DataFrame:
+    """Adds <name>_before for each of sums: its total over the rows of the same ``by`` (never null) that come earlier; for
+    each of xors, longs, the exclusive or of these rows.
 
     Rows are range-partitioned by ``by`` and order, and written so. What a partition adds to its group is summed first and
     carried into the partitions that follow; inside a partition a window runs on. So a group of any size, even all rows,
@@ -21,10 +22,12 @@ def with_running(rows: DataFrame, by: Sequence[str], order: Sequence[Column], su
     keys = [F.col(c) for c in by]
     laid = settle(rows.repartitionByRange(parts, *keys, *order).withColumn("__part", F.spark_partition_id()), "ranked")
     # a row for each group and each partition that it reaches into
-    reached = laid.groupBy(*by, "__part").agg(*[F.sum(s).alias(f"__{s}") for s in sums])
+    folds = {s: F.sum for s in sums} | {x: F.bit_xor for x in xors}
+    reached = laid.groupBy(*by, "__part").agg(*[fold(s).alias(f"__{s}") for s, fold in folds.items()])
     earlier = Window.partitionBy(*by).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
-    carried = reached.select(*by, "__part", *[F.coalesce(F.sum(f"__{s}").over(earlier), F.lit(0)).alias(f"__{s}") for s in sums])
+    carried = reached.select(*by, "__part", *[F.coalesce(fold(f"__{s}").over(earlier), F.lit(0)).alias(f"__{s}") for s, fold in folds.items()])
     inside = Window.partitionBy(*by, "__part").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    own = laid.withColumns({f"{s}_before": F.coalesce(F.sum(s).over(inside), F.lit(0)) for s in sums})
+    own = laid.withColumns({f"{s}_before": F.coalesce(fold(s).over(inside), F.lit(0)) for s, fold in folds.items()})
     joined = own.join(carried, [*by, "__part"])
-    return joined.withColumns({f"{s}_before": F.col(f"{s}_before") + F.col(f"__{s}") for s in sums}).drop("__part", *[f"__{s}" for s in sums])
+    added = {s: F.col(f"{s}_before") + F.col(f"__{s}") for s in sums} | {x: F.col(f"{x}_before").bitwiseXOR(F.col(f"__{x}")) for x in xors}
+    return joined.withColumns({f"{s}_before": c for s, c in added.items()}).drop("__part", *[f"__{s}" for s in folds])
