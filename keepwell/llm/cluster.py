@@ -46,7 +46,7 @@ def small(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield batch.slice(at, BATCH_ROWS)
 
 
-def by_bytes(batches: Iterator[pa.RecordBatch], text: str, most: int) -> Iterator[pa.RecordBatch]:
+def by_bytes(batches: Iterator[pa.RecordBatch], text: str | int, most: int) -> Iterator[pa.RecordBatch]:
     """The same rows in batches of at most so many bytes of a text column, or of one row where that alone has more."""
     for batch in batches:
         sizes = np.asarray(pc.fill_null(pc.binary_length(batch.column(text)), 0), np.int64)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from keepwell.llm import bpe, chat, exact_dedup, fim, jaccard, mixing, pii, ppm, quality_classifier, quality_rules, url_rules
+from keepwell.llm import bpe, chat, conversation_trie, decontamination, exact_dedup, fim, jaccard, mixing, pii, ppm, quality_classifier, quality_rules, url_rules
 
 QUERIES = {
     "op1_pii": pii.query,
@@ -15,7 +15,9 @@ QUERIES = {
     "op8_chat": chat.query,
     "op9_exact_dedup": exact_dedup.query,
     "op10_bpe": bpe.query,
+    "op11_conversation_trie": conversation_trie.query,
     "op12_fim": fim.query,
+    "op13_decontamination": decontamination.query,
 }
 
 ORACLE_SQL = {
@@ -23,5 +25,7 @@ ORACLE_SQL = {
     "op6_url_filters": url_rules.SQL,
     "op8_chat": chat.SQL,
     "op9_exact_dedup": exact_dedup.SQL,
+    "op11_conversation_trie": conversation_trie.SQL,
     "op12_fim": fim.SQL,
+    "op13_decontamination": decontamination.SQL,
 }
