@@ -1,4 +1,8 @@
-"""Training, applying and measuring the churn model with MLlib."""
+"""Splitting, training and applying the churn model.
+
+The model is ``trees.fit``: boosted trees that take missing values as they are. MLlib's trees, which want them imputed, stay
+beside it for comparison.
+"""
 
 from __future__ import annotations
 
@@ -9,12 +13,12 @@ from pyspark.ml.classification import GBTClassifier
 from pyspark.ml.feature import Imputer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark import StorageLevel
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from keepwell.functions.columns import FEATURES
-from keepwell.operators.ranks import with_running
-from keepwell.sources.shared import shared_dir
+from keepwell.operators import trees as T
+from keepwell.sources.shared import settle, shared_dir
 
 #: Features that may be missing; a model sees them imputed, beside an indicator.
 NULLABLE = ("avg_review_rating", "avg_order_value")
@@ -29,12 +33,28 @@ def split(rows: DataFrame, test: float = 0.25, seed: str = "split") -> DataFrame
     return rows.withColumn("is_test", F.substring(digest, 1, 8) < cut)
 
 
-def split_exactly(rows: DataFrame, test: float = 0.25, seed: str = "split") -> DataFrame:
-    """is_test for the users whose hashes come first in their label: of each label just the share, rounded."""
+def split_exactly(rows: DataFrame, test: float = 0.25, seed: str = "split", bits: int = 16) -> DataFrame:
+    """is_test for the users whose hashes come first in their label: of each label just the share, rounded.
+
+    Users are counted by label and by the first bits of their hash, at most 2^bits counts a label. These say in which bucket
+    the cut falls and how many of it are wanted; only that bucket, a 2^bits-th of a label, is put in order. Its users'
+    hashes come out as one bound for each label, and all others are decided by comparison with that.
+    """
     digest = F.md5(F.concat(F.lit(f"{seed}:"), F.col("user_id").cast("string")).cast("binary"))
-    ran = with_running(rows.withColumns({"__digest": digest, "__one": F.lit(1)}), ["churned"], [F.col("__digest"), F.col("user_id")], ["__one"])
-    sizes = rows.groupBy("churned").agg(F.count("*").alias("__n"))
-    return ran.join(F.broadcast(sizes), "churned").withColumn("is_test", F.col("__one_before") < F.floor(F.col("__n") * test + 0.5)).select(*rows.columns, "is_test")
+    bucket = F.conv(F.substring(digest, 1, 8), 16, 10).cast("long")
+    hashed = settle(rows.select(F.col("churned").alias("label"), "user_id", digest.alias("digest"), F.shiftright(bucket, 32 - bits).alias("bucket")), "hashed")
+    counts = hashed.groupBy("label", "bucket").agg(F.count("*").alias("n"))
+    upto = Window.partitionBy("label").orderBy("bucket")
+    ran = counts.withColumns({"upto": F.sum("n").over(upto), "whole": F.sum("n").over(Window.partitionBy("label"))})  # 2^bits rows a label
+    wanted = F.floor(F.col("whole") * test + 0.5)
+    cut = ran.where((F.col("upto") > wanted) & (F.col("upto") - F.col("n") <= wanted)).select("label", "bucket", (wanted - F.col("upto") + F.col("n")).alias("left"))
+    inside = hashed.join(F.broadcast(cut), ["label", "bucket"])
+    placed = inside.withColumn("place", F.row_number().over(Window.partitionBy("label").orderBy("digest", "user_id")))
+    bound = placed.where(F.col("place") == F.col("left") + 1).select(F.col("label").alias("of_label"), F.col("digest").alias("from_digest"), F.col("user_id").alias("from_user"))
+    # a label whose share is all of it has no bound
+    met = rows.join(F.broadcast(bound), F.col("churned").eqNullSafe(F.col("of_label")), "left")
+    before = (digest < F.col("from_digest")) | ((digest == F.col("from_digest")) & (F.col("user_id") < F.col("from_user")))
+    return met.withColumn("is_test", F.coalesce(before, F.lit(True))).select(*rows.columns, "is_test")
 
 
 def with_indicators(rows: DataFrame) -> DataFrame:
@@ -53,7 +73,24 @@ def weighted(rows: DataFrame) -> DataFrame:
     return rows.withColumn("weight", F.when(F.col("churned") == 1, ratio).otherwise(1.0))
 
 
-def train(training: DataFrame, trees: int = 200, depth: int = 3, rate: float = 0.08, rows_share: float = 0.9, features_share: float = 0.9, seed: int = 42, features: Sequence[str] = FEATURES) -> PipelineModel:
+def train(training: DataFrame, trees: int = 200, depth: int = 3, rate: float = 0.08, rows_share: float = 0.9, features_share: float = 0.9, seed: int = 42, features: Sequence[str] = FEATURES, **how: int) -> T.Forest:
+    """Class-weighted boosted trees on the training rows."""
+    counts = training.agg(F.count_if(F.col("churned") == 0).alias("neg"), F.count_if(F.col("churned") == 1).alias("pos")).first()
+    weight = F.when(F.col("churned") == 1, counts["neg"] / counts["pos"] if counts["pos"] else 1.0).otherwise(1.0)
+    return T.fit(training, features, "churned", weight, trees, depth, rate, rows_share, features_share, seed, **how)
+
+
+def score(model: T.Forest, rows: DataFrame) -> DataFrame:
+    """The rows with churn_probability."""
+    return T.score(model, rows)
+
+
+def importances(model: T.Forest, spark: SparkSession) -> DataFrame:
+    """feature, importance (its share of the gains), the largest first."""
+    return spark.createDataFrame(list(model.importances().items()), "feature string, importance double").orderBy(F.desc("importance"), "feature")
+
+
+def train_mllib(training: DataFrame, trees: int = 200, depth: int = 3, rate: float = 0.08, rows_share: float = 0.9, features_share: float = 0.9, seed: int = 42, features: Sequence[str] = FEATURES) -> PipelineModel:
     """Class-weighted boosted trees. Imputation is fitted on the training rows alone, which stay in memory, spilling to
     disk, while the trees are grown; each level of a tree is one pass with tree-wise aggregation, and every
     CHECKPOINT_EVERY trees the lineage of the running predictions is cut in the shared folder."""
@@ -73,18 +110,7 @@ def train(training: DataFrame, trees: int = 200, depth: int = 3, rate: float = 0
         ready.unpersist()
 
 
-def score(model: PipelineModel, rows: DataFrame) -> DataFrame:
+def score_mllib(model: PipelineModel, rows: DataFrame) -> DataFrame:
     """The rows with churn_probability and the assembled vector."""
     out = model.transform(with_indicators(rows))
     return out.withColumn("churn_probability", vector_to_array("probability")[1]).select(*rows.columns, "features", "churn_probability")
-
-
-def importances(model: PipelineModel, features: Sequence[str] = FEATURES) -> DataFrame:
-    """feature, importance, the largest first; an indicator's share is its feature's."""
-    from pyspark.sql import SparkSession
-
-    values = model.stages[-1].featureImportances.toArray()
-    total: dict[str, float] = {f: 0.0 for f in features}
-    for name, value in zip(assembled_names(features), values, strict=True):
-        total[name.removesuffix("_missing").removesuffix("_filled")] += float(value)
-    return SparkSession.getActiveSession().createDataFrame(list(total.items()), "feature string, importance double").orderBy(F.desc("importance"), "feature")

@@ -3,14 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from datetime import date, datetime
+from datetime import date, datetime, timedelta
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from keepwell.functions import columns as C
-from keepwell.operators import activity, causality, contacts, contracts, drift, evaluation, evidence, features, report, scoring, uplift, verdict
-from keepwell.sources import io
+from keepwell.operators import activity, causality, contacts, contracts, drift, evaluation, evidence, features, report, rollup, scoring, uplift, verdict
+from keepwell.sources import io, store
 from keepwell.sources.shared import exists, new_path, settle
 from keepwell.sources.views import Views
 
@@ -130,6 +130,32 @@ def p6_review_lookup(v):
     return verdict.of_users(v.reviews, v.contacts, list(REVIEW_TIES) + ["created_at"])
 
 
+def fact_store(v: Views, *names: str) -> dict[str, DataFrame]:
+    """Tables of the shop laid out in a store: by user, the log by day, and orders by year."""
+    root = new_path(v.spark, "store")
+    times = {"log": ("event_timestamp", "day"), "orders": ("placed_at", "year")}
+    buckets = int(v.spark.conf.get("spark.sql.shuffle.partitions"))
+    out = {}
+    for n in names:
+        at, grain = times.get(n, (None, "day"))
+        out[n] = store.write_table(getattr(v, n), root, n, at=at, grain=grain, buckets=buckets)
+    return out
+
+
+@job
+def s1_store_features(v):
+    """The feature table from the store: no fact is exchanged."""
+    t = fact_store(v, "users", "orders", "tickets", "reviews", "truth")
+    return r6(features.build_features(t["users"], t["orders"], t["tickets"], t["reviews"], t["truth"]), *C.FEATURES)
+
+
+@job
+def s1_store_trend(v):
+    """The login trend from the store: only the window's days are read."""
+    log = store.in_folders(fact_store(v, "log")["log"], (LOG_AS_OF - timedelta(days=EARLIER)).date().isoformat())
+    return activity.login_trend(log, LOG_AS_OF, EARLIER, RECENT)
+
+
 @job
 def s3_nested_predictions(v):
     return predictions(v).select("user_id", "risk_level", *[F.col(f"evidence.{f}").alias(f) for f in evidence.FIELDS])
@@ -571,27 +597,31 @@ def as_query(f: Callable[[Views], DataFrame]) -> Callable[[SparkSession, str], D
 # -- model, explanation and streams: no SQL twin -----------------------------------------------------------------------
 
 
-#: Where the model of each application and folder of tables was saved: seven jobs fit it once.
-FITTED: dict[tuple[str, str], str] = {}
+#: Where the model of some training rows was saved, by application and a digest of these rows: nine jobs fit it once.
+FITTED: dict[tuple, str] = {}
 
 
 def fitted(v: Views):
-    from keepwell.operators import model
-
-    rows = model.split(feature_table(v))
-    key = (v.spark.sparkContext.applicationId, v.dir)
+    """The model and the split feature table, which is written once. The digest runs over all training rows, so other
+    tables under the same name are fitted anew."""
+    from keepwell.operators import model, trees
+
+    rows = settle(model.split(feature_table(v)), "features")
+    training = rows.where(~F.col("is_test"))
+    digest = training.agg(F.count("*"), F.sum(F.xxhash64(*training.columns).cast("decimal(38,0)"))).first()
+    key = (v.spark.sparkContext.applicationId, *digest)
     if key not in FITTED or not exists(v.spark, FITTED[key]):  # the shared folder may have been cleared
         path = new_path(v.spark, "model")
-        io.save_model(model.train(rows.where(~F.col("is_test"))), path)
+        trees.save(model.train(training), v.spark, path)
         FITTED[key] = path
-    return io.load_model(FITTED[key]), rows
+    return trees.load(v.spark, FITTED[key]), rows
 
 
 def model_scored(v: Views) -> DataFrame:
     from keepwell.operators import model
 
     m, rows = fitted(v)
-    return model.score(m, rows).drop("features")
+    return model.score(m, rows)
 
 
 @job
@@ -625,15 +655,14 @@ def l4_held_out_metrics(v):
 def l5_importances(v):
     from keepwell.operators import model
 
-    return model.importances(fitted(v)[0])
+    return model.importances(fitted(v)[0], v.spark)
 
 
 @job
 def l6_attribution(v):
-    from keepwell.operators import explain, model
+    from keepwell.operators import explain
 
-    m, rows = fitted(v)
-    return explain.attribute(m, model.score(m, rows))
+    return explain.attribute(*fitted(v))
 
 
 @job
@@ -659,26 +688,29 @@ def w3_strongest_factors(v):
 
 #: Slices of time that arrive one after the other, each as one micro-batch; files of a slice at least, and rows of a file at most.
 SLICES, SLICE_FILES, FILE_ROWS = 3, 4, 2_000_000
+REVIEW_STREAM = "user_id long, product_id long, order_id long, l_linenumber int, l_suppkey long, rating int, created_at timestamp_ntz"
+REVIEWS_LATE = timedelta(days=90)
 
 
-def _stream_of(v: Views, table: DataFrame, at: str, name: str) -> tuple[DataFrame, str]:
-    """A table that arrives in slices of time, read back as a stream; and a folder for the results."""
+def _stream_of(v: Views, table: DataFrame, at: str, name: str, straggling: Column | None = None) -> tuple[DataFrame, str]:
+    """A table that arrives in slices of time, read back as a stream; and a folder for the results. Straggling rows of any
+    time arrive with the last slice."""
     from keepwell.streaming.jobs import read_stream
 
     root = new_path(v.spark, name)
     low, high, n = table.agg(F.min(at), F.max(at), F.count("*")).first()
     files = max(SLICE_FILES, -(-n // FILE_ROWS))  # enough for a slice that holds all rows
+    straggles = F.lit(False) if straggling is None else F.coalesce(straggling, F.lit(False))
     for i in range(SLICES if low is not None else 0):
         begin, end = (low + (high - low) * j / SLICES for j in (i, i + 1))
         there = F.col(at) >= C.moment(begin)
-        there = there & (F.col(at) < C.moment(end)) if i < SLICES - 1 else there | F.col(at).isNull()
+        there = there & (F.col(at) < C.moment(end)) & ~straggles if i < SLICES - 1 else there | F.col(at).isNull() | straggles
         table.where(there).repartition(files).write.mode("append").parquet(f"{root}/in")
     schema = ", ".join(f"{n} {t}" for n, t in table.dtypes)
     return read_stream(v.spark, f"{root}/in", schema, files), root
 
 
-@job
-def r1_daily_logins(v):
+def _daily_logins(v: Views) -> DataFrame:
     from keepwell.streaming import jobs as streams
 
     stream, root = _stream_of(v, v.log, "event_timestamp", "logins")
@@ -686,19 +718,48 @@ def r1_daily_logins(v):
     return v.spark.read.schema("user_id long, day timestamp_ntz, logins long").parquet(f"{root}/out")
 
 
+@job
+def r1_daily_logins(v):
+    return _daily_logins(v)
+
+
+@job
+def r1_trend_from_days(v):
+    """The login trend from the stream's closed days, with the border's day and the days still open from the stored log."""
+    path = new_path(v.spark, "days")
+    rollup.merge_days(_daily_logins(v), path)
+    return rollup.trend_from_days(rollup.read_days(v.spark, path), fact_store(v, "log")["log"], LOG_AS_OF, EARLIER, RECENT)
+
+
 @job
 def r2_running_orders(v):
     from keepwell.streaming import jobs as streams
 
     stream, root = _stream_of(v, v.orders, "placed_at", "orders")
     streams.run_upserts(streams.running_orders(stream), f"{root}/out", f"{root}/state", "user_id", compact_every=2)
-    return streams.latest(v.spark, f"{root}/out", "user_id")
+    return streams.latest(v.spark, f"{root}/out", "user_id", "user_id long, last_order timestamp_ntz, total_orders long")
+
+
+def _review_stream(v: Views, straggling: Column | None = None) -> str:
+    from keepwell.streaming import dedup
+    from keepwell.streaming.jobs import REVIEW_KEY
+
+    stream, root = _stream_of(v, v.reviews.select(*[c.split()[0] for c in REVIEW_STREAM.split(", ")]), "created_at", "reviews", straggling)
+    dedup.run_first_of_each(stream, root, f"{root}/state", REVIEW_KEY, "created_at", REVIEWS_LATE, ("l_linenumber", "l_suppkey", "rating"), compact_every=2)
+    return root
 
 
 @job
 def r3_first_reviews(v):
-    from keepwell.streaming import jobs as streams
+    """Reviews whose key was not seen within REVIEWS_LATE before."""
+    from keepwell.streaming import dedup
+
+    return dedup.passed(v.spark, _review_stream(v), REVIEW_STREAM).select("user_id", "product_id", "order_id", "rating", "created_at")
+
+
+@job
+def r3_dead_letters(v):
+    """Reviews that arrive behind the watermark: those of every tenth user come with the last slice, whatever their time."""
+    from keepwell.streaming import dedup
 
-    stream, root = _stream_of(v, v.reviews.select("user_id", "product_id", "order_id", "rating", "created_at"), "created_at", "reviews")
-    streams.run_available(streams.first_reviews(stream, "4000 days"), f"{root}/out", f"{root}/state")
-    return v.spark.read.parquet(f"{root}/out").select("user_id", "product_id", "order_id").distinct()
+    return dedup.set_aside(v.spark, _review_stream(v, F.col("user_id") % 10 == 0), REVIEW_STREAM).select("user_id", "product_id", "order_id", "l_linenumber", "rating", "created_at", "reason")

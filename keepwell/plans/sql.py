@@ -103,6 +103,8 @@ BODIES: dict[str, str] = {
     "s6_report_lines": """SELECT rank, '| ' || rank || ' | ' || full_name || ' (#' || user_id || ') | ' || risk_level || ' | ' || printf('%.0f%%', p * 100) || ' | '
   || CASE WHEN ticket_signal = 'UNHAPPY' THEN 'unresolved support tickets' ELSE review_signal END || ' | ' || suggested_action || ' |' AS line
 FROM (SELECT *, (row_number() OVER (ORDER BY p DESC, user_id))::INT AS rank FROM sig) WHERE rank <= 15""",
+    "s1_store_features": f"SELECT user_id, {_COUNTS}, {', '.join(map(_R6, FEATURES))}, churned FROM f",
+    "s1_store_trend": "SELECT * FROM trend",
     "s3_nested_predictions": f"SELECT user_id, risk_level, {', '.join(FIELDS)} FROM claims",
     "s4_contact_log": "SELECT user_id, contacted_on FROM v_contacted JOIN v_users USING (user_id)",
     "s5_ranked_documents": """SELECT '{"user_id":' || user_id || ',"full_name":"' || full_name || '","total_orders":' || total_orders || ',"logins_prev":' || coalesce(logins_prev, 0) || ',"logins_recent":' || coalesce(logins_recent, 0) || '}' AS document
@@ -184,7 +186,14 @@ LEFT JOIN (SELECT churned, count(*) FILTER (status IN {OPEN}) AS u, count(*) AS
     "r1_daily_logins": """SELECT user_id, date_trunc('day', event_timestamp)::TIMESTAMP AS day, count(*) AS logins FROM v_auth_log WHERE event_type = 'LOGIN'
   AND date_trunc('day', event_timestamp) + INTERVAL 2 DAY <= (SELECT max(event_timestamp) FROM v_auth_log WHERE event_type = 'LOGIN') GROUP BY 1, 2""",
     "r2_running_orders": "SELECT * FROM last_orders",
-    "r3_first_reviews": "SELECT DISTINCT user_id, product_id, order_id FROM v_reviews",
+    "r1_trend_from_days": "SELECT * FROM trend",
+    "r3_first_reviews": """SELECT user_id, product_id, order_id, rating, created_at FROM (
+  SELECT *, lag(created_at) OVER (PARTITION BY user_id, product_id, order_id ORDER BY created_at, l_linenumber, l_suppkey, rating) AS before FROM v_reviews)
+WHERE before IS NULL OR created_at > before + INTERVAL 90 DAY""",
+    "r3_dead_letters": """SELECT user_id, product_id, order_id, l_linenumber, rating, created_at, 'late' AS reason FROM v_reviews, (
+  SELECT cut, max(created_at) FILTER (user_id % 10 <> 0 AND created_at < cut) - INTERVAL 90 DAY AS horizon FROM v_reviews,
+    (SELECT make_timestamp(epoch_us(min(created_at)) + (epoch_us(max(created_at)) - epoch_us(min(created_at))) * 2 // 3) AS cut FROM v_reviews) GROUP BY cut)
+WHERE user_id % 10 = 0 AND created_at < least(cut, horizon)""",
     "d1_psi": "WITH_PSI " + _psi(_long("f", "user_id % 2 = 0"), _long("f", "user_id % 2 = 1")) + " SELECT feature, coalesce(psi, 0) AS psi FROM psis",
     "d2_drift_table": "WITH_PSI " + _psi(_long("f", "user_id % 2 = 0"), _long("f", "user_id % 2 = 1")) + f" SELECT feature, psi, {VERDICT} AS verdict FROM psis",
     "d3_drift_after_incident": "WITH_PSI " + _psi(_long("f"), _long("f", change=SHOCK)) + f" SELECT feature, psi, {VERDICT} AS verdict FROM psis",

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import zipfile
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -48,3 +49,22 @@ def remove(spark: SparkSession, path: str) -> None:
 def exists(spark: SparkSession, path: str) -> bool:
     files, target = _at(spark, path)
     return files.exists(target)
+
+
+def children(spark: SparkSession, path: str) -> list[str]:
+    """Names of what lies in a folder, in order; a folder that is not there has nothing."""
+    files, target = _at(spark, path)
+    return sorted(x.getPath().getName() for x in files.listStatus(target)) if files.exists(target) else []
+
+
+def python_ready(spark: SparkSession) -> None:
+    """Ship this package to the Python workers once per application."""
+    sc = spark.sparkContext
+    if getattr(sc, "_keepwell_shipped", False) is False:
+        root = Path(__file__).resolve().parents[2]
+        target = Path(tempfile.mkdtemp(prefix="keepwell-code-")) / "keepwell_code.zip"
+        with zipfile.ZipFile(target, "w") as z:
+            for p in sorted((root / "keepwell").rglob("*.py")):
+                z.write(p, p.relative_to(root))
+        sc.addPyFile(str(target))
+        sc._keepwell_shipped = True

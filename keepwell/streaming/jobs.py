@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.query import StreamingQuery
 
+from keepwell.streaming.versions import current, put, rebase
+
 REVIEW_KEY = ["user_id", "product_id", "order_id"]
 
 
@@ -29,7 +32,7 @@ def daily_logins(log: DataFrame, late: str = "1 day") -> DataFrame:
 
 
 def running_orders(orders: DataFrame) -> DataFrame:
-    """user_id, last_order, total_orders so far, for update mode. State grows with the users: run it on the RocksDB store."""
+    """user_id, last_order, total_orders so far, for update mode. State grows with the users; run_upserts keeps it in RocksDB."""
     return orders.groupBy("user_id").agg(F.max("placed_at").alias("last_order"), F.count("*").alias("total_orders"))
 
 
@@ -43,37 +46,51 @@ def first_reviews(reviews: DataFrame, late: str = "1 day") -> DataFrame:
 
 def upsert_parquet(path: str, key: str, compact_every: int = 8) -> Callable[[DataFrame, int], None]:
     """For foreachBatch: each batch of updates is a folder of its own, which a replay overwrites. Every compact_every batches
-    all rows so far are merged into a base, so readers meet one base and a few batches."""
+    all rows so far are merged into a base, so readers meet one base and a few batches; what it replaces goes with the
+    base after it."""
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{path}/kind=delta/batch={batch_id}")
+        put(batch, path, batch_id)
         if (batch_id + 1) % compact_every == 0:
-            merged = latest(batch.sparkSession, path, key, batch_id)
-            merged.write.mode("overwrite").parquet(f"{path}/kind=base/batch={batch_id}")
+            schema = ", ".join(f"`{c}` {t}" for c, t in batch.dtypes)
+            rebase(latest(batch.sparkSession, path, key, schema, batch_id + 1), path, batch_id)
 
     return write
 
 
-def latest(spark: SparkSession, path: str, key: str, before: int | None = None) -> DataFrame:
-    """What upserts left of each key: its row of the last batch. before: a base of that batch or later is not read."""
-    rows = spark.read.option("basePath", path).parquet(path)
-    bases = rows.where("kind = 'base'") if before is None else rows.where((F.col("kind") == "base") & (F.col("batch") < before))
-    base = bases.agg(F.max("batch")).first()[0]
-    now = F.col("kind") == "delta"
-    if base is not None:
-        now = (now & (F.col("batch") > base)) | ((F.col("kind") == "base") & (F.col("batch") == base))
+def latest(spark: SparkSession, path: str, key: str, schema: str, before: int | None = None) -> DataFrame:
+    """What upserts left of each key: its row of the last batch. before: what that batch and later ones wrote is not read."""
+    rows = current(spark, path, schema, before)
     columns = [c for c in rows.columns if c not in (key, "batch", "kind")]
-    return rows.where(now).groupBy(key).agg(F.max_by(F.struct(*columns), "batch").alias("r")).select(key, "r.*")
+    return rows.groupBy(key).agg(F.max_by(F.struct(*columns), "batch").alias("r")).select(key, "r.*")
+
+
+@contextmanager
+def keyed_state(spark: SparkSession) -> Iterator[None]:
+    """Streams that start inside keep their state in RocksDB, off the heap and on disk, with a log of changes as its
+    checkpoint, so state may outgrow memory. A stream remembers its store; the session's own settings return."""
+    settings = {"providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider", "rocksdb.changelogCheckpointing.enabled": "true"}
+    settings = {f"spark.sql.streaming.stateStore.{k}": v for k, v in settings.items()}
+    before = {k: spark.conf.get(k, None) for k in settings}
+    for k, v in settings.items():
+        spark.conf.set(k, v)
+    try:
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
 
 
 def run_available(stream: DataFrame, path: str, checkpoint: str, mode: str = "append") -> StreamingQuery:
     """Take in all there is, write it as Parquet and stop."""
-    query = stream.writeStream.format("parquet").outputMode(mode).option("path", path).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    with keyed_state(stream.sparkSession):
+        query = stream.writeStream.format("parquet").outputMode(mode).option("path", path).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     query.awaitTermination()
     return query
 
 
 def run_upserts(stream: DataFrame, path: str, checkpoint: str, key: str, compact_every: int = 8) -> StreamingQuery:
-    query = stream.writeStream.outputMode("update").foreachBatch(upsert_parquet(path, key, compact_every)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    with keyed_state(stream.sparkSession):
+        query = stream.writeStream.outputMode("update").foreachBatch(upsert_parquet(path, key, compact_every)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     query.awaitTermination()
     return query
