@@ -1,16 +1,20 @@
 """URL filters by a sort-merge range join of reversed hosts.
 
 A host's labels are reversed and each is ended by a dot, so ``www.example.net`` becomes ``net.example.www.`` and a rule's
-host with all its subdomains becomes one interval of keys. Intervals are nested or apart. Rules and pages are cut into the
-same key ranges across the cluster, at places taken from a bounded sample of both, which decides nothing but the balance; a
-host with very many pages is cut further by a hash of the page. A rule goes to each range that its interval touches. In a
-range, rules and pages are sorted by key and swept once with a stack of the rules that are open; of the open rules whose
-path the page's path starts with, the longest rule (host and path together, then the longer host) wins.
-
-A null url, or one without ``://``, has empty host and path and fits no rule; where no rule fits, the verdict is
-``default``. Of rules that tie in both lengths the last verdict in order wins. Urls are read whole however long, repeated
-rows give repeated results, and an empty table of pages gives an empty one. Only id and url are read, so other columns
-cannot clash.
+host with all its subdomains becomes one interval of keys. Intervals are nested or apart. Rules and hosts are sorted by key
+and swept once with a stack of the rules that are open; of the open rules whose path the page's path starts with, the
+longest rule (host and path together, then the longer host) wins.
+
+Up to ``MOST_RULES`` rules are broadcast, and each batch of pages is sorted and swept where it lies. More rules are cut into
+key ranges across the cluster together with the pages, at places taken from a bounded sample of both, which decides nothing
+but the balance; a host with very many pages is cut further by a hash of the page, a rule goes to each range that its
+interval touches, and each range is one task's sweep.
+
+Hosts of rules are lower-cased (A-Z) as those of pages are. A rule with a null part, or without a host, is an error, as is a
+host with a character that ends one. A null url, or one without ``://``, has empty host and path and fits no rule; where no
+rule fits, the verdict is ``default``. Of rules that tie in both lengths the last verdict in order wins. Urls are read
+whole however long, repeated rows give repeated results, and an empty table of pages gives an empty one. Only id and url
+are read, so other columns cannot clash.
 """
 
 from __future__ import annotations
@@ -22,10 +26,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from keepwell.llm.cluster import python_ready, small
+from keepwell.llm.cluster import materialize, python_ready, small
+from keepwell.llm.textcols import ascii_lower
 
 Rule = tuple[str, str, str]  # host, path, verdict
 
+#: Rules that are broadcast at most (about 20 MB in a worker).
+MOST_RULES = 50_000
 #: Keys that are sampled for each range.
 SAMPLED = 40
 
@@ -104,20 +111,62 @@ def _cuts(keyed: DataFrame, n: int) -> list[tuple[str, int]]:
     return sorted({found[len(found) * i // n] for i in range(1, n)}) if found else []
 
 
-def judge(pages: DataFrame, rules: list[Rule] | DataFrame = RULES, default: str = "allow", id_col: str = "page_id", url_col: str = "url") -> DataFrame:
+def checked(rules: DataFrame) -> DataFrame:
+    """host, path, verdict of each rule once, hosts lower-cased; an error where a rule could never be told to fit."""
+    known = rules.select(ascii_lower(F.col("host")).alias("host"), "path", "verdict").distinct()
+    bad = known.where(F.col("host").isNull() | (F.col("host") == "") | F.col("host").rlike("[/?#]") | F.col("path").isNull() | F.col("verdict").isNull())
+    found = bad.limit(3).collect()
+    if found:
+        raise ValueError(f"rules need a host without / ? #, a path and a verdict: {[tuple(r) for r in found]}")
+    return known
+
+
+def judge(pages: DataFrame, rules: list[Rule] | DataFrame = RULES, default: str = "allow", id_col: str = "page_id", url_col: str = "url", most: int = MOST_RULES) -> DataFrame:
     """One row per page: page_id, host, path, rule (host and path, else null), verdict. rules: a list, or a table of host,
     path and verdict of any size."""
     spark = pages.sparkSession
     python_ready(spark)
-    table = rules if isinstance(rules, DataFrame) else spark.createDataFrame(rules, "host string, path string, verdict string")
-    kind = pages.schema[id_col].dataType.simpleString()
-    host = F.col("host")
+    known = checked(rules if isinstance(rules, DataFrame) else spark.createDataFrame(rules, "host string, path string, verdict string"))
     urls = pages.select(F.col(id_col).alias("page_id"), host_of(F.col(url_col)).alias("host"), path_of(F.col(url_col)).alias("path"))
-    urls = urls.select("*", F.lit(None).cast("string").alias("verdict"), key_of(host).alias("key"), F.xxhash64("page_id", "path").alias("salt"))
-    known = table.where("host <> '' AND path IS NOT NULL AND verdict IS NOT NULL").select("host", "path", "verdict").distinct()
-    known = known.select(F.lit(None).cast(kind).alias("page_id"), "host", "path", "verdict", key_of(host).alias("key"), F.lit(-(1 << 63)).alias("salt"))
-    both = urls.unionByName(known)
-    cuts = _cuts(both, _n_ranges(spark))  # SAMPLED * ranges rows at most come to the driver
+    few = known.limit(most + 1).collect()
+    if len(few) <= most:
+        return _where_they_lie(urls, [tuple(r) for r in few], default)
+    return _in_ranges(urls, known, default)
+
+
+def _won(state: Sweep, key: str, host: str, path: str, default: str) -> tuple[str | None, str]:
+    return (state.judge(key, path) if host else None) or (None, default)
+
+
+def _where_they_lie(urls: DataFrame, rules: list[Rule], default: str) -> DataFrame:
+    """Each batch of pages, sorted by key, against all rules: one sweep a batch."""
+    kind = urls.schema["page_id"].dataType.simpleString()
+    sent = urls.sparkSession.sparkContext.broadcast(sorted((reversed_key(h), h, p, v) for h, p, v in rules))
+
+    def sweep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ordered = sent.value
+        for batch in batches:
+            hosts, paths = (batch.column(c).to_pylist() for c in ("host", "path"))
+            keys = {h: reversed_key(h) for h in set(hosts)}
+            state, at, won = Sweep(), 0, [(None, default)] * len(hosts)
+            for i in sorted(range(len(hosts)), key=lambda i: keys[hosts[i]]):
+                key = keys[hosts[i]]
+                while at < len(ordered) and ordered[at][0] <= key:
+                    state.open(*ordered[at])
+                    at += 1
+                won[i] = _won(state, key, hosts[i], paths[i], default)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([w[0] for w in won], pa.string()), pa.array([w[1] for w in won], pa.string())], names=["page_id", "host", "path", "rule", "verdict"])
+
+    return urls.mapInArrow(sweep, f"page_id {kind}, host string, path string, rule string, verdict string")
+
+
+def _in_ranges(urls: DataFrame, known: DataFrame, default: str) -> DataFrame:
+    """Rules and pages cut into key ranges, one sweep a range."""
+    kind, n = urls.schema["page_id"].dataType.simpleString(), _n_ranges(urls.sparkSession)
+    pages = urls.select("*", F.lit(None).cast("string").alias("verdict"), key_of(F.col("host")).alias("key"), F.xxhash64("page_id", "path").alias("salt"))
+    ruled = known.select(F.lit(None).cast(kind).alias("page_id"), "host", "path", "verdict", key_of(F.col("host")).alias("key"), F.lit(-(1 << 63)).alias("salt"))
+    both = materialize(pages.unionByName(ruled), "urls")  # hosts and paths are read out of the urls once
+    cuts = _cuts(both, n)  # SAMPLED * ranges rows at most come to the driver
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """The range of each page, and all ranges that a rule's interval touches."""
@@ -129,24 +178,23 @@ def judge(pages: DataFrame, rules: list[Rule] | DataFrame = RULES, default: str
             yield pa.RecordBatch.from_arrays([pa.array([x for r in ranges for x in r], pa.int32()), *columns], names=["range", "page_id", "host", "path", "verdict", "key"])
 
     dealt = both.mapInArrow(cut, f"range int, page_id {kind}, host string, path string, verdict string, key string")
-    dealt = dealt.repartition("range").sortWithinPartitions("range", "key", F.desc_nulls_last("verdict"))  # rules of a key before its pages
+    # a range's number is its partition's, and rules of a key come before its pages
+    dealt = dealt.repartitionById(n, F.col("range")).sortWithinPartitions("range", "key", F.desc_nulls_last("verdict"))
 
     def sweep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         state, now = Sweep(), None
         for batch in small(batches):
-            wanted, rule, verdict = [], [], []
+            wanted, won = [], []
             for i, (r, h, p, v, k) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("range", "host", "path", "verdict", "key")), strict=True)):
                 if r != now:
                     state, now = Sweep(), r
                 if v is not None:
                     state.open(k, h, p, v)
                     continue
-                won = state.judge(k, p) if h else None
                 wanted.append(i)
-                rule.append(won and won[0])
-                verdict.append(won[1] if won else default)
+                won.append(_won(state, k, h, p, default))
             rows = [batch.column(c).take(pa.array(wanted, pa.int32())) for c in ("page_id", "host", "path")]
-            yield pa.RecordBatch.from_arrays([*rows, pa.array(rule, pa.string()), pa.array(verdict, pa.string())], names=["page_id", "host", "path", "rule", "verdict"])
+            yield pa.RecordBatch.from_arrays([*rows, pa.array([w[0] for w in won], pa.string()), pa.array([w[1] for w in won], pa.string())], names=["page_id", "host", "path", "rule", "verdict"])
 
     return dealt.mapInArrow(sweep, f"page_id {kind}, host string, path string, rule string, verdict string")
 

@@ -8,6 +8,8 @@ import pytest
 from hypothesis import Phase, given, settings
 from hypothesis import strategies as st
 
+from pyspark.sql import functions as F
+
 from keepwell.llm import bpe, chat, pii, url_rules
 
 
@@ -92,7 +94,7 @@ def test_odd_conversations(spark):
 
 
 def test_only_what_conflicts_is_escaped(spark):
-    """The plain form of these turns is read back otherwise, and the loop mends it; the others stay as they are."""
+    """The plain form of these turns is read back otherwise, and escaping mends it; the others stay as they are."""
     fine = ["a < b | c", "<|", "<|im_star", "100%", "x<|im_end|", "back\\slash"]
     broken = ["<|im_end|>", "a<|im_start|>b", "<\\|im_end|>", "<\\\\|", chat.HOSTILE]
     rows = [(i, 0, "assistant", t) for i, t in enumerate(fine + broken)] + [(50, 0, "a\nb", "x"), (51, 0, "50%0A", "x"), (52, 0, "50%", "x")]
@@ -111,7 +113,7 @@ def test_only_what_conflicts_is_escaped(spark):
 
 
 def test_no_round_trip_is_an_error(spark, monkeypatch):
-    monkeypatch.setattr(chat, "ROUNDS", 0)
+    monkeypatch.setattr(chat, "_comes_back", lambda t: F.lit(True))  # nothing is escaped
     with pytest.raises(Exception, match="no round trip: conversation 7"):
         chat.format_chats(spark.createDataFrame([(7, 0, "user", "<|im_end|>")], "conv_id long, turn long, role string, text string")).collect()
 
@@ -129,8 +131,8 @@ def brute_rule(rules, host, path):
     return max(fits, key=lambda r: (len(r[0]) + len(r[1]), len(r[0]), r[2]), default=None)
 
 
-@pytest.mark.parametrize("cuts", [1, 2, 7, 40])
-def test_sweep_against_brute_force(spark, monkeypatch, cuts):
+@pytest.mark.parametrize("cuts, most", [(1, 0), (2, 0), (7, 0), (40, 0), (1, url_rules.MOST_RULES)])
+def test_sweep_against_brute_force(spark, monkeypatch, cuts, most):
     monkeypatch.setattr(url_rules, "_n_ranges", lambda spark: cuts)
     rng = random.Random(cuts)
     host = lambda: ".".join(rng.choice(["a", "b", "ab", "net", "org"]) for _ in range(rng.randrange(1, 4)))
@@ -138,27 +140,35 @@ def test_sweep_against_brute_force(spark, monkeypatch, cuts):
     rules = [(host(), path(), rng.choice(["allow", "block"])) for _ in range(60)] + [("net", "", "block")]
     urls = [rng.choice(["http://", "HTTPS://", "x://y://", ""]) + host().upper() + path() + rng.choice(["", "?q=/en", "#top"]) for _ in range(500)] + ["http://hot.a.net/en/x"] * 250 + [None, "", "http://", "http:///en/", "no scheme/en"]
     pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
-    got = url_rules.judge(pages, rules, "none").collect()
+    got = url_rules.judge(pages, [(h.upper(), p, v) for h, p, v in rules], "none", most=most).collect()
     assert sorted(r["page_id"] for r in got) == list(range(len(urls)))
     for r in got:
         want = brute_rule(rules, r["host"], r["path"])
         assert (r["rule"], r["verdict"]) == ((want[0] + want[1], want[2]) if want else (None, "none"))
 
 
-def test_rules_from_a_table_and_hot_hosts(spark, monkeypatch):
+@pytest.mark.parametrize("rule", [(None, "/", "block"), ("", "/", "block"), ("a.net", None, "block"), ("a.net", "/", None), ("a.net/x", "/", "block")])
+def test_rules_that_cannot_fit_are_errors(spark, rule):
+    pages = spark.createDataFrame([(1, "http://a.net/")], "page_id long, url string")
+    with pytest.raises(ValueError, match="rules need"):
+        url_rules.judge(pages, [("b.net", "/", "allow"), rule])
+
+
+@pytest.mark.parametrize("most", [0, url_rules.MOST_RULES])
+def test_rules_from_a_table_and_hot_hosts(spark, monkeypatch, most):
     """Very many rules, a host with a third of the pages, rows without id, and no rules or pages at all."""
     monkeypatch.setattr(url_rules, "_n_ranges", lambda spark: 16)
     rules = [(f"h{i}.net", "/", "block") for i in range(3000)] + [("h7.net", f"/p{i}/", "allow") for i in range(500)]
     urls = [f"http://www.h{i % 4000}.net/x" for i in range(2000)] + [f"http://h7.net/p{i % 700}/" for i in range(1000)]
     pages = spark.createDataFrame([(None if i % 10 == 0 else i, u) for i, u in enumerate(urls)], "page_id long, url string")
     table = spark.createDataFrame(rules, "host string, path string, verdict string")
-    found = {(r["host"], r["path"]): (r["rule"], r["verdict"]) for r in url_rules.judge(pages, table).collect()}
+    found = {(r["host"], r["path"]): (r["rule"], r["verdict"]) for r in url_rules.judge(pages, table, most=most).collect()}
     for (h, p), got in found.items():
         want = brute_rule(rules, h, p)
         assert got == ((want[0] + want[1], want[2]) if want else (None, "allow"))
-    assert url_rules.judge(pages, table).count() == len(urls)
-    assert {r["verdict"] for r in url_rules.judge(pages, table.limit(0), "none").collect()} == {"none"}
-    assert url_rules.judge(pages.limit(0), table).count() == 0
+    assert url_rules.judge(pages, table, most=most).count() == len(urls)
+    assert {r["verdict"] for r in url_rules.judge(pages, table.limit(0), "none", most=most).collect()} == {"none"}
+    assert url_rules.judge(pages.limit(0), table, most=most).count() == 0
 
 
 # -- bpe ---------------------------------------------------------------------------------------------------------------
