@@ -2,11 +2,9 @@
 
 from __future__ import annotations
 
-import tempfile
-import zipfile
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from contextlib import contextmanager
-from pathlib import Path
+from contextvars import ContextVar
 
 import numpy as np
 import pyarrow as pa
@@ -14,9 +12,9 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from keepwell.sources.shared import settle as materialize
+from keepwell.sources.shared import new_path, python_ready, remove, settle
 
-__all__ = ["by_bytes", "materialize", "meet", "python_ready", "read", "sent", "small", "small_transfers", "without"]
+__all__ = ["by_bytes", "materialize", "meet", "python_ready", "read", "sent", "small", "small_transfers", "temporary", "without"]
 
 #: Rows worked on at a time in a Python worker. Spark bounds a batch by bytes; this bounds what is made from it.
 BATCH_ROWS = 256
@@ -26,17 +24,39 @@ MOST_BROADCAST = 250_000
 HOT_KEYS, LEAST_HOT = 4096, 1000
 
 
-def python_ready(spark: SparkSession) -> None:
-    """Ship this package to the Python workers once per application."""
-    sc = spark.sparkContext
-    if getattr(sc, "_keepwell_shipped", False) is False:
-        root = Path(__file__).resolve().parents[2]
-        target = Path(tempfile.mkdtemp(prefix="keepwell-code-")) / "keepwell_code.zip"
-        with zipfile.ZipFile(target, "w") as z:
-            for p in sorted((root / "keepwell").rglob("*.py")):
-                z.write(p, p.relative_to(root))
-        sc.addPyFile(str(target))
-        sc._keepwell_shipped = True
+#: Tables written inside the innermost temporary(), with their folders.
+_WRITTEN: ContextVar[list[tuple[DataFrame, str]] | None] = ContextVar("written", default=None)
+
+
+def materialize(df: DataFrame, name: str, path: str | None = None) -> DataFrame:
+    """df, written to the shared folder and read back."""
+    path = path or new_path(df.sparkSession, name)
+    written = settle(df, name, path)
+    if (tables := _WRITTEN.get()) is not None:
+        tables.append((written, path))
+    return written
+
+
+@contextmanager
+def temporary(spark: SparkSession) -> Iterator[Callable[[DataFrame], DataFrame]]:
+    """Tables that are written inside are deleted at the end, but for those given to what this yields."""
+    kept: list[DataFrame] = []
+
+    def keep(table: DataFrame) -> DataFrame:
+        kept.append(table)
+        return table
+
+    outer = _WRITTEN.set([])
+    try:
+        yield keep
+    finally:
+        inside = _WRITTEN.get()
+        _WRITTEN.reset(outer)
+        for table, path in inside:
+            if not any(table is k for k in kept):
+                remove(spark, path)
+            elif (around := _WRITTEN.get()) is not None:
+                around.append((table, path))
 
 
 def small(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -77,7 +97,8 @@ def sent(table: DataFrame, name: str) -> DataFrame:
 
 
 def without(rows: DataFrame, gone: DataFrame, on: Column) -> DataFrame:
-    """The rows that no row of gone, a written table, matches. The broadcast of gone is bounded by its count."""
+    """The rows that no row of gone, a written table, matches. The broadcast of gone is bounded by its count. Columns in on
+    are taken from the two tables, rows["x"] and gone["y"], so equal names do not clash."""
     return rows.join(F.broadcast(gone) if gone.count() <= MOST_BROADCAST else gone, on, "left_anti")
 
 

@@ -2,8 +2,9 @@
 
 Built from DataFrame and SQL functions alone. Texts are equal when identical after lower-casing A-Z, whole however long;
 null counts as empty. Of equal texts the document with the largest id stays. Rows that repeat both id and text are one
-document and share its verdict, and where rows are dropped only one of them is left, whichever it is. A null id loses
-against any other, and an empty table gives an empty result. Further columns are never read, so their names cannot clash.
+document and share its verdict, and where rows are dropped only one of them is left, the one whose columns come first as
+JSON. A null id loses against any other, and an empty table gives an empty result. Further columns are never read but for
+that, and are taken from their table, so any names may occur.
 """
 
 from __future__ import annotations
@@ -57,15 +58,16 @@ def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     a table of their own; only these are gathered, pre-aggregated to one row for each document.
     """
     marks = mark_copies(docs, id_col, text_col).groupBy("doc_id", "text_sha256").agg(F.first("kept").alias("kept"), F.count("*").alias("n")).where("NOT kept OR n > 1")
-    marks = materialize(marks.select(F.col("doc_id").alias("__id"), F.col("text_sha256").alias("__digest"), "kept"), "marks")
-    same = docs[id_col].eqNullSafe(F.col("__id")) & (digest(docs[text_col]) == F.col("__digest"))
-    once = without(docs, marks.select("__id", "__digest"), same)
-    repeated = marks.where("kept").select("__id", "__digest")
+    marks = materialize(marks.select("doc_id", "text_sha256", "kept"), "marks")
+    meets = lambda table: docs[id_col].eqNullSafe(table["doc_id"]) & (digest(docs[text_col]) == table["text_sha256"])
+    once = without(docs, marks, meets(marks))
+    repeated = marks.where("kept")
     n = repeated.count()
     if n == 0:
         return once
-    rows = docs.join(F.broadcast(repeated) if n <= MOST_BROADCAST else repeated, same).select("__id", "__digest", F.struct(*[docs[c] for c in docs.columns]).alias("__row"))
-    return once.unionAll(rows.groupBy("__id", "__digest").agg(F.first("__row").alias("__row")).select("__row.*"))
+    of = F.broadcast(repeated) if n <= MOST_BROADCAST else repeated
+    rows = docs.join(of, meets(of)).select(of["doc_id"], of["text_sha256"], F.struct(*[docs[c] for c in docs.columns]).alias("row"))
+    return once.unionAll(rows.groupBy("doc_id", "text_sha256").agg(F.min_by("row", F.to_json("row")).alias("row")).select("row.*"))
 
 
 def query(spark, sf_dir):

@@ -34,7 +34,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from keepwell.llm.cluster import MOST_BROADCAST, materialize, meet, python_ready, sent, small, small_transfers, without
+from keepwell.llm.cluster import MOST_BROADCAST, materialize, meet, python_ready, sent, small, small_transfers, temporary, without
 from keepwell.llm.components import components
 
 #: Sets of a block of a neighbourhood, and tokens: at 4 to 8 bits each, 32 MB of bit arrays.
@@ -402,22 +402,24 @@ def _links(members: DataFrame, words: int, num: int, den: int) -> DataFrame:
 def near_copies(docs: DataFrame, words: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: doc_id, n_shingles, component_id (the least id that links of similarity num / den reach)."""
     python_ready(docs.sparkSession)
-    with small_transfers(docs.sparkSession):  # all Python steps are written before this returns
-        return _near_copies(docs, words, num, den, id_col, text_col)
+    # all Python steps are written before this returns, and of what was written only the two tables that the result reads stay
+    with small_transfers(docs.sparkSession), temporary(docs.sparkSession) as keep:
+        return _near_copies(docs, words, num, den, id_col, text_col, keep)
 
 
-def _near_copies(docs: DataFrame, words: int, num: int, den: int, id_col: str, text_col: str) -> DataFrame:
+def _near_copies(docs: DataFrame, words: int, num: int, den: int, id_col: str, text_col: str, keep: Callable[[DataFrame], DataFrame]) -> DataFrame:
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    sets = materialize(_sets(rows, words), "sets")
+    sets = keep(materialize(_sets(rows, words), "sets"))
     named = sets.where(F.col("set_hash").isNotNull() & F.col("doc_id").isNotNull())
     classes = materialize(named.groupBy("set_hash").agg(F.min("doc_id").alias("least"), F.first("n_shingles").alias("n_shingles"), F.count("*").alias("n")), "classes")
     n_tokens, n_named = classes.agg(F.coalesce(F.sum("n_shingles"), F.lit(0)), F.coalesce(F.sum("n"), F.lit(0))).first()
     several = named.groupBy("doc_id").agg(F.min("set_hash").alias("x"), F.max("set_hash").alias("y")).where("x <> y").select("doc_id")
     further = meet(named.select("doc_id", "set_hash"), classes.where("n > 1").select("set_hash", "least", "n"), "set_hash", "n", n_named)
     further = further.where("doc_id > least").select("doc_id").distinct().join(several, "doc_id", "left_anti")
-    further = materialize(further.select(F.col("doc_id").alias("__gone")), "further")
+    further = materialize(further, "further")
 
-    alone = without(rows.where(F.col("doc_id").isNotNull()), further, F.col("doc_id") == F.col("__gone"))
+    some = rows.where(F.col("doc_id").isNotNull())
+    alone = without(some, further, some["doc_id"] == further["doc_id"])
     postings = materialize(_postings(alone, words, num, den, key_bits(n_tokens)), "postings")
     # of a key that a set alone has, nothing is left; the others hang on the least id that has it
     leaders = postings.groupBy("key").agg(F.min("a").alias("group"), F.max("a").alias("last"), F.count("*").alias("n")).where("`group` <> last").select("key", "group", "n")
@@ -440,16 +442,17 @@ def _near_copies(docs: DataFrame, words: int, num: int, den: int, id_col: str, t
         wanted = F.broadcast(wanted)
     members = rows.join(wanted, rows["doc_id"] == F.col("__id")).select("group", "blocks", "doc_id", "text")
     linked = components(_links(members, words, num, den))
-    labels = materialize(classes.join(linked, F.col("least") == F.col("node"), "left").select("set_hash", F.coalesce("component", "least").alias("component_id"), "n"), "labels")
+    labels = keep(materialize(classes.join(linked, F.col("least") == F.col("node"), "left").select("set_hash", F.coalesce("component", "least").alias("component_id"), "n"), "labels"))
     unlinked = sets.where(F.col("set_hash").isNull() | F.col("doc_id").isNull()).select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
     return meet(named.select("doc_id", "n_shingles", "set_hash"), labels, "set_hash", "n", n_named).drop("set_hash").unionByName(unlinked)
 
 
 def keep_one(docs: DataFrame, words: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of docs but for those whose component has a smaller id, with their own columns."""
-    found = near_copies(docs, words, num, den, id_col, text_col)
-    gone = materialize(found.where("doc_id <> component_id").select(F.col("doc_id").alias("__gone")).distinct(), "gone")
-    return without(docs, gone, docs[id_col] == F.col("__gone"))
+    with temporary(docs.sparkSession) as keep:
+        found = near_copies(docs, words, num, den, id_col, text_col)
+        gone = keep(materialize(found.where("doc_id <> component_id").select("doc_id").distinct(), "gone"))
+    return without(docs, gone, docs[id_col] == gone["doc_id"])
 
 
 def query(spark, sf_dir):

@@ -38,9 +38,9 @@ def training_rows(docs: DataFrame, labels: DataFrame, usable: Column | None = No
     rows = labels.where(F.col("doc_id").isNotNull() & F.col("quality").isNotNull())
     rows = rows if usable is None else rows.where(usable)
     rows = rows.groupBy("doc_id").agg(F.min("quality").alias("quality")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
-    chosen = F.broadcast(rows.select(F.col("doc_id").alias("__labelled"), F.col("quality").cast("int").alias("__quality")))  # sample rows at most
-    found = docs.join(chosen.select("__labelled"), docs["doc_id"] == F.col("__labelled"), "left_semi")
-    one = with_stats(found).groupBy("doc_id").agg(F.min(F.struct(*NAMES)).alias("s"))
-    got = one.join(chosen, F.col("doc_id") == F.col("__labelled")).select("doc_id", "s.*", "__quality").orderBy("doc_id").collect()
+    chosen = F.broadcast(rows.select("doc_id", F.col("quality").cast("int").alias("quality")))  # sample rows at most
+    ids = chosen.select(F.col("doc_id").alias("labelled"))
+    one = with_stats(docs.join(ids, docs["doc_id"] == ids["labelled"], "left_semi")).groupBy("doc_id").agg(F.min(F.struct(*NAMES)).alias("s"))
+    got = one.join(chosen, "doc_id").select("doc_id", "s.*", "quality").orderBy("doc_id").collect()
     x = features([list(r[1:-1]) for r in got])
     return x, np.array([r[-1] for r in got], np.float64)

@@ -103,23 +103,23 @@ def plan(shards: list[tuple[str | None, int, int, int]], block: int = BLOCK, rep
     return out
 
 
-def _place(id_col: str, text_col: str, seed: int) -> Column:
+def _place(doc_id: Column, text: Column, seed: int) -> Column:
     """A row's place in its shard's line, from which its shard follows too."""
-    return F.xxhash64(F.lit(seed), F.coalesce(F.col(id_col).cast("string"), F.concat(F.lit("text "), F.coalesce(F.col(text_col), F.lit("")))))
+    return F.xxhash64(F.lit(seed), F.coalesce(doc_id.cast("string"), F.concat(F.lit("text "), F.coalesce(text, F.lit("")))))
 
 
 def _laid(docs: DataFrame, id_col: str, text_col: str, source_col: str, block: int, seed: int) -> tuple[DataFrame, DataFrame]:
     """Each document with what the mix takes of it, and the number of shards by source."""
     spark = docs.sparkSession
-    place = _place(id_col, text_col, seed)
+    place = _place(F.col(id_col), F.col(text_col), seed)
     rows = materialize(docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).cast("string").alias("source"), word_count(F.col(text_col)).alias("size"), place.alias("place")), "sizes")
     per_source = rows.groupBy("source").agg(F.count("*").alias("n"))
     n_sources, n_rows = per_source.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
     if n_sources > MAX_SOURCES:
         raise ValueError(f"{n_sources} sources; a mix has at most {MAX_SOURCES}")
     rows_a_shard = max(SHARD_ROWS, math.ceil(n_rows / MAX_SHARDS))
-    shards = per_source.select(F.col("source").alias("__source"), F.ceil(F.col("n") / rows_a_shard).cast("int").alias("__shards"))
-    dealt = rows.join(F.broadcast(shards), rows.source.eqNullSafe(F.col("__source"))).select("doc_id", "source", "size", "place", _shard().alias("shard"))
+    shards = F.broadcast(per_source.select(F.col("source").alias("of"), F.ceil(F.col("n") / rows_a_shard).cast("int").alias("shards")))
+    dealt = rows.join(shards, rows["source"].eqNullSafe(shards["of"])).select("doc_id", "source", "size", "place", _shard(F.col("place"), F.col("shards")).alias("shard"))
     found = dealt.groupBy("source", "shard").agg(F.count("*").alias("n"), F.sum("size").alias("words")).collect()  # MAX_SHARDS + MAX_SOURCES rows at most
     quotas = spark.createDataFrame(plan([tuple(r) for r in found], block), "__source string, __shard int, line long, quota long, source_size long, target double")
 
@@ -141,8 +141,8 @@ def _laid(docs: DataFrame, id_col: str, text_col: str, source_col: str, block: i
     return joined.select(*columns, taken, passes.alias("passes"), again.alias("again"), ((F.col("end") > first) | (F.col("begin") >= first)).alias("late")), shards
 
 
-def _shard() -> Column:
-    return F.pmod(F.shiftright("place", 20), F.col("__shards")).cast("int")
+def _shard(place: Column, shards: Column) -> Column:
+    return F.pmod(F.shiftright(place, 20), shards).cast("int")
 
 
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", block: int = BLOCK, seed: int = SEED) -> DataFrame:
@@ -162,18 +162,18 @@ def apply_mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", s
     """
     laid, shards = _laid(docs, id_col, text_col, source_col, block, seed)
     bound = lambda f, late: f(F.when(F.col("again") & (F.col("late") == late), F.col("place")))
-    runs = laid.groupBy(F.col("source").alias("__of"), F.col("shard").alias("__in")).agg(
-        F.first("passes").alias("__passes"), bound(F.min, True).alias("__from"), bound(F.max, True).alias("__to"), bound(F.min, False).alias("__from2"), bound(F.max, False).alias("__to2")
+    runs = laid.groupBy("source", "shard").agg(
+        F.first("passes").alias("passes"), bound(F.min, True).alias("begin"), bound(F.max, True).alias("end"), bound(F.min, False).alias("begin2"), bound(F.max, False).alias("end2")
     )
-    runs = materialize(runs, "runs")
-    source = docs[source_col].cast("string")
-    marked = docs.join(F.broadcast(shards), source.eqNullSafe(F.col("__source")))
-    place = _place(id_col, text_col, seed)
-    shard = F.pmod(F.shiftright(place, 20), F.col("__shards")).cast("int")
-    marked = marked.join(F.broadcast(runs), source.eqNullSafe(F.col("__of")) & (shard == F.col("__in")))
-    again = F.coalesce(place.between(F.col("__from"), F.col("__to")), F.lit(False)) | F.coalesce(place.between(F.col("__from2"), F.col("__to2")), F.lit(False))
-    copies = (F.col("__passes") + again.cast("long")).cast("int")
-    return marked.where(copies > 0).withColumn("__copy", F.explode(F.array_repeat(F.lit(1), copies))).select(*[docs[c] for c in docs.columns])
+    runs = F.broadcast(materialize(runs, "runs"))
+    # columns are taken from their tables, so any names may occur in docs
+    source, place = docs[source_col].cast("string"), _place(docs[id_col], docs[text_col], seed)
+    marked = docs.join(shards, source.eqNullSafe(shards["of"]))
+    marked = marked.join(runs, source.eqNullSafe(runs["source"]) & (_shard(place, shards["shards"]) == runs["shard"]))
+    inside = lambda begin, end: F.coalesce(place.between(runs[begin], runs[end]), F.lit(False))
+    copies = (runs["passes"] + (inside("begin", "end") | inside("begin2", "end2")).cast("long")).cast("int")
+    own = [docs[c] for c in docs.columns]
+    return marked.where(copies > 0).select(*own, F.explode(F.array_repeat(F.lit(1), copies))).select(*own)
 
 
 def query(spark, sf_dir):

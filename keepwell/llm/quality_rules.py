@@ -2,7 +2,7 @@
 
 A text fails the base rules with fewer than ``LEAST_WORDS`` words or with over ``REPEAT_PERCENT`` percent of them in
 repeated windows. Of the others the trees decide: they are fitted on a bounded sample of labels, and may only lower the
-score as symbols, repeated lines, repeated windows, capitals or exclamation marks grow.
+score as symbols, repeated lines, repeated windows, capitals, digits or exclamation marks grow.
 
 Null texts count as empty and fail; whole texts count however long; without labels the trees keep all; of repeated labels
 the lowest counts; repeated rows give repeated results and an empty table an empty one. Only id and text are read, so other

@@ -7,7 +7,7 @@ from fractions import Fraction
 
 import numpy as np
 import pytest
-from hypothesis import given, settings
+from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 
 import corpus_pipeline
@@ -113,7 +113,7 @@ def near_sets(rng, n, tries):
 
 
 @pytest.mark.parametrize("group", [1, 3, 16])
-@settings(max_examples=60, deadline=None)
+@settings(max_examples=60, deadline=None, suppress_health_check=[HealthCheck.data_too_large])
 @given(st.integers(1, 300), st.sampled_from([(90, 100), (80, 100), (40, 100), (10, 100)]), st.randoms())
 def test_bounds_rule_out_no_link(group, n, similar, rng):
     """The forest of the bit matrix joins whatever is similar, also at low thresholds; the other forest joins just that."""
@@ -180,19 +180,40 @@ def test_neighbourhoods_and_groups_in_blocks(spark, monkeypatch, block_sets, blo
     assert got == links_of(rows, 3, 90)
 
 
-def test_components(spark):
+@pytest.mark.parametrize("many", [100_000, 10])
+def test_components(spark, monkeypatch, many):
+    """Chains and hubs; with few links allowed to a node in a shuffle, hubs are met by a broadcast."""
+    from keepwell.llm import cluster
+
+    monkeypatch.setattr(cluster, "LEAST_HOT", 20)
     rng = random.Random(2)
-    edges = [(rng.randrange(300), rng.randrange(300)) for _ in range(220)] + [(1000 + i, 1001 + i) for i in range(40)] + [(5000, 5000 + i) for i in range(50)]
+    edges = [(rng.randrange(300), rng.randrange(300)) for _ in range(220)] + [(1000 + i, 1001 + i) for i in range(40)] + [(5000, 5000 + i) for i in range(50)] + [(9000, 8900 + i) for i in range(60)]
     up = {}
     find = lambda x: x if up.setdefault(x, x) == x else find(up[x])
     for a, b in edges:
         a, b = sorted((find(a), find(b)))
         up[b] = a
-    got = {r["node"]: r["component"] for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    got = {r["node"]: r["component"] for r in components(spark.createDataFrame(edges, "a long, b long"), many).collect()}
     assert got == {x: find(x) for x in list(up) if x in {y for e in edges if e[0] != e[1] for y in e}}
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+def test_temporary_tables_go_when_the_result_stands(spark, data):
+    from keepwell.llm import cluster
+    from keepwell.sources.shared import children, shared_dir
+
+    docs = spark.read.parquet(f"{data}/documents.parquet")
+    before = set(children(spark, shared_dir(spark)))
+    found = jaccard.near_copies(docs, 3, 90)
+    left = {x.rsplit("-", 1)[0] for x in set(children(spark, shared_dir(spark))) - before}
+    assert left <= {"sets", "labels", "edges"} and found.count() == docs.count()
+    with cluster.temporary(spark) as keep:
+        kept, gone = keep(cluster.materialize(spark.range(3), "kept")), cluster.materialize(spark.range(3), "gone")
+    assert kept.count() == 3
+    with pytest.raises(Exception):
+        gone.count()
+
+
 def test_exact_copies_with_hot_texts(spark):
     rows = [(i, "HOT text" if i % 3 == 0 else f"text {i // 4}") for i in range(900)] + [(5000, "hot TEXT"), (5001, "É"), (5002, "é")]
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(7)

@@ -18,6 +18,7 @@ def test_matches_sql_on_odd_rows(spark, odd_docs, tmp_path, name):
     tables = {
         "documents": odd_docs.where("doc_id IS NOT NULL").dropDuplicates(["doc_id"]),
         "conversations": spark.createDataFrame(ODD_TURNS, "conv_id long, turn long, role string, text string"),
+        "benchmark": spark.createDataFrame([(1, "same text HERE"), (1, "a"), (None, "ß <|endoftext|>"), (2, None), (3, " ,;"), (10, "Lorem ipsum dolor " * 5), (12, "with this id, another")], "item_id long, text string"),
         "pages": spark.createDataFrame(ODD_URLS, "page_id long, url string"),
     }
     for table, rows in tables.items():
