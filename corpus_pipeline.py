@@ -1,6 +1,7 @@
 """From raw documents to training tokens in five stages, each of which works on all that the one before it kept.
 
-Every stage is written as Parquet to the shared folder and read back as the next one's documents. In all stages null texts
+Every stage is written as Parquet to the shared folder and read back as the next one's documents; once that one is written,
+it is deleted. In all stages null texts
 count as empty, whole texts are worked on however long, other columns pass unread, and an empty table gives an empty one.
 """
 
@@ -9,7 +10,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from keepwell.llm import bpe, exact_dedup, jaccard, mixing, quality_classifier
-from keepwell.llm.cluster import materialize, read
+from keepwell.llm.cluster import materialize, read, temporary
+from keepwell.sources.shared import new_path, remove
 
 #: Near copies share at least this many percent of their shingles of so many words.
 SHINGLE_WORDS, SIMILAR_PERCENT = 5, 80
@@ -22,8 +24,8 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts, the document with the largest id; of rows that repeat id and text one is left. Empty texts are equal, and
-    a null id loses against any other."""
+    """Of equal texts, the document with the largest id; of rows that repeat id and text one is left, the first by its columns. Empty
+    texts are equal, and a null id loses against any other."""
     return exact_dedup.drop_copies(docs)
 
 
@@ -50,7 +52,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = read(spark, sf_dir, "documents")
+    docs, before = read(spark, sf_dir, "documents"), None
     for name, stage in STAGES[:-1]:
-        docs = materialize(stage(spark, docs, sf_dir), name)
+        path = new_path(spark, name)
+        with temporary(spark) as keep:  # what a stage writes on its way goes once its result is written
+            docs = keep(materialize(stage(spark, docs, sf_dir), name, path))
+        if before:
+            remove(spark, before)
+        before = path
     return STAGES[-1][1](spark, docs, sf_dir)
