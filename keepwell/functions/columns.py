@@ -73,8 +73,10 @@ def mentions(text: str, word: str) -> Column:
 
 
 def redact(text: Column) -> Column:
-    """E-mail addresses, then ten-digit mobile numbers, replaced by tags."""
-    return F.regexp_replace(F.regexp_replace(text, EMAIL, "[EMAIL]"), MOBILE, "[PHONE]")
+    """E-mail addresses, then ten-digit mobile numbers, replaced by tags. A text without an at sign has no address, which
+    is told without the pattern."""
+    without_mail = F.when(text.contains("@"), F.regexp_replace(text, EMAIL, "[EMAIL]")).otherwise(text)
+    return F.regexp_replace(without_mail, MOBILE, "[PHONE]")
 
 
 def phrase(feature: Column) -> Column:
@@ -86,6 +88,7 @@ def phrase(feature: Column) -> Column:
 def winnability() -> Column:
     """How far a coupon may lift the chance of return; a missing driver counts as one half."""
     of = lambda c: F.coalesce(F.col(c), F.lit(0.5))
+    # The weights, and the most that a coupon lifts.
     return F.least(F.lit(0.6), F.greatest(F.lit(0.0), 0.35 * of("support_pain") + 0.25 * of("delivery_pain") - 0.20 * of("pickiness")))
 
 

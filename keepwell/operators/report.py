@@ -37,5 +37,5 @@ def action_groups(rows: DataFrame, groups: tuple[tuple[str, str], ...] = (("Rete
     actions, and an action without rows does not show."""
     inside = F.filter(F.array(*[F.when(mentions("suggested_action", word), F.lit(name)) for name, word in groups]), lambda x: x.isNotNull())
     long = rows.withColumn("action", F.explode(inside))
-    sizes = long.groupBy("action").agg(F.count("*").alias("members"))
-    return long.join(sizes, "action").select("action", "rank", "user_id", "full_name", "churn_probability", "top_factor", "members")
+    sizes = long.groupBy("action").agg(F.count("*").alias("members"))  # a row an action
+    return long.join(F.broadcast(sizes), "action").select("action", "rank", "user_id", "full_name", "churn_probability", "top_factor", "members")

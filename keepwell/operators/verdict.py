@@ -7,7 +7,10 @@ from pyspark.sql import functions as F
 
 from keepwell.functions.columns import is_bad_ticket, redact
 from keepwell.operators.ranks import with_running
+from keepwell.sources.shared import settle
 
+#: Facts of a user that one window takes, and users that may have more: these are broadcast.
+HOT_FACTS, HOT_USERS = 500_000, 100_000
 TICKET_COLUMNS = ("category", "priority", "status", "created_at")
 REVIEW_COLUMNS = ("rating", "created_at")
 
@@ -57,14 +60,27 @@ def criticise(rows: DataFrame, activity: float = 0.8, good_rating: int = 4) -> D
     return rows.withColumn("revised_level", F.when(holds | benign, lower).otherwise(F.col("risk_level")))
 
 
-def newest_first(facts: DataFrame, ties: list[str], most: int | None = None) -> DataFrame:
-    """Facts with their place, the newest of each user first. Places are running counts, so a user with very many facts is
-    spread over tasks; most keeps that many of each user, in a window that is cut before it is shuffled."""
+def newest_first(facts: DataFrame, ties: list[str], most: int | None = None, hot: int = HOT_FACTS) -> DataFrame:
+    """Facts with their place, the newest of each user first; facts without a user have none. most keeps that many of each
+    user, in a window that is cut before it is shuffled.
+
+    Places come from a window of each user. Users of more than ``hot`` facts, few by that bound, are told apart by counts
+    and get theirs from running totals, which spread a user over tasks; the places are the same.
+    """
     order = [F.desc("created_at"), *[F.col(c) for c in ties]]
+    place = F.row_number().over(Window.partitionBy("user_id").orderBy(*order))
     if most is not None:
-        return facts.withColumn("place", F.row_number().over(Window.partitionBy("user_id").orderBy(*order))).where(F.col("place") <= most)
-    ran = with_running(facts.where(F.col("user_id").isNotNull()).withColumn("one", F.lit(1)), ["user_id"], order, ["one"])
-    return ran.withColumn("place", (F.col("one_before") + 1).cast("int")).drop("one", "one_before")
+        return facts.withColumn("place", place).where(F.col("place") <= most)
+    facts = facts.where(F.col("user_id").isNotNull())
+    sizes = facts.groupBy("user_id").agg(F.count("*").alias("n"))
+    n, largest = sizes.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.max("n"), F.lit(0))).first()
+    hot = max(hot, n // HOT_USERS)  # no more than HOT_USERS users have more
+    if largest <= hot:
+        return facts.withColumn("place", place)
+    users = settle(sizes.where(F.col("n") > hot).select("user_id"), "hot")
+    ran = with_running(facts.join(F.broadcast(users), "user_id", "left_semi").withColumn("one", F.lit(1)), ["user_id"], order, ["one"])
+    ran = ran.withColumn("place", (F.col("one_before") + 1).cast("int")).drop("one", "one_before")
+    return facts.join(F.broadcast(users), "user_id", "left_anti").withColumn("place", place).unionByName(ran)
 
 
 def of_users(facts: DataFrame, ids: DataFrame, columns: list[str]) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 from datetime import date, datetime, timedelta
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -12,7 +13,7 @@ from keepwell.functions import columns as C
 from keepwell.operators import activity, causality, contacts, contracts, drift, evaluation, evidence, features, report, rollup, scoring, uplift, verdict
 from keepwell.sources import io, store
 from keepwell.sources.shared import exists, new_path, settle
-from keepwell.sources.views import Views
+from keepwell.sources.views import FAULTS, Views
 
 AS_OF, LOG_AS_OF = datetime(2001, 8, 1), datetime(2024, 1, 31)
 #: The log covers one month, so trends compare 20 to 10 days back with the last 10; dormancy is a year here.
@@ -21,6 +22,7 @@ TICKET_TIES = ["order_id", "l_linenumber", "l_suppkey", "l_partkey", "category",
 REVIEW_TIES = ["order_id", "l_linenumber", "l_suppkey", "product_id", "rating"]
 #: Entries of a JSON map of the contact log.
 MAP_ENTRIES = 10_000
+# What an incident adds to the rates.
 SHOCK = {"cancellation_rate": 0.20, "unresolved_ticket_rate": 0.15}
 
 JOBS: dict[str, Callable[[Views], DataFrame]] = {}
@@ -163,11 +165,10 @@ def s3_nested_predictions(v):
 
 @job
 def s4_contact_log(v):
-    """The log written as JSON maps of about MAP_ENTRIES entries per city and read back."""
+    """The log written as JSON maps of about MAP_ENTRIES entries at most, each of one city, and read back."""
     rows = v.contacts.join(v.users, "user_id").select("user_id", "contacted_on", "city")
-    maps = rows.groupBy("city").agg(F.ceil(F.count("*") / MAP_ENTRIES).alias("maps"))  # a row for each city
-    dealt = rows.join(maps, "city").withColumn("map", F.pmod(F.xxhash64("user_id"), F.col("maps")))
-    by_city = dealt.groupBy("city", "map").agg(F.to_json(F.map_from_entries(F.collect_list(F.struct(F.col("user_id").cast("string"), F.date_format("contacted_on", "yyyy-MM-dd"))))).alias("value"))
+    maps = -(-v.contacts.count() // MAP_ENTRIES) or 1  # enough for a city that has them all
+    by_city = rows.groupBy("city", F.pmod(F.xxhash64("user_id"), F.lit(maps))).agg(F.to_json(F.map_from_entries(F.collect_list(F.struct(F.col("user_id").cast("string"), F.date_format("contacted_on", "yyyy-MM-dd"))))).alias("value"))
     return io.contacts_from_json(by_city)
 
 
@@ -229,7 +230,8 @@ def j8_claims(v):
 
 @job
 def j9_facts_of_label(v):
-    return v.reviews.join(v.truth.select("user_id", "churned"), "user_id").groupBy("churned", "rating").agg(F.count("*").alias("n"))
+    by_user = v.reviews.groupBy("user_id", "rating").agg(F.count("*").alias("n"))
+    return by_user.join(v.truth.select("user_id", "churned"), "user_id").groupBy("churned", "rating").agg(F.sum("n").alias("n"))
 
 
 @job
@@ -424,6 +426,17 @@ def u3_contact_upsert(v):
     return contacts.mark_contacted(v.contacts, v.users.where(F.col("user_id") % 7 == 0), date(2001, 8, 1))
 
 
+@job
+def u3_compacted_log(v):
+    """The same from a log of a folder for each day, merged into a snapshot before and after the new day is added."""
+    path = new_path(v.spark, "contacts")
+    io.append_contacts(v.contacts, path)
+    io.compact_contacts(v.spark, path)
+    io.append_contacts(v.users.where(F.col("user_id") % 7 == 0).select("user_id", F.lit("2001-08-02").cast("date").alias("contacted_on")), path)
+    io.compact_contacts(v.spark, path)
+    return io.read_contacts(v.spark, path)
+
+
 @job
 def u4_recently_contacted(v):
     return contacts.recently_contacted(v.contacts, AS_OF, 30)
@@ -483,27 +496,45 @@ def l1_exact_split(v):
     return split_exactly(feature_table(v)).select("user_id", "churned", "is_test")
 
 
+def feature_rows(v: Views) -> DataFrame:
+    """The feature table, written once for the jobs that read it several times."""
+    return settle(feature_table(v), "features")
+
+
+def halves(v: Views) -> tuple[DataFrame, DataFrame]:
+    rows = feature_rows(v)
+    return rows.where("user_id % 2 = 0"), rows.where("user_id % 2 = 1")
+
+
 @job
 def d1_psi(v):
-    rows = feature_table(v)
-    return r6(drift.stability(rows.where("user_id % 2 = 0"), rows.where("user_id % 2 = 1")), "psi")
+    return r6(drift.stability(*halves(v)), "psi")
 
 
 @job
 def d2_drift_table(v):
-    rows = feature_table(v)
-    return r6(drift.drift_table(drift.stability(rows.where("user_id % 2 = 0"), rows.where("user_id % 2 = 1"))), "psi")
+    return r6(drift.drift_table(drift.stability(*halves(v))), "psi")
+
+
+@job
+def d2_from_stored_baseline(v):
+    """The baseline's summary is written and read back; of the rest, new rows alone are read."""
+    base, new = halves(v)
+    path = new_path(v.spark, "baseline")
+    drift.summarise(base).write.parquet(path)
+    stored = v.spark.read.schema(drift.SUMMARY).parquet(path)
+    return r6(drift.drift_table(drift.stability_from(stored, new)), "psi")
 
 
 @job
 def d3_drift_after_incident(v):
-    rows = feature_table(v)
+    rows = feature_rows(v)
     return r6(drift.drift_table(drift.stability(rows, drift.incident(rows, SHOCK))), "psi")
 
 
 @job
 def d3_retrain_verdict(v):
-    rows = feature_table(v)
+    rows = feature_rows(v)
     return drift.retrain_verdict(drift.drift_table(drift.stability(rows, drift.incident(rows, SHOCK))))
 
 
@@ -526,7 +557,30 @@ def e3_uplift(v):
 def c1_violations(v):
     users = contracts.violations("users", v.users, required=("email", "city"))
     narrow = {"category": contracts.DOMAINS["support_tickets"]["category"], "priority": ("HIGH", "URGENT"), "status": ("RESOLVED", "CLOSED")}
-    return users.unionByName(contracts.violations("support_tickets", v.tickets, narrow)).unionByName(contracts.violations("reviews", v.reviews, {}, {"rating": (2, 5)}))
+    return users.unionByName(contracts.violations("support_tickets", v.tickets, narrow, {}, ())).unionByName(contracts.violations("reviews", v.reviews, {}, {"rating": (2, 5)}, ()))
+
+
+def faulty(v: Views) -> dict[str, DataFrame]:
+    """The six tables with faults planted in them."""
+    tables = {"users": v.users, "products": v.products, "orders": v.orders, "auth_audit_log": v.log, "support_tickets": v.tickets, "reviews": v.reviews}
+    return {n: t.withColumns({c: F.expr(e) for c, e in FAULTS[n].items()}) for n, t in tables.items()}
+
+
+@job
+def c1_all_rules(v):
+    """Every rule of the six tables that the views' columns allow, each table in one pass."""
+    return reduce(DataFrame.unionByName, [contracts.violations(n, t) for n, t in faulty(v).items()])
+
+
+@job
+def c1_while_reading(v):
+    """The same counts, gathered while the profiles of all customers are worked out and the products are counted."""
+    watch = contracts.Watch()
+    t = {n: watch.over(n, rows) for n, rows in faulty(v).items()}
+    trend = activity.login_trend(t["auth_audit_log"], LOG_AS_OF, EARLIER, RECENT)
+    settle(features.profile(t["users"], t["orders"], t["support_tickets"], t["reviews"], trend), "profile")
+    t["products"].agg(F.count("*")).collect()
+    return watch.found(v.spark)
 
 
 @job

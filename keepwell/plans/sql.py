@@ -6,7 +6,7 @@ import re
 
 from keepwell.functions.columns import EMAIL, FEATURES, MOBILE, PHRASES
 from keepwell.operators.evidence import FIELDS
-from keepwell.sources.views import duck_ctes
+from keepwell.sources.views import FAULTS, duck_ctes
 
 AS_OF, LOG = "TIMESTAMP '2001-08-01 00:00:00'", "TIMESTAMP '2024-01-31 00:00:00'"
 LOG_20, LOG_10 = "TIMESTAMP '2024-01-11 00:00:00'", "TIMESTAMP '2024-01-21 00:00:00'"
@@ -35,6 +35,24 @@ def _long(table: str, where: str = "true", change: dict[str, str] | None = None)
     return " UNION ALL ".join(f"SELECT '{c}' AS feature, CAST({change.get(c, c)} AS DOUBLE) AS value FROM {table} WHERE {c} IS NOT NULL AND {where}" for c in FEATURES)
 
 
+def _all_rules() -> str:
+    """table, rule, violations of the tables with planted faults."""
+    out = []
+    for name, view, domains, required in (
+        ("users", "v_users", {"user_type": ("CUSTOMER", "DELIVERY_PARTNER", "ADMIN", "SUPPORT_AGENT"), "account_status": ("ACTIVE", "INACTIVE", "SUSPENDED", "DELETED")}, ("full_name", "email", "phone_number", "user_type", "account_status")),
+        ("products", "v_products", {}, ("product_name", "price")),
+        ("orders", "v_orders", {"order_status": ("PLACED", "PACKED", "OUT_FOR_DELIVERY", "DELIVERED", "CANCELLED")}, ("user_id", "order_status", "total_amount", "placed_at")),
+        ("auth_audit_log", "v_auth_log", {"event_type": ("LOGIN", "LOGOUT", "LOGIN_FAILED", "PASSWORD_RESET"), "event_status": ("SUCCESS", "FAILED")}, ("user_id", "event_type", "event_status", "event_timestamp")),
+        ("support_tickets", "v_tickets", {"category": ("ORDER_ISSUE", "PAYMENT", "DELIVERY_DELAY", "PRODUCT_QUALITY", "REFUND", "APP_ISSUE", "OTHER"), "priority": ("LOW", "MEDIUM", "HIGH", "URGENT"), "status": ("OPEN", "IN_PROGRESS", "WAITING_ON_CUSTOMER", "RESOLVED", "CLOSED")}, ("user_id", "description", "category", "priority", "status", "created_at")),
+        ("reviews", "v_reviews", {}, ("user_id", "product_id", "rating", "created_at")),
+    ):
+        faulty = f"(SELECT * REPLACE ({', '.join(f'{e} AS {c}' for c, e in FAULTS[name].items())}) FROM {view})"
+        tests = {f"{c} in domain": f"{c} NOT IN ({', '.join(repr(x) for x in values)})" for c, values in domains.items()} | {f"{c} not null": f"{c} IS NULL" for c in required}
+        tests |= {"rating in 1..5": "rating NOT BETWEEN 1 AND 5"} if name == "reviews" else {}
+        out += [f"SELECT '{name}' AS \"table\", '{rule}' AS rule, count(*) FILTER ({broken}) AS violations FROM {faulty}" for rule, broken in tests.items()]
+    return " UNION ALL ".join(out)
+
+
 VERDICT = "CASE WHEN psi > 0.2 THEN 'DRIFT' WHEN psi > 0.1 THEN 'small shift' ELSE 'stable' END"
 SHOCK = {"cancellation_rate": "least(1.0, cancellation_rate + 0.2)", "unresolved_ticket_rate": "least(1.0, unresolved_ticket_rate + 0.15)"}
 TICKET_ORDER = "created_at DESC, order_id, l_linenumber, l_suppkey, l_partkey, category, priority, status"
@@ -172,6 +190,7 @@ LEFT JOIN (SELECT churned, count(*) FILTER (status IN {OPEN}) AS u, count(*) AS
     "u2_false_alarms": "SELECT user_id FROM flagged EXCEPT SELECT user_id FROM churners",
     "u2_missed": "SELECT user_id FROM churners EXCEPT SELECT user_id FROM flagged",
     "u3_contact_upsert": "SELECT user_id, max(contacted_on) AS contacted_on FROM (SELECT * FROM v_contacted UNION ALL SELECT user_id, DATE '2001-08-01' FROM v_users WHERE user_id % 7 = 0) GROUP BY 1",
+    "u3_compacted_log": "SELECT user_id, max(contacted_on) AS contacted_on FROM (SELECT * FROM v_contacted UNION ALL SELECT user_id, DATE '2001-08-02' FROM v_users WHERE user_id % 7 = 0) GROUP BY 1",
     "u4_recently_contacted": "SELECT user_id FROM recent_contacts",
     "m2_priority": "SELECT user_id, round(p * avg_order_value, 4) AS priority_score FROM s",
     "m4_redaction": r"""SELECT doc_id, md5(clean) AS clean_md5, clean <> txt AS changed FROM (
@@ -196,6 +215,7 @@ WHERE before IS NULL OR created_at > before + INTERVAL 90 DAY""",
 WHERE user_id % 10 = 0 AND created_at < least(cut, horizon)""",
     "d1_psi": "WITH_PSI " + _psi(_long("f", "user_id % 2 = 0"), _long("f", "user_id % 2 = 1")) + " SELECT feature, coalesce(psi, 0) AS psi FROM psis",
     "d2_drift_table": "WITH_PSI " + _psi(_long("f", "user_id % 2 = 0"), _long("f", "user_id % 2 = 1")) + f" SELECT feature, psi, {VERDICT} AS verdict FROM psis",
+    "d2_from_stored_baseline": "WITH_PSI " + _psi(_long("f", "user_id % 2 = 0"), _long("f", "user_id % 2 = 1")) + f" SELECT feature, psi, {VERDICT} AS verdict FROM psis",
     "d3_drift_after_incident": "WITH_PSI " + _psi(_long("f"), _long("f", change=SHOCK)) + f" SELECT feature, psi, {VERDICT} AS verdict FROM psis",
     "d3_retrain_verdict": "WITH_PSI " + _psi(_long("f"), _long("f", change=SHOCK)) + " SELECT count(*) AS n_drifted, coalesce(string_agg(feature, ',' ORDER BY feature), '') AS drifted, count(*) > 0 AS retrain FROM psis WHERE psi > 0.2",
     "e1_arms": "SELECT user_id, arm FROM arms",
@@ -210,6 +230,8 @@ UNION ALL SELECT 'support_tickets', 'category in domain', count(*) FILTER (categ
 UNION ALL SELECT 'support_tickets', 'priority in domain', count(*) FILTER (priority NOT IN ('HIGH', 'URGENT')) FROM v_tickets
 UNION ALL SELECT 'support_tickets', 'status in domain', count(*) FILTER (status NOT IN ('RESOLVED', 'CLOSED')) FROM v_tickets
 UNION ALL SELECT 'reviews', 'rating in 2..5', count(*) FILTER (rating NOT BETWEEN 2 AND 5) FROM v_reviews""",
+    "c1_all_rules": _all_rules(),
+    "c1_while_reading": _all_rules(),
     "c2_duplicate_emails": "SELECT email, count(*) AS n FROM v_users GROUP BY 1 HAVING count(*) > 1",
     "c2_duplicate_reviews": "SELECT user_id, product_id, order_id, count(*) AS n FROM v_reviews GROUP BY ALL HAVING count(*) > 1",
     "c3_first_reviews": "SELECT user_id, product_id, order_id, rating, created_at FROM v_reviews QUALIFY row_number() OVER (PARTITION BY user_id, product_id, order_id ORDER BY created_at, l_linenumber, l_suppkey, rating) = 1",

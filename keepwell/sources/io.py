@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from keepwell.schemas import CONTACTS, PREDICTIONS, TABLES, TRUTH
+from keepwell.sources.shared import children, exists, remove
 
 
 def read_table(spark: SparkSession, root: str, name: str) -> DataFrame:
@@ -43,14 +46,20 @@ def write_predictions(predictions: DataFrame, path: str) -> None:
     predictions.write.mode("overwrite").json(path)
 
 
+def _snapshots(spark: SparkSession, path: str) -> list[str]:
+    """Days of the whole snapshots of a contact log."""
+    found = [x.removeprefix("upto=") for x in children(spark, f"{path}/_snapshots")]
+    return [d for d in found if exists(spark, f"{path}/_snapshots/upto={d}/_SUCCESS")]
+
+
 def read_contacts(spark: SparkSession, path: str) -> DataFrame:
-    """The contact log; none written yet is an empty one."""
-    try:
-        return spark.read.schema(CONTACTS).parquet(path).select("user_id", "contacted_on")
-    except Exception as e:
-        if "PATH_NOT_FOUND" not in str(e):
-            raise
-        return spark.createDataFrame([], CONTACTS)
+    """The contact log: its last whole snapshot and the days after it. None written yet is an empty one."""
+    days = [x for x in children(spark, path) if x.startswith("run_date=")]
+    upto = _snapshots(spark, path)[-1:]
+    later = [f"{path}/{d}" for d in days if not upto or d.removeprefix("run_date=") > upto[0]]
+    read = spark.read.schema("user_id long, contacted_on date")
+    parts = [read.parquet(f"{path}/_snapshots/upto={d}") for d in upto] + ([read.parquet(*later)] if later else [])
+    return reduce(DataFrame.unionByName, parts) if parts else spark.createDataFrame([], CONTACTS)
 
 
 def contacts_from_json(texts: DataFrame, column: str = "value") -> DataFrame:
@@ -60,8 +69,31 @@ def contacts_from_json(texts: DataFrame, column: str = "value") -> DataFrame:
 
 
 def append_contacts(contacts: DataFrame, path: str) -> None:
-    """The log only grows, a folder for each day; readers take the last date of an id."""
-    contacts.withColumn("run_date", F.col("contacted_on")).write.mode("append").partitionBy("run_date").parquet(path)
+    """The log only grows, a folder for each day; readers take the last date of an id. What comes for a day that a snapshot
+    holds already goes to the folder of the day after it. Contacts without a date are left out. One writer at a time."""
+    upto = _snapshots(contacts.sparkSession, path)[-1:]
+    day = F.col("contacted_on") if not upto else F.greatest("contacted_on", F.date_add(F.lit(upto[0]).cast("date"), 1))
+    contacts.where(F.col("contacted_on").isNotNull()).withColumn("run_date", day).write.mode("append").partitionBy("run_date").parquet(path)
+
+
+def compact_contacts(spark: SparkSession, path: str) -> None:
+    """Merge the log into a snapshot with the last date of each user, while no writer appends.
+
+    A snapshot counts once it is whole, so a reader sees one whole state or the other. What the snapshot replaces stays until
+    the next one is whole, for readers that began before; what the last one replaced is deleted now.
+    """
+    days = [x.removeprefix("run_date=") for x in children(spark, path) if x.startswith("run_date=")]
+    before = _snapshots(spark, path)
+    if not days or (before and max(days) <= before[-1]):
+        return
+    merged = read_contacts(spark, path).groupBy("user_id").agg(F.max("contacted_on").alias("contacted_on"))
+    merged.write.mode("overwrite").parquet(f"{path}/_snapshots/upto={max(days)}")
+    for last in before[-1:]:
+        for d in days:
+            if d <= last:
+                remove(spark, f"{path}/run_date={d}")
+        for d in before[:-1]:
+            remove(spark, f"{path}/_snapshots/upto={d}")
 
 
 def as_json_documents(rows: DataFrame) -> DataFrame:

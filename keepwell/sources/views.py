@@ -34,6 +34,7 @@ WHERE l_returnflag = 'R' AND o_custkey % 7 <> 2""",
   1 + CAST(l_quantity AS INT) % 5 AS rating, l_shipdate AS created_at
 FROM {lineitem} JOIN {orders} ON l_orderkey = o_orderkey
 WHERE l_returnflag = 'A' AND o_custkey % 6 <> 1""",
+    "v_products": "SELECT p_partkey AS product_id, p_name AS product_name, p_brand AS category, p_retailprice AS price FROM {part}",
     "v_auth_log": """SELECT event_id AS log_id, user_id,
   CASE event_type WHEN 'click' THEN 'LOGIN' WHEN 'purchase' THEN 'LOGIN' WHEN 'view' THEN 'LOGOUT'
        WHEN 'error' THEN 'LOGIN_FAILED' ELSE 'PASSWORD_RESET' END AS event_type,
@@ -51,6 +52,16 @@ FROM {customer} WHERE c_custkey % 50 <> 49 AND c_custkey % 40 <> 0""",
 FROM {customer} WHERE c_custkey % 11 = 0""",
 }
 
+#: Faults that are planted in the views where the rules of the tables are tested: expressions for Spark and for DuckDB.
+FAULTS = {
+    "users": {"email": "CASE WHEN user_id % 97 = 0 THEN NULL ELSE email END", "user_type": "CASE WHEN user_id % 89 = 0 THEN 'ROBOT' WHEN user_id % 83 = 0 THEN NULL ELSE user_type END", "account_status": "CASE WHEN user_id % 79 = 0 THEN 'LOST' ELSE account_status END"},
+    "products": {"product_name": "CASE WHEN product_id % 73 = 0 THEN NULL ELSE product_name END", "price": "CASE WHEN product_id % 71 = 0 THEN NULL ELSE price END"},
+    "orders": {"order_status": "CASE WHEN order_id % 67 = 0 THEN 'EATEN' ELSE order_status END", "total_amount": "CASE WHEN order_id % 61 = 0 THEN NULL ELSE total_amount END"},
+    "auth_audit_log": {"event_type": "CASE WHEN log_id % 59 = 0 THEN 'SIGH' WHEN log_id % 53 = 0 THEN NULL ELSE event_type END", "event_status": "CASE WHEN log_id % 47 = 0 THEN 'MAYBE' ELSE event_status END"},
+    "support_tickets": {"category": "CASE WHEN order_id % 43 = 0 THEN 'MOOD' ELSE category END", "priority": "CASE WHEN order_id % 41 = 0 THEN NULL ELSE priority END", "status": "CASE WHEN order_id % 37 = 0 THEN 'ASLEEP' ELSE status END", "description": "CASE WHEN order_id % 31 = 0 THEN NULL ELSE description END"},
+    "reviews": {"rating": "CASE WHEN order_id % 29 = 0 THEN 6 WHEN order_id % 23 = 0 THEN NULL ELSE rating END"},
+}
+
 
 class Views:
     """DataFrames of the views over one folder of tables."""
@@ -81,6 +92,10 @@ class Views:
     def reviews(self) -> DataFrame:
         return self._view("v_reviews")
 
+    @cached_property
+    def products(self) -> DataFrame:
+        return self._view("v_products")
+
     @cached_property
     def log(self) -> DataFrame:
         return self._view("v_auth_log")
