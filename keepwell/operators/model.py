@@ -7,6 +7,7 @@ beside it for comparison.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier
@@ -18,6 +19,7 @@ from pyspark.sql import functions as F
 
 from keepwell.functions.columns import FEATURES
 from keepwell.operators import trees as T
+from keepwell.operators.evaluation import roc_auc
 from keepwell.sources.shared import settle, shared_dir
 
 #: Features that may be missing; a model sees them imputed, beside an indicator.
@@ -57,6 +59,18 @@ def split_exactly(rows: DataFrame, test: float = 0.25, seed: str = "split", bits
     return met.withColumn("is_test", F.coalesce(before, F.lit(True))).select(*rows.columns, "is_test")
 
 
+def ablation(rows: DataFrame, features: Sequence[str] = FEATURES, **how: int) -> DataFrame:
+    """left_out, auc on the rows with is_test: of the model on all features (left_out is null) and of one fitted without
+    each feature. The rows are read for each fit, so write them first."""
+    training, held = rows.where(~F.col("is_test")), rows.where("is_test")
+
+    def of(left_out: str | None) -> DataFrame:
+        fitted = train(training, features=[f for f in features if f != left_out], **how)
+        return roc_auc(score(fitted, held)).select(F.lit(left_out).cast("string").alias("left_out"), "auc")
+
+    return reduce(DataFrame.unionByName, [of(f) for f in (None, *features)])
+
+
 def with_indicators(rows: DataFrame) -> DataFrame:
     """Missing values marked in a column of their own; MLlib takes no missing value in a vector."""
     return rows.withColumns({f"{c}_missing": F.col(c).isNull().cast("double") for c in NULLABLE} | {c: F.col(c).cast("double") for c in FEATURES})

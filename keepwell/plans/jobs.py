@@ -705,6 +705,14 @@ def l4_held_out_metrics(v):
     return evaluation.metrics(model.score(m, rows.where("is_test")))
 
 
+@job
+def l4_feature_ablation(v):
+    """The AUC without each feature in turn."""
+    from keepwell.operators import model
+
+    return model.ablation(settle(model.split(feature_table(v)), "features"))
+
+
 @job
 def l5_importances(v):
     from keepwell.operators import model

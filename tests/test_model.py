@@ -64,6 +64,17 @@ def test_other_library_for_comparison(rows, tmp_path):
     assert one == other and {r["metric"] for r in one} >= {"auc", "tp", "fp"}
 
 
+def test_ablation_leaves_each_feature_out(spark):
+    """A label that follows one feature: without that the model knows nothing, without another it knows as much."""
+    users = spark.range(400).select(
+        F.col("id").alias("user_id"), (F.col("id") % 2).cast("int").alias("churned"), (F.col("id") % 2 + F.col("id") % 3).cast("double").alias("tells"), F.lit(1.0).alias("says_nothing")
+    )
+    users = users.withColumn("is_test", F.col("user_id") % 5 == 0)
+    got = {r["left_out"]: r["auc"] for r in model.ablation(users, ["tells", "says_nothing"], trees=5).collect()}
+    assert set(got) == {None, "tells", "says_nothing"}
+    assert got[None] == got["says_nothing"] > 0.7 and got["tells"] == 0.5
+
+
 def test_registered_queries_take_the_whole_model(views):
     """What is registered on the model, from its trees, scores and pushes by hand."""
     from keepwell.plans import jobs

@@ -11,7 +11,7 @@ def test_matches_sql(spark, data, name):
     assert_same(plans.QUERIES[name](spark, data), duck(data), plans.ORACLE_SQL[name])
 
 
-@pytest.mark.parametrize("name", ["l5_importances", "k2_model_candidates", "a9_model_by_archetype"])
+@pytest.mark.parametrize("name", ["l4_feature_ablation", "l5_importances", "k2_model_candidates", "a9_model_by_archetype"])
 def test_runs(spark, data, name):
     assert plans.QUERIES[name](spark, data).count() > 0
 
