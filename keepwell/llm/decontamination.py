@@ -136,14 +136,18 @@ def window_table(benchmark: DataFrame, item_col: str = "item_id", text_col: str
     return picked.mapInArrow(run, "key string, item string").distinct()
 
 
-def _passes(benchmark: DataFrame, window: int, most: int, **columns: str) -> Iterator[tuple[str, Broadcast]]:
-    """The pairs of each pass, broadcast, one pass after the other."""
+def _passes(benchmark: DataFrame, window: int, most: int, **columns: str) -> Iterator[tuple[str, Broadcast, int]]:
+    """The pairs of each pass, broadcast, and the number of passes. Whoever asks for the next pass has written the result of
+    the last one, whose pairs are then given up; those of the final pass stay, as its result may not have been read yet."""
     spark = benchmark.sparkSession
     table = materialize(window_table(benchmark, window=window, **columns), "windows")
     n = max(1, -(-table.count() // most))
     for i in range(n):
         part = table.where(F.pmod(F.xxhash64("key", "item"), F.lit(n)) == i) if n > 1 else table
-        yield uuid.uuid4().hex, spark.sparkContext.broadcast([tuple(r) for r in part.toLocalIterator()])  # about most pairs
+        pairs = spark.sparkContext.broadcast([tuple(r) for r in part.toLocalIterator()])  # about most of them
+        yield uuid.uuid4().hex, pairs, n
+        if i < n - 1:
+            pairs.destroy()
 
 
 def _scan(docs: DataFrame, key: str, pairs: Broadcast) -> DataFrame:
@@ -180,14 +184,15 @@ def find(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, most: int
     shuffled, by id and digest, one row for each of these and each pass.
     """
     python_ready(docs.sparkSession)
-    passes = list(_passes(benchmark, window, most, **columns))
+    passes = _passes(benchmark, window, most, **columns)
+    key, pairs, n = next(passes)
     text = F.col(text_col).cast("string")
-    several = len(passes) > 1
+    several = n > 1
     picked = docs.select(F.col(id_col).alias("doc_id"), text.alias("text"), (F.sha2(text.cast("binary"), 256) if several else F.lit(None).cast("string")).alias("text_key"))
-    found = _scan(picked, *passes[0])
+    found = _scan(picked, key, pairs)
     if several:
         rows = materialize(found, "scanned")
-        each = [rows, *(materialize(_scan(picked, *p).where("size(items) > 0"), "scanned") for p in passes[1:])]
+        each = [rows, *(materialize(_scan(picked, key, pairs).where("size(items) > 0"), "scanned") for key, pairs, _ in passes)]
         hit = [d.where("size(items) > 0").groupBy("doc_id", "text_key").agg(F.first("runs").alias("runs"), F.first("items").alias("items")) for d in each]
         whole = hit[0]
         for more in hit[1:]:
@@ -204,8 +209,7 @@ def keep_clean(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, most
     """The rows of docs that no window occurs in, with their own columns. Each pass sees what the one before it left."""
     python_ready(docs.sparkSession)
     at = docs.columns.index(text_col)
-    passes = list(_passes(benchmark, window, most, **columns))
-    for i, (key, pairs) in enumerate(passes):
+    for i, (key, pairs, n) in enumerate(_passes(benchmark, window, most, **columns)):
 
         def run(batches: Iterator[pa.RecordBatch], key: str = key, pairs: Broadcast = pairs) -> Iterator[pa.RecordBatch]:
             scanner = _scanner(key, pairs)
@@ -213,7 +217,7 @@ def keep_clean(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, most
                 yield batch.filter(pa.array([not scanner.scan(t or b"")[2] for t in batch.column(at).cast(pa.binary()).to_pylist()], pa.bool_()))
 
         docs = docs.mapInArrow(run, docs.schema)
-        docs = materialize(docs, "clean") if i < len(passes) - 1 else docs
+        docs = materialize(docs, "clean") if i < n - 1 else docs
     return docs
 
 
