@@ -7,14 +7,16 @@ split learns where missing values go, and nothing is imputed.
 
 Gradients are rounded to whole multiples of 1 / SCALE before they are added, so sums are exact and a fit gives the same trees
 for every partitioning. Up to LOCAL_ROWS training rows are binned on the cluster and then summed in one place; more stay
-where they are, and every level is a job. Both add the same whole numbers.
+where they are as blocks of arrays, and every level is a job. Both add the same whole numbers.
 """
 
 from __future__ import annotations
 
 import math
+import pickle
 import random
 from collections.abc import Iterator, Sequence
+from copy import copy
 from dataclasses import dataclass
 
 import numpy as np
@@ -24,13 +26,15 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from keepwell.sources.shared import new_path, python_ready, remove, settle
+from keepwell.sources.shared import new_path, python_ready, remove, settle, shared_dir
 
 BINS = 64
 SCALE = 1 << 20
 #: Training rows that are summed in one place at most: about 5 MB. More are summed where they lie, a job for each level.
 LOCAL_ROWS = 100_000
-#: A written table cuts the lineage of the running margins after so many trees.
+#: Rows of a block of arrays on the cluster (about 8 MB with one forest), and rows of a task.
+BLOCK_ROWS, TASK_ROWS = 1 << 18, 1 << 20
+#: A checkpoint cuts the lineage of the running margins after so many trees.
 CUT_EVERY = 25
 #: Weight of the square of a leaf, and the least curvature of a leaf.
 RIDGE, LEAST_CURVATURE = 1.0, 1.0
@@ -108,106 +112,146 @@ def _bin(value: Column, cuts: list[float]) -> Column:
 
 
 Split = tuple[int, int, bool]  # feature, bin (values of lower bins go left), missing values go left
+Asked = tuple[dict[int, Split], list[int], list[int]]  # of a forest's tree: splits so far, nodes of the level, features
+Grown = tuple[dict[int, Split], dict[int, float]]  # of a forest's tree: splits, values of its leaves
 
 
-class Local:
-    """Binned rows in one place."""
+class Block:
+    """Binned rows, with the running margins of each forest that is grown on them. A split has a feature's place among all."""
 
-    def __init__(self, table: pa.Table, n_features: int):
-        self.bins = [table.column(f"b{i}").to_numpy() for i in range(n_features)]
-        self.y, self.weight, self.draw = (table.column(c).to_numpy() for c in ("y", "weight", "draw"))
-        self.margin = np.zeros(len(self.y))
-
-    def start(self, number: int, share: float, missing: list[int]) -> None:
-        p = 1 / (1 + np.exp(-self.margin))
-        self.taken = _drawn(self.draw, number, share)
-        self.g, self.h = np.rint(self.weight * (p - self.y) * SCALE), np.rint(self.weight * p * (1 - p) * SCALE)
-        self.node, self.missing = np.zeros(len(self.y), np.int64), missing
-
-    def sums(self, splits: dict[int, Split], nodes: list[int], features: list[int]) -> np.ndarray:
-        """(node, feature, bin, gradient and curvature) for the nodes of a level."""
-        self._settle(splits, nodes)
-        width = max(self.missing) + 1
-        out = np.zeros((len(nodes), len(features), width, 2), np.int64)
-        at = np.full(max(max(nodes), int(self.node.max(initial=0))) + 1, -1)
-        at[nodes] = range(len(nodes))
-        use = self.taken & (at[self.node] >= 0)
-        place = at[self.node[use]] * width
-        for j, f in enumerate(features):
-            key = place + self.bins[f][use]
-            for k, part in enumerate((self.g, self.h)):
-                out[:, j, :, k] = np.bincount(key, part[use], len(nodes) * width).reshape(len(nodes), width)
-        return out
+    def __init__(self, table: pa.Table | pa.RecordBatch, n_features: int, n_forests: int):
+        narrow = lambda c: c.astype(np.uint8) if c.max(initial=0) < 256 else c
+        self.bins = [narrow(table.column(f"b{i}").to_numpy()) for i in range(n_features)]
+        self.y, self.weight, self.draw = table.column("y").to_numpy().astype(np.int8), table.column("weight").to_numpy(), table.column("draw").to_numpy().astype(np.int32)
+        self.margin = np.zeros((n_forests, len(self.y)))
 
-    def _settle(self, splits: dict[int, Split], nodes: list[int]) -> None:
-        """Move rows to the nodes of a level from the nodes above."""
-        for parent in sorted({(n - 1) // 2 for n in nodes if n}):
+    def _nodes(self, splits: dict[int, Split], missing: list[int]) -> np.ndarray:
+        """The node that each row has come to."""
+        node = np.zeros(len(self.y), np.int64)
+        for parent in sorted(splits):
             f, cut, missing_left = splits[parent]
-            here = self.node == parent
+            here = np.flatnonzero(node == parent)
             b = self.bins[f][here]
-            left = np.where(b == self.missing[f], missing_left, b < cut)
-            self.node[here] = np.where(left, 2 * parent + 1, 2 * parent + 2)
+            left = np.where(b == missing[f], missing_left, b < cut)
+            node[here] = np.where(left, 2 * parent + 1, 2 * parent + 2)
+        return node
+
+    def sums(self, number: int, share: float, missing: list[int], level: list[Asked]) -> list[np.ndarray]:
+        """For each forest (node, feature, bin, gradient and curvature) of the nodes of a level."""
+        taken = _drawn(self.draw.astype(np.int64), number, share)
+        width = max(missing) + 1
+        out = []
+        for margin, (splits, nodes, features) in zip(self.margin, level, strict=True):
+            found = np.zeros((len(nodes), len(features), width, 2), np.int64)
+            out.append(found)
+            if not nodes:
+                continue
+            p = 1 / (1 + np.exp(-margin))
+            parts = [np.rint(self.weight * (p - self.y) * SCALE) * taken, np.rint(self.weight * p * (1 - p) * SCALE) * taken]
+            node = self._nodes(splits, missing)
+            at = np.full(max(max(nodes), int(node.max(initial=0))) + 1, len(nodes))  # rows of other nodes fall behind the last
+            at[nodes] = range(len(nodes))
+            place = at[node] * width
+            for j, f in enumerate(features):
+                key = place + self.bins[f]
+                for k, part in enumerate(parts):
+                    found[:, j, :, k] = np.bincount(key, part, (len(nodes) + 1) * width).reshape(-1, width)[:-1]
+        return out
+
+    def add(self, missing: list[int], grown: list[Grown]) -> Block:
+        """The rows with a tree of each forest added to its margin."""
+        out = copy(self)
+        out.margin = self.margin.copy()
+        for margin, (splits, values) in zip(out.margin, grown, strict=True):
+            value = np.zeros(max(values) + 1)
+            value[list(values)] = list(values.values())
+            margin += value[self._nodes(splits, missing)]
+        return out
+
+
+class Local:
+    """Binned rows in one place."""
+
+    def __init__(self, rows: DataFrame, n_features: int, n_forests: int):
+        self.block = Block(rows.toArrow(), n_features, n_forests)
 
-    def finish(self, splits: dict[int, Split], values: dict[int, float]) -> None:
-        self._settle(splits, [c for n in splits for c in (2 * n + 1, 2 * n + 2) if c in values])
-        value = np.zeros(max(values) + 1)
-        value[list(values)] = list(values.values())
-        self.margin += value[self.node]
+    def sums(self, number: int, share: float, missing: list[int], level: list[Asked]) -> list[np.ndarray]:
+        return self.block.sums(number, share, missing, level)
+
+    def finish(self, missing: list[int], grown: list[Grown]) -> None:
+        self.block = self.block.add(missing, grown)
 
     def close(self) -> None:
         pass
 
 
 class Spread:
-    """Binned rows that stay on the cluster, with their running margins in memory, spilling to disk."""
-
-    def __init__(self, rows: DataFrame, n_features: int):
-        self.names = [*[f"b{i}" for i in range(n_features)], "y", "weight", "draw"]
-        self.rows, self.path, self.done = rows.withColumn("margin", F.lit(0.0)), None, 0
-
-    def start(self, number: int, share: float, missing: list[int]) -> None:
-        p = 1 / (1 + F.exp(-F.col("margin")))
-        whole = lambda c: F.rint(F.col("weight") * c * SCALE).cast("long")
-        self.missing = missing
-        self.now = self.rows.where(_drawn(F.col("draw"), number, share)).select("*", whole(p - F.col("y")).alias("g"), whole(p * (1 - p)).alias("h"))
-
-    def _at(self, splits: dict[int, Split], values: dict[int, float] | None = None, node: int = 0) -> Column:
-        """The node of a row, or its value."""
-        if node not in splits:
-            return F.lit(node if values is None else values[node])
-        f, cut, missing_left = splits[node]
-        b = F.col(f"b{f}")
-        left = F.when(b == self.missing[f], F.lit(missing_left)).otherwise(b < cut)
-        return F.when(left, self._at(splits, values, 2 * node + 1)).otherwise(self._at(splits, values, 2 * node + 2))
-
-    def sums(self, splits: dict[int, Split], nodes: list[int], features: list[int]) -> np.ndarray:
-        out = np.zeros((len(nodes), len(features), max(self.missing) + 1, 2), np.int64)
-        long = self.now.select(self._at(splits).alias("node"), "g", "h", F.posexplode(F.array(*[F.col(f"b{f}") for f in features])).alias("j", "bin"))
-        for r in long.where(F.col("node").isin(nodes)).groupBy("node", "j", "bin").agg(F.sum("g").alias("g"), F.sum("h").alias("h")).collect():
-            out[nodes.index(r["node"]), r["j"], r["bin"]] = r["g"], r["h"]
-        return out
-
-    def finish(self, splits: dict[int, Split], values: dict[int, float]) -> None:
-        after = self.rows.select(*self.names, (F.col("margin") + self._at(splits, values)).alias("margin"))
-        self.done += 1
-        if self.done % CUT_EVERY == 0:
-            path = new_path(after.sparkSession, "margins")
-            after = settle(after, "margins", path)
-            self.close()
-            self.path = path
-        else:
-            after = after.persist(StorageLevel.MEMORY_AND_DISK)
-            after.agg(F.count("*")).collect()  # filled before the one it reads goes
-        self.rows.unpersist()
-        self.rows = after
+    """Binned rows that stay on the cluster as blocks of arrays, with their running margins, in memory and beyond it on disk.
+    A level of a tree, of all forests at once, is one job, which returns a bounded table; the first level of the next tree adds
+    the one before to the margins."""
+
+    def __init__(self, rows: DataFrame, n_features: int, n_forests: int, n_rows: int):
+        spark = rows.sparkSession
+        python_ready(spark)
+        self.sc = spark.sparkContext
+        if self.sc.getCheckpointDir() is None:
+            self.sc.setCheckpointDir(shared_dir(spark))
+
+        def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for table in _tables(batches, BLOCK_ROWS):
+                yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(Block(table, n_features, n_forests))], pa.binary())], names=["block"])
+
+        parts = max(self.sc.defaultParallelism, -(-n_rows // TASK_ROWS))
+        self.depth = 1 if parts <= 64 else 2
+        made = rows.repartition(parts).mapInArrow(blocks, "block binary")
+        self.rows = made.rdd.map(lambda r: pickle.loads(r["block"])).persist(StorageLevel.MEMORY_AND_DISK)
+        self.grown: list[Grown] | None = None
+        self.spark, self.path, self.done = spark, None, 0
+
+    def sums(self, number: int, share: float, missing: list[int], level: list[Asked]) -> list[np.ndarray]:
+        before = None
+        if (grown := self.grown) is not None:
+            before, self.grown = self.rows, None
+            self.rows = before.map(lambda block: block.add(missing, grown)).persist(StorageLevel.MEMORY_AND_DISK)
+            self.done += 1
+            if cut := self.done % CUT_EVERY == 0:
+                self.rows.checkpoint()
+        found = self.rows.map(lambda block: block.sums(number, share, missing, level)).treeReduce(_added, self.depth)
+        if before is not None:
+            before.unpersist()
+            if cut:
+                earlier, self.path = self.path, self.rows.getCheckpointFile()
+                if earlier is not None:
+                    remove(self.spark, earlier)
+        return found
+
+    def finish(self, missing: list[int], grown: list[Grown]) -> None:
+        self.grown = grown
 
     def close(self) -> None:
         self.rows.unpersist()
         if self.path is not None:
-            remove(self.rows.sparkSession, self.path)
+            remove(self.spark, self.path)
             self.path = None
 
 
+def _added(one: list[np.ndarray], other: list[np.ndarray]) -> list[np.ndarray]:
+    return [a + b for a, b in zip(one, other, strict=True)]
+
+
+def _tables(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.Table]:
+    """The rows of batches in tables of about so many rows."""
+    waiting, n = [], 0
+    for batch in batches:
+        waiting.append(batch)
+        n += batch.num_rows
+        if n >= most:
+            yield pa.Table.from_batches(waiting)
+            waiting, n = [], 0
+    if n:
+        yield pa.Table.from_batches(waiting)
+
+
 #: Draws are whole numbers below this prime, so a line through them, modulo it, draws anew for each tree.
 PRIME = (1 << 31) - 1
 
@@ -240,6 +284,13 @@ def best_split(sums: np.ndarray, features: list[int], missing: list[int]) -> tup
 def fit(rows: DataFrame, features: Sequence[str], label: str = "churned", weight: Column | float = 1.0, trees: int = 200, depth: int = 3, rate: float = 0.08, rows_share: float = 0.9, features_share: float = 0.9, seed: int = 42, key: str = "user_id", bins: int = BINS, local_rows: int = LOCAL_ROWS) -> Forest:
     """Boosted trees for a label of 0 or 1. Which rows a tree sees follows from seed and key, so refits agree. No rows
     give a forest without trees, whose probability is one half."""
+    return fit_each(rows, [features], label, weight, trees, depth, rate, rows_share, features_share, seed, key, bins, local_rows)[0]
+
+
+def fit_each(rows: DataFrame, choices: Sequence[Sequence[str]], label: str = "churned", weight: Column | float = 1.0, trees: int = 200, depth: int = 3, rate: float = 0.08, rows_share: float = 0.9, features_share: float = 0.9, seed: int = 42, key: str = "user_id", bins: int = BINS, local_rows: int = LOCAL_ROWS) -> list[Forest]:
+    """For each choice of features the forest that fit gives on it. The rows are binned once, and the forests grow side by
+    side: a level of all their trees is one pass."""
+    features = list(dict.fromkeys(f for c in choices for f in c))
     cuts = cuts_of(rows, features, bins)
     missing = [len(c) + 1 for c in cuts]
     of_weight = weight if isinstance(weight, Column) else F.lit(float(weight))
@@ -248,44 +299,80 @@ def fit(rows: DataFrame, features: Sequence[str], label: str = "churned", weight
     path = new_path(rows.sparkSession, "binned")
     binned = settle(binned, "binned", path)
     n = binned.count()
-    grown: list[Tree] = []
+    places = [[features.index(f) for f in c] for c in choices]
+    grown: list[list[Tree]] = [[] for _ in choices]
     if n:
-        source = Local(binned.toArrow(), len(features)) if n <= local_rows else Spread(binned, len(features))
+        source = Local(binned, len(features), len(choices)) if n <= local_rows else Spread(binned, len(features), len(choices), n)
         try:
             for number in range(trees):
-                rnd = random.Random(f"{seed}:{number}")
-                chosen = sorted(rnd.sample(range(len(features)), max(1, round(features_share * len(features)))))
-                grown.append(_grow(source, number + seed * 1_000_003, chosen, cuts, missing, depth, rate, rows_share))
+                chosen = []
+                for of in places:
+                    rnd = random.Random(f"{seed}:{number}")
+                    chosen.append([of[i] for i in sorted(rnd.sample(range(len(of)), max(1, round(features_share * len(of)))))])
+                for out, of, tree in zip(grown, places, _grow(source, number + seed * 1_000_003, chosen, missing, depth, rate, rows_share), strict=True):
+                    out.append(tree.arrays(of, cuts))
         finally:
             source.close()
     remove(rows.sparkSession, path)
-    return Forest(tuple(features), tuple(grown))
-
-
-def _grow(source: Local | Spread, number: int, features: list[int], cuts: list[list[float]], missing: list[int], depth: int, rate: float, share: float) -> Tree:
-    source.start(number, share, missing)
-    splits: dict[int, Split] = {}
-    value: dict[int, float] = {}
-    gains, cover = {}, {}
-    level = [0]
-    for d in range(depth + 1):
-        sums = source.sums(splits, level, features)
-        for node, s in zip(level, sums, strict=True):
-            g, h = s[0].sum(axis=0) / SCALE
-            value[node], cover[node] = float(-rate * g / (h + RIDGE)), float(h)
-            gain, split = best_split(s, features, missing) if d < depth else (0.0, None)
+    return [Forest(tuple(c), tuple(g)) for c, g in zip(choices, grown, strict=True)]
+
+
+class Growing:
+    """A tree that grows by levels, its nodes numbered as in a heap: children 2n + 1 and 2n + 2. Sums of the leaves follow from
+    the sums of the nodes above, so the last level is not read for."""
+
+    def __init__(self, features: list[int], rate: float):
+        self.features, self.rate = features, rate
+        self.splits: dict[int, Split] = {}
+        self.value: dict[int, float] = {}
+        self.gains, self.cover = {}, {}
+        self.level = [0]
+
+    def take(self, sums: np.ndarray, missing: list[int]) -> None:
+        """Split the nodes of the level by their sums."""
+        below = []
+        for node, s in zip(self.level, sums, strict=True):
+            whole = s[0].sum(axis=0)
+            self._settle(node, whole)
+            gain, split = best_split(s, self.features, missing)
             if split is not None:
-                splits[node], gains[node] = split, gain
-        level = [c for n in level if n in splits for c in (2 * n + 1, 2 * n + 2)]
-        if not level:
+                self.splits[node], self.gains[node] = split, gain
+                f, cut, missing_left = split
+                of = s[self.features.index(f)]
+                left = of[:cut].sum(axis=0) + (of[missing[f]] if missing_left else 0)
+                self._settle(2 * node + 1, left)
+                self._settle(2 * node + 2, whole - left)
+                below += [2 * node + 1, 2 * node + 2]
+        self.level = below
+
+    def _settle(self, node: int, whole: np.ndarray) -> None:
+        g, h = whole / SCALE
+        self.value[node], self.cover[node] = float(-self.rate * g / (h + RIDGE)), float(h)
+
+    def leaves(self) -> dict[int, float]:
+        return {n: v for n, v in self.value.items() if n not in self.splits}
+
+    def arrays(self, of: list[int], cuts: list[list[float]]) -> Tree:
+        """The tree; features are numbered by their places in of."""
+        order, splits = sorted(self.value), self.splits
+        at = {n: i for i, n in enumerate(order)}
+        limit = lambda f, c: cuts[f][c - 1] if c <= len(cuts[f]) else math.inf
+        rows = [(of.index(splits[n][0]), limit(*splits[n][:2]), at[2 * n + 1], at[2 * n + 2], splits[n][2]) if n in splits else (-1, 0.0, 0, 0, False) for n in order]
+        column = lambda i, t: np.array([r[i] for r in rows], t)
+        return Tree(column(0, np.int64), column(1, np.float64), column(2, np.int64), column(3, np.int64), column(4, bool), np.array([self.value[n] for n in order]), np.array([self.gains.get(n, 0.0) for n in order]), np.array([self.cover[n] for n in order]))
+
+
+def _grow(source: Local | Spread, number: int, chosen: list[list[int]], missing: list[int], depth: int, rate: float, share: float) -> list[Growing]:
+    """A tree of each forest."""
+    trees = [Growing(features, rate) for features in chosen]
+    for _ in range(depth):
+        found = source.sums(number, share, missing, [(t.splits, t.level, t.features) for t in trees])
+        for t, sums in zip(trees, found, strict=True):
+            t.take(sums, missing)
+        if not any(t.level for t in trees):
             break
-    source.finish(splits, {n: v for n, v in value.items() if n not in splits})
-    order = sorted(value)
-    at = {n: i for i, n in enumerate(order)}
-    limit = lambda f, c: cuts[f][c - 1] if c <= len(cuts[f]) else math.inf
-    rows = [(splits[n][0], limit(*splits[n][:2]), at[2 * n + 1], at[2 * n + 2], splits[n][2]) if n in splits else (-1, 0.0, 0, 0, False) for n in order]
-    column = lambda i, t: np.array([r[i] for r in rows], t)
-    return Tree(column(0, np.int64), column(1, np.float64), column(2, np.int64), column(3, np.int64), column(4, bool), np.array([value[n] for n in order]), np.array([gains.get(n, 0.0) for n in order]), np.array([cover[n] for n in order]))
+    source.finish(missing, [(t.splits, t.leaves()) for t in trees])
+    return trees
 
 
 # -- use ---------------------------------------------------------------------------------------------------------------

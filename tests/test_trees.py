@@ -82,6 +82,33 @@ def test_the_same_trees_in_one_place_and_on_the_cluster(spark, monkeypatch):
     assert len({tuple(t.feature) for t in one.trees}) > 1
 
 
+def test_a_level_is_one_job_on_the_cluster(spark):
+    """A tree of depth 3 costs three jobs, whatever its number: leaves follow from the sums above, and margins are added
+    with the next tree's first level."""
+    rows, _, _ = table(spark, 300)
+
+    def jobs(n):
+        spark.sparkContext.setJobGroup(f"fit {n}", "")
+        forest = trees.fit(rows, FEATURES, trees=n, local_rows=0)
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+        assert all(len(t.feature) > 7 for t in forest.trees)
+        return len(spark.sparkContext.statusTracker().getJobIdsForGroup(f"fit {n}"))
+
+    assert jobs(9) - jobs(2) <= 7 * 3
+
+
+@pytest.mark.parametrize("local_rows", [0, 1000])
+def test_forests_side_by_side_are_those_fitted_alone(spark, monkeypatch, local_rows):
+    monkeypatch.setattr(trees, "CUT_EVERY", 2)
+    monkeypatch.setattr(trees, "BLOCK_ROWS", 20)
+    rows, _, _ = table(spark, 200)
+    choices = [["a", "b", "c"], ["a", "c"], ["c", "b"]]
+    for c, forest in zip(choices, trees.fit_each(rows, choices, trees=5, features_share=0.6, local_rows=local_rows), strict=True):
+        alone = trees.fit(rows, c, trees=5, features_share=0.6)
+        assert forest.features == tuple(c) and [nested(t) for t in forest.trees] == [nested(t) for t in alone.trees]
+        assert all((one.cover == other.cover).all() and (one.gain == other.gain).all() for one, other in zip(forest.trees, alone.trees, strict=True))
+
+
 def test_missing_values_are_learnt(spark):
     """A label that is nothing but what is missing: one split parts it, and no value is made up for it."""
     rows = spark.createDataFrame([(i, i % 2, None if i % 2 else float(i % 7), 0.0, None) for i in range(200)], SCHEMA)
