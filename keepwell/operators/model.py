@@ -61,14 +61,12 @@ def split_exactly(rows: DataFrame, test: float = 0.25, seed: str = "split", bits
 
 def ablation(rows: DataFrame, features: Sequence[str] = FEATURES, **how: int) -> DataFrame:
     """left_out, auc on the rows with is_test: of the model on all features (left_out is null) and of one fitted without
-    each feature. The rows are read for each fit, so write them first."""
+    each feature. The models grow side by side on rows that are binned once."""
     training, held = rows.where(~F.col("is_test")), rows.where("is_test")
-
-    def of(left_out: str | None) -> DataFrame:
-        fitted = train(training, features=[f for f in features if f != left_out], **how)
-        return roc_auc(score(fitted, held)).select(F.lit(left_out).cast("string").alias("left_out"), "auc")
-
-    return reduce(DataFrame.unionByName, [of(f) for f in (None, *features)])
+    left_out = [None, *features]
+    fitted = train_each(training, [[f for f in features if f != out] for out in left_out], **how)
+    of = lambda out, m: roc_auc(score(m, held)).select(F.lit(out).cast("string").alias("left_out"), "auc")
+    return reduce(DataFrame.unionByName, map(of, left_out, fitted))
 
 
 def with_indicators(rows: DataFrame) -> DataFrame:
@@ -87,11 +85,16 @@ def weighted(rows: DataFrame) -> DataFrame:
     return rows.withColumn("weight", F.when(F.col("churned") == 1, ratio).otherwise(1.0))
 
 
-def train(training: DataFrame, trees: int = 200, depth: int = 3, rate: float = 0.08, rows_share: float = 0.9, features_share: float = 0.9, seed: int = 42, features: Sequence[str] = FEATURES, **how: int) -> T.Forest:
-    """Class-weighted boosted trees on the training rows."""
+def train_each(training: DataFrame, choices: Sequence[Sequence[str]], trees: int = 200, depth: int = 3, rate: float = 0.08, rows_share: float = 0.9, features_share: float = 0.9, seed: int = 42, **how: int) -> list[T.Forest]:
+    """Class-weighted boosted trees on the training rows, for each choice of features."""
     counts = training.agg(F.count_if(F.col("churned") == 0).alias("neg"), F.count_if(F.col("churned") == 1).alias("pos")).first()
     weight = F.when(F.col("churned") == 1, counts["neg"] / counts["pos"] if counts["pos"] else 1.0).otherwise(1.0)
-    return T.fit(training, features, "churned", weight, trees, depth, rate, rows_share, features_share, seed, **how)
+    return T.fit_each(training, choices, "churned", weight, trees, depth, rate, rows_share, features_share, seed, **how)
+
+
+def train(training: DataFrame, trees: int = 200, depth: int = 3, rate: float = 0.08, rows_share: float = 0.9, features_share: float = 0.9, seed: int = 42, features: Sequence[str] = FEATURES, **how: int) -> T.Forest:
+    """Class-weighted boosted trees on the training rows."""
+    return train_each(training, [features], trees, depth, rate, rows_share, features_share, seed, **how)[0]
 
 
 def score(model: T.Forest, rows: DataFrame) -> DataFrame:
