@@ -131,7 +131,7 @@ def token_bits(tokens: np.ndarray) -> bytes:
 
 
 def folded(bits: np.ndarray, size: int) -> np.ndarray:
-    """The bit array as it would be in ``size`` bytes: which bit a token has depends on the low bits of its hash."""
+    """The bit array as it would be in ``size`` words: which bit a token has depends on the low bits of its hash."""
     while len(bits) > size:
         bits = bits[: len(bits) // 2] | bits[len(bits) // 2 :]
     return bits
@@ -148,12 +148,12 @@ def least_common(a: np.ndarray | int, b: np.ndarray | int, num: int, den: int) -
 
 
 class Grown:
-    """Rows of one width in an array that grows."""
+    """Rows of one width, in words of 64 bits, in an array that grows."""
 
     def __init__(self, width: int):
-        self.rows, self.n = np.zeros((8, width), np.uint8), 0
+        self.rows, self.n = np.zeros((8, width), np.uint64), 0
 
-    def add(self, row: np.ndarray) -> None:
+    def add(self, row: np.ndarray | tuple[int, ...]) -> None:
         if self.n == len(self.rows):
             self.rows = np.concatenate([self.rows, np.zeros_like(self.rows)])
         self.rows[self.n] = row
@@ -166,24 +166,30 @@ class BitGroups:
     def __init__(self, width: int):
         self.unions, self.arrays = Grown(width), Grown(width)
         self.members: list[list[tuple[int, int]]] = []  # set and its row in arrays
-        self.least, self.most = [], []
+        self.spans = Grown(2)  # the least and the most of their members' sizes
+        self.ones = np.ones(width)  # a product with it adds up a row's counts, exactly
         self.joined: list[int | None] = []  # a member by which all others are known to be joined, else None
 
     def missing(self, bits: np.ndarray, start: int) -> np.ndarray:
         """Of the set with these bits, the tokens at least that are outside each union from start on."""
-        return np.bitwise_count(bits & ~self.unions.rows[start : self.unions.n]).sum(axis=1, dtype=np.int64)
+        met = np.bitwise_count(bits & self.unions.rows[start : self.unions.n])
+        return int(np.bitwise_count(bits).sum(dtype=np.int64)) - (met.astype(np.float64) @ self.ones).astype(np.int64)
+
+    def sizes(self) -> tuple[np.ndarray, np.ndarray]:
+        """Of each group, the least and the most of its members' sizes."""
+        spans = self.spans.rows[: self.spans.n].view(np.int64)
+        return spans[:, 0], spans[:, 1]
 
     def put(self, i: int, size: int, bits: np.ndarray, group: int | None) -> int:
         if group is None:
             group = self.unions.n
             self.unions.add(bits)
             self.members.append([])
-            self.least.append(size)
-            self.most.append(size)
+            self.spans.add((size, size))
             self.joined.append(i)
         else:
             self.unions.rows[group] |= bits
-            self.most[group] = size
+            self.spans.rows[group, 1] = size
         self.members[group].append((i, self.arrays.n))
         self.arrays.add(bits)
         return group
@@ -207,17 +213,17 @@ class BitMatrix:
         num, den = self.num, self.den
         of_width: dict[int, BitGroups] = {}
         for i in np.argsort(self.sizes, kind="stable").tolist():  # so all sets met are as large at most, and in width too
-            n, own = int(self.sizes[i]), np.frombuffer(self.arrays[i], np.uint8)
+            n, own = int(self.sizes[i]), np.frombuffer(self.arrays[i], np.uint64)
             least = -(-num * n // den)
             home = None
             for width, groups in of_width.items():
-                start = next((g for g, most in enumerate(groups.most) if most >= least), None)
-                if start is None:
+                smallest, largest = groups.sizes()
+                start = int(np.argmax(largest >= least))
+                if largest[start] < least:
                     continue
                 bits = folded(own, width)
                 missing = groups.missing(bits, start)
-                smallest = np.maximum(np.array(groups.least[start:]), least)
-                may = (np.array(groups.most[start:]) >= least) & (n - missing >= least_common(n, smallest, num, den))
+                may = (largest[start:] >= least) & (n - missing >= least_common(n, np.maximum(smallest[start:], least), num, den))
                 self.bounded += len(missing)
                 for g in (np.flatnonzero(may)[np.argsort(missing[may], kind="stable")] + start).tolist():
                     self.opened += 1
