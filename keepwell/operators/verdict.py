@@ -11,6 +11,8 @@ from keepwell.sources.shared import settle
 
 #: Facts of a user that one window takes, and users that may have more: these are broadcast.
 HOT_FACTS, HOT_USERS = 500_000, 100_000
+#: Facts of a task where places are given and dossiers are made, about; so its memory doesn't grow with the input.
+TASK_FACTS = 200_000
 TICKET_COLUMNS = ("category", "priority", "status", "created_at")
 REVIEW_COLUMNS = ("rating", "created_at")
 
@@ -75,12 +77,13 @@ def newest_first(facts: DataFrame, ties: list[str], most: int | None = None, hot
     sizes = facts.groupBy("user_id").agg(F.count("*").alias("n"))
     n, largest = sizes.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.max("n"), F.lit(0))).first()
     hot = max(hot, n // HOT_USERS)  # no more than HOT_USERS users have more
+    tasks = max(-(-n // TASK_FACTS), min(facts.sparkSession.sparkContext.defaultParallelism, -(-n // 10_000)), 1)
     if largest <= hot:
-        return facts.withColumn("place", place)
+        return facts.repartition(tasks, "user_id").withColumn("place", place)
     users = settle(sizes.where(F.col("n") > hot).select("user_id"), "hot")
     ran = with_running(facts.join(F.broadcast(users), "user_id", "left_semi").withColumn("one", F.lit(1)), ["user_id"], order, ["one"])
     ran = ran.withColumn("place", (F.col("one_before") + 1).cast("int")).drop("one", "one_before")
-    return facts.join(F.broadcast(users), "user_id", "left_anti").withColumn("place", place).unionByName(ran)
+    return facts.join(F.broadcast(users), "user_id", "left_anti").repartition(tasks, "user_id").withColumn("place", place).unionByName(ran)
 
 
 def of_users(facts: DataFrame, ids: DataFrame, columns: list[str]) -> DataFrame:

@@ -73,3 +73,15 @@ def test_a_snapshot_counts_once_it_is_whole(spark, tmp_path):
     io.compact_contacts(spark, path)
     (tmp_path / "log/_snapshots/upto=2024-01-02/_SUCCESS").unlink()  # as while it is being written
     assert io.read_contacts(spark, path).count() == 2
+
+
+def test_places_are_dealt_out_by_the_number_of_facts(spark, monkeypatch):
+    """A task has about TASK_FACTS facts, however many there are and however few partitions a shuffle has."""
+    from keepwell.operators import verdict
+
+    facts = spark.range(1000).selectExpr("id % 100 AS user_id", "id AS n", "timestamp_seconds(id) AS created_at")
+    want = sorted(map(tuple, verdict.newest_first(facts, ["n"]).collect()))
+    monkeypatch.setattr(verdict, "TASK_FACTS", 50)
+    many = verdict.newest_first(facts, ["n"])
+    assert many.rdd.getNumPartitions() == 20 and sorted(map(tuple, many.collect())) == want
+    assert all(place == 10 - n // 100 for _, n, _, place in want)
