@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from keepwell.functions import columns as C
 from keepwell.operators import activity, causality, contacts, contracts, drift, evaluation, evidence, features, report, rollup, scoring, uplift, verdict
 from keepwell.sources import io, store
-from keepwell.sources.shared import exists, new_path, settle
+from keepwell.sources.shared import exists, new_path, remove, settle
 from keepwell.sources.views import FAULTS, Views
 
 AS_OF, LOG_AS_OF = datetime(2001, 8, 1), datetime(2024, 1, 31)
@@ -651,24 +651,28 @@ def as_query(f: Callable[[Views], DataFrame]) -> Callable[[SparkSession, str], D
 # -- model, explanation and streams: no SQL twin -----------------------------------------------------------------------
 
 
-#: Where the model of some training rows was saved, by application and a digest of these rows: nine jobs fit it once.
-FITTED: dict[tuple, str] = {}
+#: Where some split feature rows and their model were saved, by application and a digest of the rows: nine jobs fit it once.
+FITTED: dict[tuple, tuple[str, str]] = {}
 
 
 def fitted(v: Views):
-    """The model and the split feature table, which is written once. The digest runs over all training rows, so other
-    tables under the same name are fitted anew."""
+    """The model and the split feature table, which are those of the first job on the same tables. The digest runs over all
+    rows, so other tables under the same name are fitted anew. A mean of amounts has other last digits whenever it is added
+    up in another order, so in its place the amounts themselves are digested."""
     from keepwell.operators import model, trees
 
-    rows = settle(model.split(feature_table(v)), "features")
-    training = rows.where(~F.col("is_test"))
-    digest = training.agg(F.count("*"), F.sum(F.xxhash64(*training.columns).cast("decimal(38,0)"))).first()
-    key = (v.spark.sparkContext.applicationId, *digest)
-    if key not in FITTED or not exists(v.spark, FITTED[key]):  # the shared folder may have been cleared
+    own = new_path(v.spark, "features")
+    rows = settle(model.split(feature_table(v)), "features", own)
+    digest = lambda t, *columns: t.agg(F.count("*"), F.sum(F.xxhash64(*columns).cast("decimal(38,0)"))).first()
+    key = (v.spark.sparkContext.applicationId, *digest(rows, *[c for c in rows.columns if c != "avg_order_value"]), *digest(v.orders, "user_id", "total_amount"))
+    if key in FITTED and all(exists(v.spark, p) for p in FITTED[key]):  # the shared folder may have been cleared
+        remove(v.spark, own)
+    else:
         path = new_path(v.spark, "model")
-        trees.save(model.train(training), v.spark, path)
-        FITTED[key] = path
-    return trees.load(v.spark, FITTED[key]), rows
+        trees.save(model.train(rows.where(~F.col("is_test"))), v.spark, path)
+        FITTED[key] = path, own
+    saved, features_path = FITTED[key]
+    return trees.load(v.spark, saved), v.spark.read.schema(rows.schema).parquet(features_path)
 
 
 def model_scored(v: Views) -> DataFrame:
